@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, rans
+from . import bpe, mixing, novelty, rans, sketch, transport, warc
+from .shared import staged, text_or_empty
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,109 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_tokens, op6_byte_bpe)}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts of the fixed kinds, their digest, and all spans."""
+    found = novelty.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    printed = lambda s: F.concat_ws(":", s.kind, s.start, s.end)
+    base = F.filter("spans", lambda s: s.kind != "novel")
 
-SQL: dict[str, str] = {}
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, novelty.KINDS),
+        F.sha2(F.array_join(F.transform(base, printed), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", printed), ",").alias("spans"),
+    )
+
+
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents stored as transport streams in a media column, and what is read back from it."""
+    data = F.encode(text_or_empty("text"), "UTF-8").alias("data")
+    stored = staged(transport.store(table(spark, sf_dir, "documents").select("doc_id", data)), "media")
+    pts = F.transform(F.array(F.lit(0), F.size("pts") - 1), lambda i: F.get("pts", i))
+    return transport.load(stored).select(
+        "doc_id",
+        F.col("media_bytes").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("errors="), "counter_errors"), F.concat(F.lit("pts="), F.array_join(pts.cast("array<string>"), "-")), F.concat(F.lit("access="), F.array_join(F.transform("random_access", lambda r: F.concat_ws("@", r.pts, r.offset)), ","))).alias("feature"),
+    )
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by weights of their sources."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source
+), r AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, (sum(words) OVER ())::BIGINT AS total FROM s
+), k AS (
+  SELECT *, 3.0 * words / w AS ratio,
+    (sum(3 * words) OVER (ORDER BY 3.0 * words / w, source NULLS LAST ROWS UNBOUNDED PRECEDING))::BIGINT - 3 * words AS capped,
+    (sum(w) OVER (ORDER BY 3.0 * words / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open_w
+  FROM r
+), l AS (
+  SELECT (total - capped)::DOUBLE AS remaining, open_w::DOUBLE AS open_w FROM k
+  WHERE (total - capped) * w <= 3 * words * open_w ORDER BY ratio, source NULLS LAST LIMIT 1
+), t AS (
+  SELECT r.source, r.words, least(r.w::DOUBLE * l.remaining / l.open_w, (3 * r.words)::DOUBLE) AS target FROM r CROSS JOIN l
+), x AS (
+  SELECT d.doc_id, d.size, t.words AS source_size, t.target, CASE WHEN t.words > 0 THEN t.target / t.words ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM x
+"""
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages with repeated payloads stored once, read back."""
+    found = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM original AS again FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN original END AS refers_to
+FROM r
+"""
+
+
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of all documents and of their edited texts, and their likeness."""
+    found = sketch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.printed(F.col("sketch")).alias("fingerprint"),
+        sketch.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.distinct_count(F.col("sketch")).alias("n_shingles"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_rans_tokens, op4_secret_scan, op6_byte_bpe, op7_transport_streams, op8_source_mix, op9_warc_revisits, op10_bottom_k)
+}
+
+SQL = {"op8_source_mix": OP8_SQL, "op9_warc_revisits": OP9_SQL}
