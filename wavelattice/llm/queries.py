@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, novelty, rans, sketch, transport, warc
+from . import bpe, jaccard, kneser, mixing, novelty, rans, sketch, transport, warc
 from .shared import staged, text_or_empty
 
 
@@ -19,6 +19,11 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, alike at 0.8 or more in five-word n-grams."""
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "copies")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts decoded from them, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +37,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under the model of the trusted ones, and whether each is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = kneser.classify(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "perplexity", "threshold", F.col("keep").cast("int").alias("keep"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts of the fixed kinds, their digest, and all spans."""
     found = novelty.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -134,7 +146,7 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_rans_tokens, op4_secret_scan, op6_byte_bpe, op7_transport_streams, op8_source_mix, op9_warc_revisits, op10_bottom_k)
+    for f in (op1_rans_tokens, op2_kneser_ney, op4_secret_scan, op5_jaccard_join, op6_byte_bpe, op7_transport_streams, op8_source_mix, op9_warc_revisits, op10_bottom_k)
 }
 
 SQL = {"op8_source_mix": OP8_SQL, "op9_warc_revisits": OP9_SQL}

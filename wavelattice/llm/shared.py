@@ -85,3 +85,8 @@ def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def sized_broadcast(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """``df`` (a staged table of a few short columns) marked for broadcast while its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -9,7 +9,7 @@ import numpy as np
 from . import pretokens
 
 #: Entries a process keeps before the cache starts anew.
-MAX_ENTRIES = 3_000_000
+MAX_ENTRIES = 1_500_000
 #: Code points a batch is cut to (a longer single text is a batch of its own).
 BATCH_CHARS = 1_000_000
 
