@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kneser, mixing, novelty, rans, sketch, transport, warc
+from . import bpe, jaccard, kneser, licenses, mixing, novelty, rans, sketch, transport, warc
 from .shared import staged, text_or_empty
 
 
@@ -44,6 +44,13 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "perplexity", "threshold", F.col("keep").cast("int").alias("keep"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents by patience alignment with the templates."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    printed = F.transform("licenses", lambda s: F.format_string("%s:%d:%d:%.3f", s.license, s.start, s.end, s.coverage))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(printed, ",").alias("licenses"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts of the fixed kinds, their digest, and all spans."""
     found = novelty.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -146,7 +153,7 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_rans_tokens, op2_kneser_ney, op4_secret_scan, op5_jaccard_join, op6_byte_bpe, op7_transport_streams, op8_source_mix, op9_warc_revisits, op10_bottom_k)
+    for f in (op1_rans_tokens, op2_kneser_ney, op3_license_scan, op4_secret_scan, op5_jaccard_join, op6_byte_bpe, op7_transport_streams, op8_source_mix, op9_warc_revisits, op10_bottom_k)
 }
 
 SQL = {"op8_source_mix": OP8_SQL, "op9_warc_revisits": OP9_SQL}
