@@ -1,8 +1,8 @@
 """Queries over the driver tables, with their SQL."""
 
-from . import core
+from . import core, stats
 
-MODULES = (core,)
+MODULES = (core, stats)
 
 
 def queries() -> dict:
