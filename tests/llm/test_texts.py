@@ -1,0 +1,317 @@
+"""Secrets, licenses, quality, near duplicates, fingerprints: brute force, planted cases, held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wavelattice.llm import components, jaccard, kneser, licenses, novelty, queries, sketch
+
+from .edge import documents, plain
+
+# ---------------------------------------------------------------- secrets
+
+
+def brute_spans(text):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(novelty.ASSIGN, text, re.A | re.I) if len(m.group(2)) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer(novelty.ACCESS, text) if len(m.group()) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(novelty.HEX, text) if len(m.group()) >= 32]
+    return sorted(out, key=lambda s: (s[1], novelty.KINDS.index(s[0])))
+
+
+def test_fixed_kinds_match_the_patterns():
+    rng = random.Random(0)
+    parts = ["password", "TOKEN", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEF1234567890", "abc", "deadbeef" * 5, "x.y-z", "\n", "é", "ſecret"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        longest = max(map(len, text.split()), default=0)
+        found = sorted(novelty.base_spans(text, longest), key=lambda s: (s[1], novelty.KINDS.index(s[0])))
+        assert found == brute_spans(text), text
+
+
+def test_secret_query(spark, data):
+    found = {r["doc_id"]: r for r in queries.op4_secret_scan(spark, data).collect()}
+    docs = plain(spark.read.parquet(f"{data}/documents.parquet"))
+    assert len(found) == len(docs)
+    for key, text in docs:
+        base, r = brute_spans(text), found[key]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for k, _, _ in base) for kind in novelty.KINDS[:3])
+        printed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(printed.encode()).hexdigest()
+        assert ",".join(s for s in r["spans"].split(",") if not s.startswith("novel")) == printed
+
+
+def test_novel_strings_are_found_and_words_are_not(spark):
+    odd = "q9Zk2LmX7wBv4RtY8pNc"
+    texts = [f"the private key of the host is {odd} and so on", "the private key of the host is configurationconfiguration again", f"nothing near it {odd}", f"session {'abcd' * 6} ends"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in novelty.scan(df).collect()}
+    assert found == {0: [("novel", odd)], 1: [], 2: [], 3: []}
+
+
+def test_secret_scan_and_redaction_of_odd_rows(spark):
+    docs = documents(spark)
+    found = novelty.scan(docs.withColumn("spans", F.lit("clash")))
+    assert found.count() == docs.count() and set(docs.columns) - {"text"} < set(found.columns)
+    assert novelty.scan(documents(spark, empty=True)).count() == 0
+    df = spark.createDataFrame([("ab 12 cd", [("hex", 3, 5, None), ("hex", 4, 6, None)]), (None, []), ("keep", [])], f"text string, spans array<{novelty.SPAN}>")
+    assert [r["text"] for r in novelty.redact(df).collect()] == ["ab [SECRET]cd", None, "keep"]
+
+
+# ---------------------------------------------------------------- licenses
+
+
+def test_alignment_is_ordered_and_complete_on_equal_lists():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefghij") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        m = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in m)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(m))
+        assert licenses.align(a, a) == [(i, i) for i in range(len(a))]
+
+
+def test_longest_increasing_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        v = [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]
+        best = max((len(c) for n in range(len(v) + 1) for c in itertools.combinations(v, n) if all(x < y for x, y in itertools.pairwise(c))), default=0)
+        found = licenses.increasing(v)
+        assert len(found) == best and all(v[x] < v[y] for x, y in itertools.pairwise(found))
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_templates_are_found_whole_changed_and_repeated(name):
+    scanner, text = licenses.Scanner(licenses.TEMPLATES), licenses.TEMPLATES[name]
+    assert [(x["license"], x["coverage"]) for x in scanner(f"some words {text} more words")] == [(name, 1.0)]
+    assert [x["license"] for x in scanner(f"{text}\n{text}")] == [name] * 2
+    words = text.split()
+    if len(words) > 20:
+        words[len(words) // 2 : len(words) // 2 + 2] = ["other", "words", "here"]
+        assert [x["license"] for x in scanner(" ".join(words))] == [name]
+    assert scanner("the of and a license to " * 3) == []
+
+
+def test_license_query(spark, data):
+    lines = {"MIT line": "Released under the MIT License.", "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.", "GPL-3.0 line": "licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0."}
+    found = {r["doc_id"]: r["licenses"] for r in queries.op3_license_scan(spark, data).collect()}
+    for key, text in plain(spark.read.parquet(f"{data}/documents.parquet")):
+        assert {s.split(":")[0] for s in found[key].split(",") if s} == {n for n, line in lines.items() if line in text}
+    assert licenses.scan(documents(spark)).count() == documents(spark).count()
+    assert licenses.scan(documents(spark, empty=True)).count() == 0
+
+
+# ---------------------------------------------------------------- quality
+
+
+def brute_probabilities(counts):
+    """Interpolated modified Kneser-Ney by the textbook, over symbols."""
+    levels = {kneser.ORDER: dict(counts)}
+    for k in range(kneser.ORDER - 1, 0, -1):
+        levels[k] = {}
+        for g, c in levels[k + 1].items():
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + (c > 0)
+
+    def cuts(k):
+        met = [sum(c == i for c in levels[k].values()) for i in (1, 2, 3, 4)]
+        return kneser.discounts(*met)
+
+    d = {k: cuts(k) for k in levels}
+
+    def p(g):
+        if not g:
+            return 1 / (1 << kneser.SYMBOL_BITS)
+        k, lower = len(g), p(g[1:])
+        same = [c for h, c in levels[k].items() if h[:-1] == g[:-1] and c > 0]
+        if not same:
+            return lower
+        c = levels[k].get(g, 0)
+        cut = lambda c: 0 if c == 0 else d[k][min(c, 3) - 1]
+        return (c - cut(c) + sum(map(cut, same)) * lower) / sum(same)
+
+    return p
+
+
+def test_probabilities_match_the_definition(spark):
+    texts = ["abracadabra abba", "banana band", "cabana", "xyz"]
+    trained = [True, True, True, False]
+    df = spark.createDataFrame(list(zip(texts, trained, strict=True)), "text string, t boolean")
+    found = {r["key"]: r["p"] for r in kneser.probabilities(kneser.count_ngrams(df, "text", "t")).collect()}
+    counts = {}
+    for text, t in zip(texts, trained, strict=True):
+        padded = "\0" * (kneser.ORDER - 1) + text
+        for i in range(len(text)):
+            g = padded[i : i + kneser.ORDER]
+            counts[g] = counts.get(g, 0) + t
+    p = brute_probabilities(counts)
+    key = lambda g: sum(ord(c) << (kneser.SYMBOL_BITS * (len(g) - 1 - i)) for i, c in enumerate(g))
+    assert found.keys() == {key(g) for g in counts}
+    for g in counts:
+        assert found[key(g)] == pytest.approx(p(g), rel=1e-9)
+
+
+def test_quality_query_on_held_out_labels(spark, data):
+    rows = queries.op2_kneser_ney(spark, data).collect()
+    keep = {r["doc_id"]: r["keep"] for r in rows}
+    labels = spark.read.parquet(f"{data}/labels.parquet").collect()
+    good = [keep[r["doc_id"]] for r in labels if r["quality"] == 1]
+    bad = [keep[r["doc_id"]] for r in labels if r["quality"] == 0]
+    assert len(rows) == 200 and np.mean(good) > 0.9 and (not bad or np.mean(bad) < 0.5)
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (8, 1, 0), (12, 1, 0), (13, 1, 0), (13, 1, 0), (9, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    rows = kneser.classify(documents(spark), labels).collect()
+    assert len(rows) == documents(spark).count()
+    texts = {}
+    for key, text in plain(documents(spark)):
+        texts.setdefault(key, set()).add(text)
+    assert all((r["perplexity"] is None) == (r["text_hash"] == rows_hash(spark, "")) for r in rows)
+    assert not any(r["keep"] for r in rows if r["perplexity"] is None)
+    assert kneser.classify(documents(spark, empty=True), labels).count() == 0
+    assert all(r["keep"] for r in kneser.classify(documents(spark), labels.limit(0)).collect() if r["perplexity"] is not None)
+
+
+def rows_hash(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def brute_classes(rows):
+    """Class and links of rows (key, text), all pairs."""
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        union = len(sets[i] | sets[j])
+        if rows[i][1] == rows[j][1] or (sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * union):
+            links[i] += 1
+            links[j] += 1
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return links, list(groups.values())
+
+
+def check_classes(rows, found):
+    """``found``: rows in any order, compared as multisets with the classes named by their least key."""
+    links, groups = brute_classes(rows)
+    want = []
+    for g in groups:
+        keys = [rows[i][0] for i in g if rows[i][0] is not None]
+        want += [(rows[i][0], links[i], min(keys) if keys else None) for i in g]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(((r["doc_id"], r["n_links"], r["class_id"] if r["class_id"] >= 0 else None) for r in found), key=key) == sorted(want, key=key)
+
+
+def test_join_query(spark, data):
+    rows = plain(spark.read.parquet(f"{data}/documents.parquet"))
+    check_classes(rows, queries.op5_jaccard_join(spark, data).collect())
+
+
+def test_join_of_odd_rows(spark):
+    check_classes(plain(documents(spark)), jaccard.join(documents(spark)).collect())
+    assert jaccard.join(documents(spark, empty=True)).count() == 0
+
+
+def test_large_group_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1]) for i in range(20)]
+    check_classes(rows, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_pruning_bound_is_the_beta_tail():
+    rng = np.random.default_rng(0)
+    for n in (20, 60):
+        m = jaccard.least_matches(n, 1e-3)
+        tail = lambda m: (rng.beta(m + 1, n - m + 1, 400_000) >= 0.8).mean()  # noqa: B023, E731
+        assert tail(m) > 5e-4 and (m == 0 or tail(m - 1) < 2e-3)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(80), rng.randrange(80)) for _ in range(60)) if a != b]
+    edges += [(i + 1, i) for i in range(100, 130)] + [(i, 200) for i in range(201, 240)]
+    found = dict((r["u"], r["v"]) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect())
+    label = {n: n for e in edges for n in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found == {n: v for n, v in label.items() if n != v}
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def test_fingerprint_query(spark, data):
+    docs = sorted(plain(spark.read.parquet(f"{data}/documents.parquet")))
+    found = {r["doc_id"]: r for r in queries.op10_bottom_k(spark, data).collect()}
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    errors = []
+    for (key, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        r = found[key]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        for value, other in ((r["near_edited"], edited), (r["near_next"], after)):
+            a, b = sets(text), sets(other)
+            errors.append(abs(value - len(a & b) / len(a | b)))
+    assert np.mean(errors) < 0.03 and max(errors) < 0.2
+
+
+def test_next_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "BUCKET_ROWS", 3)
+    rng = random.Random(6)
+    keys = [*rng.sample(range(-50, 500), 60), 7, 7, 7, None, None]
+    rows = [(k, f"t{i}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["text"], r["next_text"]) for r in sketch.with_next(df, "doc_id", ["text"]).collect())
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert found == sorted(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_sketches_merge_and_estimate(spark):
+    a = " ".join(f"w{i}" for i in range(2000))
+    b = " ".join(f"w{i}" for i in range(1000, 3000))
+    df = spark.createDataFrame([(1, a, b)], "g int, a string, b string").withColumn("x", sketch.sketch(F.col("a"))).withColumn("y", sketch.sketch(F.col("b")))
+    r = df.select(sketch.resemblance(F.col("x"), F.col("y")), sketch.containment(F.col("x"), F.col("y")), sketch.distinct_count(F.col("x")), sketch.merged(F.col("x"), F.col("y"))).first()
+    assert abs(r[0] - 1 / 3) < 0.15 and abs(r[1] - 0.5) < 0.2 and abs(r[2] / 1996 - 1) < 0.3
+    parts = df.select("g", F.col("x").alias("sketch")).unionByName(df.select("g", F.col("y").alias("sketch")))
+    assert sketch.merge_groups(parts, ["g"]).first()["sketch"] == r[3]
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = sketch.fingerprints(documents(spark)).collect()
+    assert len(rows) == documents(spark).count()
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(r["text"], r["sketch"]) == r["sketch"]
+        assert bool(r["sketch"]) == bool(re.search(r"\S", r["text"], re.A))
+    assert sketch.fingerprints(documents(spark, empty=True)).count() == 0
