@@ -1,8 +1,8 @@
 """Queries over the driver tables, with their SQL."""
 
-from . import core, stats
+from . import core, geometry, stats
 
-MODULES = (core, stats)
+MODULES = (core, stats, geometry)
 
 
 def queries() -> dict:
