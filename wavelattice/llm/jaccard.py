@@ -7,43 +7,51 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import lookup_hot, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
+from .slicecache import slice_hashes
 
 WORDS, THRESHOLD = 5, (4, 5)  # words of an n-gram; least similarity, as a fraction
 BANDS, ROWS = 28, 5  # a pair at the threshold shares no band with a chance of 2 in 100,000
 STEP = 20  # MinHash values compared at a time
 TOLERANCE = 1e-6
 BLOCK = 400  # class representatives that a task compares with as many others
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 _P = np.uint64(0x9E3779B185EBCA87)
-_words: dict[str, int] = {}
+_WHITE = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > 2_000_000:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), 5) | 1
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (what white space parts), and the number of words of each text.
+
+    Words are found and hashed as slices of one array of code points; no word becomes an object of its own.
+    """
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    white = _WHITE[np.minimum(points, 0x3001)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], white]).view(np.int8)))
+    starts, stops = edges[::2], edges[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return slice_hashes(points, starts, stops), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of words (what white space parts), text by text, and their number in each.
+    """Hashes of all n-grams of words, text by text, and their number in each.
 
     A text of fewer words has one n-gram, of all of them; a text without words has none.
     """
-    lists = [t.split() for t in texts]
-    lists = [w if len(w) >= WORDS or not w else w + [""] * (WORDS - len(w)) for w in lists]
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    hashes = _word_hashes([w for words in lists for w in words])
+    hashes, lengths = _words(texts)
     if not hashes.size:
         return hashes, lengths
+    short = np.flatnonzero((lengths > 0) & (lengths < WORDS))
+    if short.size:
+        lack = WORDS - lengths[short]
+        hashes = np.insert(hashes, np.repeat(np.cumsum(lengths)[short], lack), np.uint64(1))
+        lengths = lengths.copy()
+        lengths[short] = WORDS
     out = np.zeros(hashes.size, np.uint64)
     for k in range(WORDS):
         out[: out.size - k] = out[: out.size - k] * _P + hashes[k:]
