@@ -135,4 +135,5 @@ def residual(v: Column, basis: list[list[float]]) -> Column:
 
 
 def _without(v: Column, row: Column) -> Column:
-    return _with(F.struct(v.alias("v"), dot(v, row).alias("z")), lambda r: F.zip_with(r.v, row, lambda x, b: x - r.z * b))
+    # ``v`` stands here once: used twice, it would double with every row that is taken out.
+    return _with(v, lambda u: _with(dot(u, row), lambda z: F.zip_with(u, row, lambda x, b: x - z * b)))

@@ -1,8 +1,8 @@
 """Queries over the driver tables, with their SQL."""
 
-from . import core, geometry, stats
+from . import core, geometry, shapes, stats
 
-MODULES = (core, stats, geometry)
+MODULES = (core, stats, geometry, shapes)
 
 
 def queries() -> dict:
