@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm import bpe, jaccard, kneser, mixing, novelty
-from wavelattice.llm.shared import scratch, sized_broadcast, staged, text_or_empty
+from wavelattice.llm.shared import light_batches, scratch, sized_broadcast, staged, text_or_empty
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps; empty ones go. A row's decision follows its key, text and language."""
+    light_batches(spark)
     found = kneser.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = found.where(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (kneser.text_hash() == F.col("_hash")) & docs["lang"].eqNullSafe(F.col("_lang"))
@@ -25,6 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one of the least key (null keys last); of repeated rows one."""
+    light_batches(spark)
     found = staged(jaccard.join(docs), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("ck").alias("ck"))
     first = found.groupBy("class_id").agg(F.min(order).alias("first")).select("first.id", "first.ck")
@@ -43,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with ``[SECRET]`` in place of each span that the scan reports, and its length counted anew."""
+    light_batches(spark)
     found = novelty.scan(docs.select(F.md5(text_or_empty("text")).alias("_ck"), "text"), spans="_spans")
     hits = staged(found.where(F.size("_spans") > 0).dropDuplicates(["_ck"]), "hits")
     same = F.md5(text_or_empty("text")) == F.col("_ck")
@@ -60,6 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it exactly."""
+    light_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks)
     decoded = bpe.decode(encoded, ranks)

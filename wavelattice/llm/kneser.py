@@ -26,7 +26,7 @@ HELD_OUT = 5
 QUANTILE = 0.985
 #: A language with fewer held-out documents has the greater of its own and the overall quantile.
 LEAST_HELD = 200
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Rows of the probability table that a Python worker keeps (12 bytes each); further shards are read when needed.
 KEPT_ROWS = 8_000_000
 
@@ -76,10 +76,10 @@ def count_ngrams(df: DataFrame, text: str, trained: str) -> DataFrame:
             found, inverse = np.unique(keys, return_inverse=True)
             held.append((found, np.bincount(inverse, weight, found.size).astype(np.int64)))
             fresh += found.size
-            if fresh > 4_000_000:
+            if fresh > 2_000_000:
                 held = merge(held)
                 fresh = 0
-                if held[0][0].size > 4_000_000:
+                if held[0][0].size > 2_000_000:
                     yield from emit(held)
                     held = []
         if held:
@@ -143,7 +143,7 @@ def write_shards(table: DataFrame) -> list[tuple[str, int, int]]:
     return [(r["path"], r["units"], r["rows"]) for r in write_parts(dealt, scratch(table.sparkSession, "model"), ".lp", encode)]
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=32)
 def _kept_shard(path: str) -> tuple[np.ndarray, np.ndarray]:
     data = read_range(path)
     n = struct.unpack_from("<q", data)[0]

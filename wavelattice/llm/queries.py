@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, jaccard, kneser, licenses, mixing, novelty, rans, sketch, transport, warc
-from .shared import staged, text_or_empty
+from .shared import light_batches, staged, text_or_empty
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    light_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

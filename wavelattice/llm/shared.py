@@ -6,13 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that is sent to every task are kept at or below this number by construction.
 MAX_HOT_KEYS = 1000
 
+#: Rows of an Arrow batch between Spark and Python: whole texts make them heavy.
+ARROW_ROWS = 1000
+
 _own_roots: dict[str, str] = {}
 
 
@@ -28,6 +33,13 @@ def shared_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small in this session, where they would be larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -46,20 +58,24 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def text_batches(
-    batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 4_000_000
+    batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 1_000_000
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with the text column as Python strings (null: empty), of bounded total length."""
+    """Slices of Arrow batches with the text column as Python strings (null: empty), of bounded total length.
+
+    Slices are cut by the texts' bytes before any string is made; a text that is longer is a slice of its own.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        start = held = 0
-        for i, text in enumerate(texts):
-            if i > start and held + len(text) > max_chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(text)
-        yield batch.slice(start), texts[start:]
+        values = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + max_chars, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, ["" if t is None else t for t in values.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def lookup_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -78,11 +94,6 @@ def lookup_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     return done.unionByName(cold.join(rest, key, "left"))
 
 
-def map_texts(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` under the name the operators use."""
-    return df.mapInArrow(fn, schema)
-
-
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
