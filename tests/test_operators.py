@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavelattice.functions import scalars as S
 from wavelattice.functions import vectors as V
-from wavelattice.operators import blocks, covariance, dependence, guards, linkage, regression
+from wavelattice.operators import blocks, covariance, dependence, guards, integrity, linkage, regression
+from wavelattice.plans import geometry, stats
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +124,42 @@ def test_scalars(spark):
     df = spark.createDataFrame([("p012-2101-02-03-04-05-06", "428.0 "), ("p1-2101-13-03-04-05", None), ("x", "v45.1")], "n string, c string")
     rows = df.select(S.record_time(F.col("n")).cast("string"), S.clean_code(F.col("c")), S.in_group(S.clean_code(F.col("c")), S.CODE_GROUPS["renal_failure"]), S.trailing_id(F.col("n"))).collect()
     assert [tuple(r) for r in rows] == [("2101-02-03 04:05:06", "4280", False, 6), (None, "", False, 5), (None, "V451", True, None)]
+
+
+@pytest.mark.parametrize("blocked", [False, True])
+def test_whole_permutation_tests_cover_all_rows(spark, data, blocked):
+    rows = stats.halves(spark, data).orderBy("id").collect()
+    ids, labels = [r["id"] for r in rows], np.array([r["label"] for r in rows])
+    x, y = (np.array([r[c] for r in rows]) for c in "xy")
+    assert len(rows) > 100
+
+    def centre(m):
+        m = np.linalg.norm(m[:, None] - m[None], axis=2)
+        return m - m.mean(0) - m.mean(1)[:, None] + m.mean()
+
+    a, found = centre(x), []
+    for rep in range(10):
+        moved = np.arange(len(ids))
+        if rep:
+            for group in [labels == g for g in np.unique(labels)] if blocked else [np.ones(len(ids), bool)]:
+                own = np.flatnonzero(group)
+                moved[own] = sorted(own, key=lambda i: (hashlib.sha256(f"7:{rep}:{ids[i]}".encode()).hexdigest(), ids[i]))
+        b = centre(y[moved])
+        found.append(np.sqrt(max((a * b).mean(), 0) / np.sqrt((a * a).mean() * (b * b).mean())))
+    query = stats.fold_blocked_perm_hash_whole if blocked else stats.dcor_perm_hash_whole
+    row = query(spark, data).first()
+    assert row["observed"] == pytest.approx(found[0], abs=2e-6) and row["n_reps"] == 9
+    assert row["p"] == pytest.approx((1 + sum(v >= found[0] - 1e-12 for v in found[1:])) / 10)
+
+
+def test_lines_digest_is_streamed_in_order_and_covers_all(spark, data):
+    rows = [(i % 7 if i % 5 else None, None if i % 11 == 0 else f"é{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, line string").repartition(6)
+    digest = lambda lines: hashlib.sha256("".join(t + "\n" for t in lines).encode()).hexdigest()
+    full = [r for r in rows if r[1] is not None]
+    assert integrity.lines_digest(df, "line").first()[0] == digest(sorted(t for _, t in full))
+    assert integrity.lines_digest(df, "line", ["k"]).first()[0] == digest(t for _, t in sorted(full, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    assert integrity.lines_digest(df.limit(0), "line").first()[0] == hashlib.sha256(b"\n").hexdigest()
+    assert "collect_list" not in integrity.lines_digest(df, "line")._jdf.queryExecution().toString()
+    names = [r[0] for r in spark.read.parquet(f"{data}/customer.parquet").select("c_name").collect()]
+    assert geometry.sorted_lines_digest_whole(spark, data).first()[0] == digest(sorted(names))

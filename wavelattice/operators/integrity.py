@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +29,25 @@ def manifest_difference(expected: DataFrame, found: DataFrame, name: str) -> Dat
 
 
 def lines_digest(df: DataFrame, line: str, order: list[str] | None = None) -> DataFrame:
-    """SHA-256 of a small list of lines, each ended; sorted, or in a stated order."""
-    keyed = F.struct(*(order or []), F.col(line).alias("_line"))
-    lines = F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["_line"])
-    return df.agg(digest(F.concat(F.array_join(lines, "\n"), F.lit("\n"))).alias("sha256"))
+    """SHA-256 of all lines, each ended; sorted, or in a stated order. Null lines are left out.
+
+    A digest of one text cannot be formed in parts, so one task reads the lines in order from a sort that spills to
+    disk; it holds a batch of them at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        found, seen = hashlib.sha256(), False
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found.update(value.encode("utf-8", "replace") + b"\n")
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_pydict({"sha256": [found.hexdigest()]})
+
+    keys = [F.col(f"_o{i}").asc_nulls_last() for i in range(len(order or []))]
+    lines = df.select(F.col(line).cast("string").alias("_line"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order or []))).where("_line is not null")
+    digests = lines.repartition(1).sortWithinPartitions(*keys, "_line").select("_line").mapInArrow(run, "sha256 string")
+    return digests.agg(F.coalesce(F.max("sha256"), F.lit(hashlib.sha256(b"\n").hexdigest())).alias("sha256"))
 
 
 def leak_scan(df: DataFrame, text: str, by: list[str]) -> DataFrame:

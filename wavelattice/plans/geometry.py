@@ -241,6 +241,17 @@ def manifest_diff(spark, d):
     return integrity.manifest_difference(integrity.manifest(docs.where("name % 3 <> 0"), "name", "text"), integrity.manifest(changed, "name", "text"), "name")
 
 
+@query(
+    "WITH a AS (SELECT doc_id AS name, sha256(text) AS s FROM documents WHERE doc_id % 6 <> 1), b AS (SELECT doc_id AS name, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(lang) ELSE text END) AS s FROM documents WHERE doc_id % 6 <> 2) "
+    "SELECT * FROM (SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'extra' WHEN a.s <> b.s THEN 'changed' END AS status FROM a FULL JOIN b ON a.name = b.name) WHERE status IS NOT NULL"
+)
+def manifest_diff_whole(spark, d):
+    """The same with every document on at least one side."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), "text", "lang")
+    changed = docs.where("name % 6 <> 2").withColumn("text", F.when(F.col("name") % 5 == 0, F.upper("lang")).otherwise(F.col("text")))
+    return integrity.manifest_difference(integrity.manifest(docs.where("name % 6 <> 1"), "name", "text"), integrity.manifest(changed, "name", "text"), "name")
+
+
 _RULES = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[a-z]{2,}",
     "phone": "\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}",
@@ -260,6 +271,12 @@ def sorted_lines_digest(spark, d):
     return integrity.lines_digest(table(spark, d, "customer").where("c_custkey < 100"), "c_name")
 
 
+@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS sha256 FROM customer")
+def sorted_lines_digest_whole(spark, d):
+    """The same over all customers."""
+    return integrity.lines_digest(table(spark, d, "customer"), "c_name")
+
+
 @query("SELECT event_type, (json_extract(props, '$.k'))::INT % 5 AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_label_counts(spark, d):
     k = F.from_json("props", "k int").getField("k") % 5

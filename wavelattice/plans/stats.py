@@ -137,8 +137,7 @@ def _perm_sql(within: str) -> str:
     )
 
 
-def _permutation(spark, d, within):
-    h = halves(spark, d).where("id < 100")
+def _permutation(h, within):
     moved = dependence.permuted(h, "id", ["y"], 9, 7, within).join(h.select("id", "x"), "id")
     return rounded(dependence.permutation_p(dependence.distance_correlation(moved, "id", "x", "y", ["rep"]), "dcor"))
 
@@ -146,13 +145,25 @@ def _permutation(spark, d, within):
 @query(_perm_sql(""))
 def dcor_perm_hash(spark, d):
     """A permutation test of the hundred patients' first blocks."""
-    return _permutation(spark, d, None)
+    return _permutation(halves(spark, d).where("id < 100"), None)
 
 
 @query(_perm_sql(", label"))
 def fold_blocked_perm_hash(spark, d):
     """The same with values kept within their group."""
-    return _permutation(spark, d, ["label"])
+    return _permutation(halves(spark, d).where("id < 100"), ["label"])
+
+
+@query()
+def dcor_perm_hash_whole(spark, d):
+    """The permutation test over all patients' blocks; all pairs of each replicate are too many for SQL."""
+    return _permutation(halves(spark, d), None)
+
+
+@query()
+def fold_blocked_perm_hash_whole(spark, d):
+    """The same over all rows, with values kept within their group."""
+    return _permutation(halves(spark, d), ["label"])
 
 
 _P = "p AS (SELECT event_type AS test, avg((value > 80)::INT) / 10 AS p FROM events GROUP BY event_type)"
