@@ -7,8 +7,6 @@ dictionary of the corpus' own identifiers, divided by its length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,8 +24,10 @@ KINDS = ["assign", "access", "hex", "novel"]
 # Words that make a context sensitive.
 SENSITIVE = r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_ -]?key|credential|auth|bearer|session|signature"
 
-#: Length of candidates, code points on either side that count as surroundings, and before it where a word must stand.
-LEAST_CANDIDATE, AROUND, NEAR = 16, 384, 64
+#: Length of candidates, and code points on either side that count as surroundings.
+LEAST_CANDIDATE, AROUND = 16, 384
+#: Strings of surroundings that give no word to the dictionary.
+ODD = rf"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}"
 #: Words of the identifier dictionary: a fixed size, so that it fits into every task.
 DICTIONARY_WORDS = 4096
 #: Bytes that a candidate must add for each of its characters.
@@ -36,7 +36,8 @@ NOVELTY = 0.66
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _access = re.compile(f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}")
 _hex = re.compile(f"[0-9a-f]{{{LEAST['hex']},}}")
-_candidate = re.compile(f"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}")
+# The last line of an armoured block is a candidate at any length.
+_candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}|(?<=\n)[A-Za-z0-9+/=]{{1,{LEAST_CANDIDATE - 1}}}(?=\r?\n-----END )")
 _sensitive = re.compile(SENSITIVE, re.ASCII | re.IGNORECASE)
 
 
@@ -52,15 +53,49 @@ def base_spans(text: str, longest: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def candidates(text: str, longest: int, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end and both sides' surroundings of long strings near a sensitive word that no span of a fixed kind meets."""
+def candidates(text: str, longest: int, taken: list[tuple[str, int, int]]) -> list[dict]:
+    """Long strings with both sides' surroundings, in the text's order, in chains with a sensitive word somewhere near.
+
+    ``near``: a sensitive word stands in the string or its surroundings. ``linked``: the string follows the one before
+    on the same or the next line, within the surroundings, so that either carries its context to the other. ``held``:
+    it lies wholly inside a span of a fixed kind and is not reported again. ``holds``: it goes beyond a key or hex run
+    that it holds, and is a secret with it.
+    """
     if longest < LEAST_CANDIDATE:
-        return
+        return []
+    out: list[dict] = []
+    chain: list[dict] = []
     for m in _candidate.finditer(text):
         a, b = m.span()
-        if not _sensitive.search(text, max(0, a - NEAR), a) or any(s < b and a < e for _, s, e in taken):
-            continue
-        yield a, b, text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        linked = bool(chain) and a - chain[-1]["end"] <= AROUND and text.count("\n", chain[-1]["end"], a) <= 1
+        if not linked:
+            out += chain if any(c["near"] for c in chain) else []
+            chain = []
+        near = bool(_sensitive.search(text, max(0, a - AROUND), b + AROUND))
+        held = any(s <= a and b <= e for _, s, e in taken)
+        holds = any(a <= s and e <= b for k, s, e in taken if k != "assign")
+        chain.append({"start": a, "end": b, "near": near, "linked": linked, "held": held, "holds": holds})
+    out += chain if any(c["near"] for c in chain) else []
+    for c in out:
+        a, b, held = c["start"], c["end"], c["held"]
+        c |= {"string": "" if held else text[a:b], "before": "" if held else text[max(0, a - AROUND) : a], "after": "" if held else text[b : b + AROUND]}
+    return out
+
+
+def in_context(found: list[dict], hits: list[bool]) -> list[bool]:
+    """Which of a text's candidates are hits near a sensitive word, or within ``AROUND`` of such a one of their chain."""
+    out = [h and c["near"] for c, h in zip(found, hits, strict=True)]
+    last = None
+    for i, c in enumerate(found):
+        last = last if c["linked"] else None
+        out[i] = out[i] or (hits[i] and last is not None and c["start"] - last <= AROUND)
+        last = c["end"] if out[i] else last
+    last = None
+    for i in range(len(found) - 1, -1, -1):
+        out[i] = out[i] or (hits[i] and last is not None and last - found[i]["end"] <= AROUND)
+        last = found[i]["start"] if out[i] else last
+        last = last if found[i]["linked"] else None
+    return out
 
 
 class Novelty:
@@ -82,7 +117,8 @@ SPAN = "struct<kind:string,start:int,end:int,novelty:double>"
 def scan(df: DataFrame, *, text: str = "text", spans: str = "spans", threshold: float = NOVELTY) -> DataFrame:
     """``df`` without its text, with an array of spans (code points, end exclusive), by start and then kind.
 
-    Kinds: ``assign``, ``access``, ``hex`` (fixed) and ``novel`` (method). Null and empty texts have no spans; equal
+    Kinds: ``assign``, ``access``, ``hex`` (fixed) and ``novel`` (method: a sensitive word on either side, or next to
+    another one on the same or an adjacent line). Null and empty texts have no spans; equal
     texts have equal spans; every row stays, repeated ones too. All other columns are kept, one named like the output
     is replaced. The texts are read once; spans and candidates with their surroundings are staged, the dictionary is
     the most frequent words of all surroundings (at most ``DICTIONARY_WORDS``, ties by the word).
@@ -98,14 +134,17 @@ def scan(df: DataFrame, *, text: str = "text", spans: str = "spans", threshold:
                 longest = max(map(len, t.split()), default=0)
                 found = base_spans(t, longest)
                 fixed.append([{"kind": k, "start": a, "end": b, "novelty": None} for k, a, b in found])
-                loose.append([{"start": a, "end": b, "string": t[a:b], "before": x, "after": y} for a, b, x, y in candidates(t, longest, found)])
+                loose.append(candidates(t, longest, found))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(fixed, _SPANS), pa.array(loose, _LOOSE)], names=[*kept, "_fixed", "_loose"])
 
     found = staged(
-        df.select(*kept, text).mapInArrow(find, ", ".join([*fields, f"_fixed array<{SPAN}>", "_loose array<struct<start:int,end:int,string:string,before:string,after:string>>"])),
+        df.select(*kept, text).mapInArrow(find, ", ".join([*fields, f"_fixed array<{SPAN}>", "_loose array<struct<start:int,end:int,near:boolean,linked:boolean,held:boolean,holds:boolean,string:string,before:string,after:string>>"])),
         "secrets",
     )
-    around = found.where(F.size("_loose") > 0).select(F.explode("_loose").alias("c")).select(F.concat_ws(" ", "c.before", "c.after").alias("s"))
+    # Strings with digits, and what the cut at AROUND leaves of them, are neighbours' secrets rather than identifiers.
+    cut = lambda c, at: F.when(F.char_length(c) == AROUND, F.regexp_replace(c, at, "")).otherwise(F.col(c))
+    sides = F.concat_ws(" ", cut("c.before", r"^[A-Za-z0-9+/_=-]+"), cut("c.after", r"[A-Za-z0-9+/_=-]+$"))
+    around = found.where(F.size("_loose") > 0).select(F.explode("_loose").alias("c")).select(F.regexp_replace(sides, ODD, " ").alias("s"))
     words = around.select(F.explode(F.regexp_extract_all("s", F.lit(r"([A-Za-z_]{4,24})"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = [r.word for r in words.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()]
     top.reverse()  # the most frequent words lie nearest, where references are cheapest
@@ -115,10 +154,9 @@ def scan(df: DataFrame, *, text: str = "text", spans: str = "spans", threshold:
         for batch in batches:
             out = []
             for fixed, loose in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
-                for c in loose:
-                    value = novelty(c["before"], c["string"], c["after"])
-                    if value >= threshold:
-                        fixed.append({"kind": "novel", "start": c["start"], "end": c["end"], "novelty": value})
+                values = [None if c["held"] else novelty(c["before"], c["string"], c["after"]) for c in loose]
+                reported = in_context(loose, [c["held"] or c["holds"] or v >= threshold for c, v in zip(loose, values, strict=True)])
+                fixed += [{"kind": "novel", "start": c["start"], "end": c["end"], "novelty": v} for c, v, r in zip(loose, values, reported, strict=True) if r and v is not None]
                 out.append(sorted(fixed, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(out, _SPANS)], names=[*kept, spans])
 
@@ -148,4 +186,4 @@ def redact(df: DataFrame, *, text: str = "text", spans: str = "spans", mark: str
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
-_LOOSE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("string", pa.string()), ("before", pa.string()), ("after", pa.string())]))
+_LOOSE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("near", pa.bool_()), ("linked", pa.bool_()), ("held", pa.bool_()), ("holds", pa.bool_()), ("string", pa.string()), ("before", pa.string()), ("after", pa.string())]))
