@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     light_batches(spark)
     found = staged(jaccard.join(docs), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("ck").alias("ck"))
-    first = found.groupBy("class_id").agg(F.min(order).alias("first")).select("first.id", "first.ck")
+    first = found.groupBy("class_key").agg(F.min(order).alias("first")).select("first.id", "first.ck")
     rows = staged(found.groupBy(F.col("doc_id").alias("id"), "ck").agg(F.count("*").alias("n")), "rows")
     chosen = staged(first.withColumn("chosen", F.lit(True)), "chosen")
     marked = rows.join(chosen, rows.id.eqNullSafe(chosen.id) & (rows.ck == chosen.ck), "left").select(rows.id.alias("_id"), rows.ck.alias("_ck"), "n", "chosen")

@@ -42,6 +42,12 @@ def test_near_duplicates_leave_one_of_each_class(spark, data, docs, odd):
         assert held and all(r[0] == (min(keys) if keys else None) for r in held)
 
 
+def test_unrelated_texts_of_one_key_both_stay(spark, data):
+    rows = [(5, "one text of its own", "en", "a", 1), (5, "another that is not alike", "en", "a", 1), (6, "a third", "en", "a", 1)]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), data)
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
+
+
 def test_secrets_are_hidden_and_nothing_else(spark, data, docs):
     given = documents(spark)
     for df in (docs, given):

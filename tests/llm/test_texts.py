@@ -256,6 +256,20 @@ def test_join_of_odd_rows(spark):
     assert jaccard.join(documents(spark, empty=True)).count() == 0
 
 
+def test_one_key_with_different_texts_is_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(5, long[0]), (5, long[1]), (6, long[0] + " end"), (7, long[1] + " end"), (5, long[1] + " more"), (None, long[2]), (9, long[2] + " end"), (8, "alone"), (8, "by itself")]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    check_classes(rows, found)
+    texts = {hashlib.md5(t.encode()).hexdigest(): t for _, t in rows}
+    groups = {}
+    for r in found:
+        groups.setdefault(r["class_key"], set()).add((r["doc_id"], texts[r["ck"]]))
+    _, want = brute_classes(rows)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(rows[i] for i in g) for g in want}
+
+
 def test_large_group_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 12)
     rng = random.Random(4)

@@ -256,23 +256,23 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ck, copies, class_id, n_links`` for every row of ``docs``.
+    """``doc_id, ck, copies, class_id, class_key, n_links`` for every row of ``docs``.
 
     Two documents are linked when their sets of five-word n-grams have a Jaccard similarity of at least 0.8; equal
     texts (``ck``: MD5) always are, also those without words. ``n_links`` counts the other rows a document is linked
     to, copies included; ``class_id`` is the least key of all that are linked to it directly or through others. A null
-    text is empty. Rows that repeat a key with one text are copies; where all keys of a text are null, its class goes
-    by a negative hash of the text.
+    text is empty. Rows that repeat a key with one text are copies; where all keys of a class are null, it goes by a
+    negative hash of a text. One key with different texts may be the least of several classes: ``class_key``, the least
+    ``ck`` of a class, tells them apart.
 
-    Equal texts become one representative. Bands of MinHash values give candidate groups; within a group, in tiles of
+    Equal texts become one representative with a number of its own. Bands of MinHash values give candidate groups; within a group, in tiles of
     two blocks, pairs are compared value by value and dropped once the posterior probability of reaching the threshold
     is below ``TOLERANCE``; what is left is verified exactly. A tile returns sums and a spanning forest, never pairs.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("ck", F.md5("text"))
     signed = staged(_signed(base), "signed")
-    classes = signed.groupBy("ck").agg(F.min("doc_id").alias("vid"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    own = F.coalesce("vid", -F.abs(F.xxhash64("ck")) - 1)
-    classes = staged(classes.select("ck", own.alias("vid"), "n", "keys"), "classes")
+    classes = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    classes = staged(classes.select("ck", F.monotonically_increasing_id().alias("vid"), "least", "n", "keys"), "classes")
 
     bands = classes.select("vid", F.explode("keys").alias("key"))
     shared = staged(bands.groupBy("key").agg(F.min("vid").alias("v"), F.count("*").alias("members")).where("members > 1"), "bands")
@@ -283,14 +283,13 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     sizes = staged(groups.groupBy("v").agg((F.count("*") + 1).alias("size")).withColumnRenamed("v", "root"), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     placed = lookup_hot(nodes, sizes, "root", "size", total)
-    candidates = staged(classes.select("vid", "ck", "n").join(placed, "vid"), "candidates")
+    candidates = staged(classes.select("vid", "ck", F.col("least").alias("doc_id"), "n").join(placed, "vid"), "candidates")
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("vid"), blocks).cast("int")
-    texts = base.join(sized_broadcast(candidates.withColumn("doc_id", F.col("vid")), 500_000), ["doc_id", "ck"]) if total else None
+    texts = base.join(sized_broadcast(candidates, 500_000), ["doc_id", "ck"]) if total else None
     if texts is not None:
-        nulls = base.where("doc_id is null").withColumn("_vid", -F.abs(F.xxhash64("ck")) - 1)
-        lone = nulls.join(candidates, (F.col("_vid") == F.col("vid")) & (nulls.ck == candidates.ck)).select("vid", "n", "root", "size", "text")
+        lone = base.where("doc_id is null").select("ck", "text").join(candidates.where("doc_id is null"), "ck").select("vid", "n", "root", "size", "text")
         rows = texts.select("vid", "n", "root", "size", "text").unionByName(lone)
         rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -299,9 +298,14 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
         found = docs.sparkSession.createDataFrame([], "vid long, links long, root long")
     links = found.groupBy("vid").agg(F.sum("links").alias("links"))
     forest = components(found.select(F.col("vid").alias("u"), F.col("root").alias("v")).where("u <> v"))
-    info = classes.select("vid", "n").join(links, "vid", "left").join(forest.withColumnRenamed("u", "vid"), "vid", "left")
-    info = info.select("vid", "n", F.coalesce("v", "vid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    info = staged(info.join(classes.select("vid", "ck"), "vid"), "info")
+    info = classes.select("vid", "ck", "least", "n").join(links, "vid", "left").join(forest.withColumnRenamed("u", "vid"), "vid", "left")
+    info = staged(info.select("ck", "least", "n", F.coalesce("v", "vid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "info")
+    named = info.groupBy("root").agg(F.min("least").alias("class_least"), F.min("ck").alias("class_key"), F.count("*").alias("reps"))
+    named = staged(named.where("reps > 1"), "named")
+    total = named.agg(F.sum("reps")).first()[0] or 0
+    info = lookup_hot(info, named, "root", "reps", total).withColumn("class_key", F.coalesce("class_key", "ck"))
+    class_id = F.coalesce("class_least", "least", -F.abs(F.xxhash64("class_key")) - 1)
+    info = staged(info.select("ck", "n", class_id.alias("class_id"), "class_key", "n_links"), "named-info")
     total = info.agg(F.sum("n")).first()[0] or 0
-    members = lookup_hot(signed.select("doc_id", "ck"), info.drop("vid"), "ck", "n", total)
-    return members.select("doc_id", "ck", F.col("n").alias("copies"), "class_id", "n_links")
+    members = lookup_hot(signed.select("doc_id", "ck"), info, "ck", "n", total)
+    return members.select("doc_id", "ck", F.col("n").alias("copies"), "class_id", "class_key", "n_links")
