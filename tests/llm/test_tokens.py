@@ -161,3 +161,15 @@ def test_token_files_of_odd_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert rows_of(rans.token_files(documents(spark), path)) == expected(documents(spark))
     assert rans.token_files(documents(spark, empty=True), path).count() == 0
+
+
+def test_added_tokens_are_encoded_as_the_library_does(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "plain text", "", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y", "<|endoftext", "last"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(want[0]) == 3
+    ids, counts = rans.LibraryEncoder(path).encode(texts)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    rows = rows_of(rans.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path))
+    assert [r[2:] for r in rows] == [(len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for w in want]

@@ -8,6 +8,7 @@ footer lists the blocks (the checkpoints: offset, first token, CRC-32 of the ids
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -207,22 +208,24 @@ def read_tokens(uri: str, coder: Coder, start: int = 0, stop: int | None = None)
 
 
 class LibraryEncoder:
-    """Whole texts by a file of the tokenizers library; strings of special tokens are ordinary text.
+    """Whole texts by a file of the tokenizers library, as it encodes them without adding special tokens.
 
     Where the file splits texts by the byte-level pattern and changes them in no other way, each distinct slice goes
-    through the library's model once and is kept; any other file goes through the library text by text.
+    through the library's model once and is kept; texts that hold an added token (special ones among them), and all
+    texts of any other file, go through the library one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.cache = SliceCache(self._slice) if plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE" else None
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
@@ -231,8 +234,19 @@ class LibraryEncoder:
         return [t.id for t in self.tokenizer.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.cache is not None:
+        if self.cache is None:
+            return self._whole(texts)
+        marked = [i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)]
+        if not marked:
             return self.cache.encode(texts)
+        apart = set(marked)
+        ids, counts = self.cache.encode(["" if i in apart else t for i, t in enumerate(texts)])
+        own, sizes = self._whole([texts[i] for i in marked])
+        ids = np.insert(ids, np.repeat(np.cumsum(counts)[marked], sizes), own)
+        counts[marked] = sizes
+        return ids, counts
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
