@@ -201,6 +201,23 @@ def test_quality_of_odd_rows(spark):
     assert all(r["keep"] for r in kneser.classify(documents(spark), labels.limit(0)).collect() if r["perplexity"] is not None)
 
 
+def test_threshold_is_the_own_quantile_at_every_size(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["mira", "lo", "ten", "unta"]) for _ in range(60)), "small") for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice("abcdefghij klmnop") for _ in range(200)), "wild") for i in range(120)]
+    rows += [(900, "mira lo ten", "none")]
+    labels = spark.createDataFrame([(i, 1) for i, _, lang in rows if lang != "none"], "doc_id long, quality int")
+    found = kneser.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    held = {}
+    for r in found:
+        if r["trusted"] and r["text_hash"] % kneser.HELD_OUT == 0:
+            held.setdefault(r["lang"], []).append(r["perplexity"])
+    assert 0 < len(held["small"]) < 200 and max(held["small"]) < min(held["wild"])
+    limits = {r["lang"]: r["threshold"] for r in found}
+    assert limits["small"] == pytest.approx(max(held["small"])) and limits["wild"] == pytest.approx(max(held["wild"]))
+    assert limits["none"] == pytest.approx(max(held["wild"]))
+
+
 def rows_hash(spark, text):
     return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
 

@@ -24,8 +24,6 @@ SYMBOL_BITS = 12
 #: One trusted document in so many is held out of the fit, for the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.985
-#: A language with fewer held-out documents has the greater of its own and the overall quantile.
-LEAST_HELD = 200
 BATCH_CHARS = 1_000_000
 #: Rows of the probability table that a Python worker keeps (12 bytes each); further shards are read when needed.
 KEPT_ROWS = 8_000_000
@@ -192,9 +190,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
 
     Trusted are documents that ``labels`` (``doc_id``, ``quality``) gives quality 1 and never 0. One in ``HELD_OUT`` of
     them, by a hash of the text so that equal texts stay together, is left out of the fit; the threshold of a language
-    is the quantile of its held-out perplexities (with fewer than ``LEAST_HELD`` of them at least that of all held-out
-    ones), and missing where there are none at all: then every document with a character is kept. Null and empty texts have no perplexity and are not
-    kept. Null languages are a language. Equal texts of a language get equal decisions. Repeated rows stay.
+    is the quantile of its held-out perplexities at every size, of all held-out ones where it has none, and missing
+    where there are none at all: then every document with a character is kept. Null and empty texts have no perplexity
+    and are not kept. Null languages are a language. Equal texts of a language get equal decisions. Repeated rows stay.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted"))
     base = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), text_hash(text).alias("text_hash"), F.col(lang).alias("lang"))
@@ -209,12 +207,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     seen = scored.where("held and perplexity is not null")
     overall = seen.agg(F.percentile_approx("perplexity", quantile, 100_000)).first()[0]
     name = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")).alias("_lang")
-    limits = seen.groupBy(name).agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"), F.count("*").alias("n"))
+    limits = seen.groupBy(name).agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
     sizes = scored.groupBy(name).agg(F.count("*").alias("rows"))
     limits = staged(sizes.join(limits, "_lang", "left"), "limits")
     total = limits.agg(F.sum("rows")).first()[0] or 0
     found = lookup_hot(scored.withColumn("_lang", name), limits, "_lang", "rows", total)
-    anyway = F.lit(overall).cast("double")
-    threshold = F.when(F.col("n") >= LEAST_HELD, F.col("threshold")).otherwise(F.greatest("threshold", anyway))
+    threshold = F.coalesce("threshold", F.lit(overall).cast("double"))
     keep = F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))
     return found.select("doc_id", "text_hash", "lang", "trusted", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
