@@ -7,6 +7,12 @@ import random
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, size long, keep string, perplexity string, _bucket int"
 
 
+def hash_twins(n: int = 2048) -> tuple[str, str]:
+    """Two words that share every polynomial hash modulo 2^64 with an odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def documents(spark, *, empty: bool = False):
     rng = random.Random(3)
     words = ["ka", "lo", "mira", "ten", "os", "vel", "unta", "pri", "dor", "esk", "an", "tho", "rin", "gal"]
@@ -35,9 +41,12 @@ def documents(spark, *, empty: bool = False):
         prose(45),
         "Released under the MIT License.",
         "tab\tand\x00nul",
+        "special <|endoftext|> string",
+        "一刀嘀 一刀嘀 \U0001f600\U00020000 漢字",
+        "twin " + " ".join(hash_twins()),
     ]
     rows = [(i, t, ("en", "de", None)[i % 3], ("a", "b", None)[i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
-    rows += [rows[0], rows[3], (None, prose(12), "en", "a", 1), (None, None, None, None, None)]
+    rows += [rows[0], rows[3], (0, "another text of the first key", "en", "a", 1), (None, prose(12), "en", "a", 1), (None, None, None, None, None)]
     rows = [(*r, "x", 7, "k", "p", 1) for r in rows]
     return spark.createDataFrame([] if empty else rows, SCHEMA)
 

@@ -10,13 +10,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wavelattice.llm import bpe, pretokens, queries, rans
+from wavelattice.llm import bpe, pretokens, queries, rans, slicecache
 
-from .edge import documents, plain
+from .edge import documents, hash_twins, plain
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -62,6 +64,56 @@ def test_long_slices_merge_like_short_ones(reference):
         assert bpe.merge(piece.encode(), ranks) == reference.encode_ordinary(piece)
 
 
+def test_words_that_share_a_hash_are_told_apart(spark, reference, vocabulary):
+    a, b = hash_twins()
+    points = np.frombuffer((a + b).encode("utf-32-le"), np.uint32)
+    found = slicecache.slice_hashes(points, np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]))
+    assert a != b and found[0] == found[1]
+    texts = [f"x {a} y {b} z", b, f"{b}, {a}", a, "other"]
+    for _ in range(2):
+        ids, counts = vocabulary.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [reference.encode_ordinary(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(rans.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))) == expected(docs)
+    made = bpe.decode(bpe.encode(docs, RANKS, offsets="ends"), RANKS, offsets="ends").collect()
+    assert {r["doc_id"]: (r["ids"], bytes(r["decoded"]).decode()) for r in made} == {i: (reference.encode_ordinary(t), t) for i, t in enumerate(texts)}
+
+
+def test_cache_starts_anew_without_a_change_of_ids(vocabulary, reference, monkeypatch):
+    monkeypatch.setattr(slicecache, "MAX_ENTRIES", 3)
+    for texts in (["one two three"], ["four five six one"], ["two seven"], ["one two three"]):
+        assert vocabulary.encode(texts)[0].tolist() == reference.encode_ordinary(texts[0])
+
+
+def test_offsets_that_do_not_fit_fail(spark):
+    df = bpe.encode(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), RANKS, offsets="ends")
+    wrong = df.withColumn("ends", F.transform("ends", lambda e: e + 1))
+    with pytest.raises(Exception, match="do not fit"):
+        bpe.decode(wrong, RANKS, offsets="ends").collect()
+
+
+def test_long_texts_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 50)
+    texts = ["word " * n for n in (0, 1, 400, 3, 2, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = bpe.decode(bpe.encode(df, RANKS, offsets="ends"), RANKS, offsets="ends").collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in rows} == dict(enumerate(texts))
+
+
+def test_slices_of_every_code_point_give_the_ids_of_both_libraries(reference, vocabulary):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = rans.LibraryEncoder(path), Tokenizer.from_file(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"ab{chr(c)}1 {chr(c)}'s" for c in points[at : at + 512]) for at in range(0, len(points), 512)]
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        want = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        ids, counts = encoder.encode(part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        ids, counts = vocabulary.encode(part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == reference.encode_ordinary_batch(part)
+
+
 def test_unknown_ids_fail(vocabulary):
     with pytest.raises(ValueError):
         vocabulary.decode(np.array([60_000]))
@@ -138,11 +190,15 @@ def test_damage_is_found(tmp_path):
         list(rans.read_tokens(str(path), coder))
 
 
+def text_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def expected(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
-    for key, text in sorted(plain(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for key, text in sorted(plain(docs), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]), r[1])):
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
         out.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -163,6 +219,15 @@ def test_token_files_of_odd_rows(spark):
     assert rans.token_files(documents(spark, empty=True), path).count() == 0
 
 
+def test_repeated_keys_go_to_several_files(spark, tmp_path):
+    rows = [(5, f"text {i}") for i in range(40)] + [(5, "same")] * 40 + [(None, "none")] * 40 + [(9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = f"file://{tmp_path}/t"
+    index = rans.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    assert len(index) == 4 and max(e["rows"] for e in index) < 60
+    assert rows_of(rans.read_token_files(spark, folder, index)) == expected(df)
+
+
 def test_added_tokens_are_encoded_as_the_library_does(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -8,12 +8,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .shared import text_batches
+from .pretokens import probed_table
+from .shared import byte_slices, text_batches
 from .slicecache import BATCH_CHARS, SliceCache, gather
 
+# Fixed value: the pattern that slices texts, as the public library takes it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 class Vocabulary:
     """Ranks of byte strings (a rank file: base64 and rank in each line), and the texts' encoder on top of them."""
@@ -27,26 +32,34 @@ class Vocabulary:
             self.lengths[rank] = len(piece)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(piece for piece, _ in by_rank), np.uint8)
-        self.cache = SliceCache(lambda piece: merge(piece.encode("utf-8", "replace"), self.ranks))
+        self.cache = SliceCache(lambda piece: merge(piece.encode("utf-8", "replace"), self.ranks), probed_table(_joined))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts laid end to end, and the number of ids of each; checked by decoding."""
-        ids, counts = self.cache.encode(texts)
-        data, _ = self.decode(ids)
-        if data.tobytes() != "".join(texts).encode("utf-8", "replace"):
-            # Two slices share a hash: one that is not kept in a cache is merged on its own.
-            fresh = [SliceCache(self.cache.resolve).encode([t]) for t in texts]
-            ids, counts = np.concatenate([x for x, _ in fresh]), np.array([x.size for x, _ in fresh])
-            self.cache.clear()
-        return ids, counts
+        """Ids of all texts laid end to end, and the number of ids of each."""
+        return self.cache.encode(texts)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the ids laid end to end, and the offset behind each id's bytes."""
+    def sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of each id; an id that is not in the vocabulary fails."""
         if ids.size and (int(ids.min()) < 0 or int(ids.max()) >= self.lengths.size or not self.lengths[ids].all()):
             raise ValueError("an id is not in the vocabulary")
+        return self.lengths[ids]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids laid end to end, and the offset behind each id's bytes."""
+        self.sizes(ids)
         return gather(self.blob, self.offsets, self.lengths, ids)
 
 
+def _joined(pairs: list[str]) -> list[bool]:
+    """Whether the pattern keeps two-letter texts in one slice, by the public library's own engine.
+
+    Its probe vocabulary merges the first letter with the next byte, which happens only within a slice.
+    """
+    pieces = [bytes([b]) for b in range(256)] + [p.encode() + bytes([b]) for p in {p[0] for p in pairs} for b in range(0x80, 0x100)]
+    probe = tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+    return [len(ids) < 1 + len(pair[1:].encode()) for pair, ids in zip(pairs, probe.encode_ordinary_batch(pairs, num_threads=1), strict=True)]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one slice: the adjacent pair of least rank merges first, the leftmost of equals."""
     if piece in ranks:
@@ -125,7 +138,7 @@ def encode(df: DataFrame, ranks_path: str, *, text: str = "text", ids: str = "id
     name = ship(df, ranks_path)
     kept = [c for c in df.columns if c not in (ids, offsets)]
     out = df.select(*kept).limit(0)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{ids}` array<int>", *([f"`{offsets}` array<long>"] if offsets else [])])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{ids}` array<int>", *([f"`{offsets}` array<int>"] if offsets else [])])
 
     def run(batches):
         vocabulary = _vocabulary(name)
@@ -136,14 +149,18 @@ def encode(df: DataFrame, ranks_path: str, *, text: str = "text", ids: str = "id
             if offsets:
                 ends = np.cumsum(vocabulary.lengths[flat])
                 base = np.concatenate([[0], ends])[bounds]
-                made[offsets] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends - np.repeat(base[:-1], counts)))
+                made[offsets] = pa.ListArray.from_arrays(pa.array(bounds), pa.array((ends - np.repeat(base[:-1], counts)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.values()], names=[*kept, *made])
 
     return df.select(*{*kept, text}).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of its ids (null ids: empty); an id that the vocabulary lacks fails the job."""
+def decode(df: DataFrame, ranks_path: str, *, ids: str = "ids", offsets: str | None = None, out: str = "decoded") -> DataFrame:
+    """``df`` with the bytes of its ids (null ids: empty); an id that the vocabulary lacks fails the job.
+
+    ``offsets``: a column of each token's end in bytes, as ``encode`` gives it. Every token's bytes then go where its
+    end says; ends that do not fit the tokens fail the job.
+    """
     name = ship(df, ranks_path)
     kept = [c for c in df.columns if c != out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), f"`{out}` binary"])
@@ -151,16 +168,25 @@ def decode(df: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "deco
     def run(batches):
         vocabulary = _vocabulary(name)
         for batch in batches:
-            step = max(1, min(batch.num_rows, 256))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                lists = part.column(kept.index(ids))
-                lists = lists.fill_null([]) if lists.null_count else lists
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                counts = np.diff(lists.offsets.to_numpy())
-                data, ends = vocabulary.decode(flat)
-                bounds = np.concatenate([[0], ends]).astype(np.int64)[np.concatenate([[0], np.cumsum(counts)])]
+            lists = _lists(batch.column(kept.index(ids)))
+            counts = np.diff(lists.offsets.to_numpy())
+            for start, stop in byte_slices(counts * 8, BATCH_CHARS):
+                part = batch.slice(start, stop - start)
+                flat = lists.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
+                n = np.concatenate([[0], np.cumsum(counts[start:stop])])
+                sizes = vocabulary.sizes(flat)
+                ends = np.cumsum(sizes)
+                bounds = np.concatenate([[0], ends])[n].astype(np.int64)
+                if offsets:
+                    own = _lists(part.column(kept.index(offsets))).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    if own.size != flat.size or not np.array_equal(own + np.repeat(bounds[:-1], np.diff(n)), ends):
+                        raise ValueError("the offsets do not fit the tokens")
+                data, _ = gather(vocabulary.blob, vocabulary.offsets, vocabulary.lengths, flat)
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), binary.cast(pa.binary())], names=[*kept, out])
 
     return df.select(*kept).mapInArrow(run, schema)
+
+
+def _lists(column: pa.ListArray) -> pa.ListArray:
+    return column.fill_null([]) if column.null_count else column

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
@@ -31,6 +32,19 @@ def class_table() -> np.ndarray:
     return _classes
 
 
+def probed_table(joined: Callable[[list[str]], list[bool]]) -> np.ndarray:
+    """``class_table`` with the code points that this Python's Unicode does not know classed as a library splits them.
+
+    A letter joins the letter before it, a number the number: ``joined`` says of two-letter texts whether each is one
+    slice. The planes above the third hold no letters or numbers in any version of Unicode so far.
+    """
+    unknown = np.array([c for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"])
+    table = class_table().copy()
+    for cls, before in ((LETTER, "a"), (NUMBER, "1")):
+        table[unknown[np.array(joined([before + chr(c) for c in unknown]), bool)]] = cls
+    return table
+
+
 def transition_table() -> np.ndarray:
     """``TRANSITION[class, state]``: the state after a code point of that class."""
     plain = {LETTER: IN_LETTERS, NUMBER: IN_NUMBERS, OTHER: IN_OTHER, SPACE: AFTER_SPACE, WHITE: AFTER_WHITE, END: FRESH}
@@ -55,9 +69,9 @@ def transition_table() -> np.ndarray:
 TRANSITION = transition_table()
 
 
-def classes_of(points: np.ndarray) -> np.ndarray:
-    """Class of each code point; apostrophes look at the two code points behind them."""
-    found = class_table()[points]
+def classes_of(points: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Class of each code point (by ``table``); apostrophes look at the two code points behind them."""
+    found = (class_table() if table is None else table)[points]
     at = np.flatnonzero(points[:-1] == ord("'"))
     if at.size:
         one = points[at + 1]
@@ -115,13 +129,14 @@ def scan_states(classes: np.ndarray, width: int = 256) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def slice_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def slice_starts(points: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """Sorted starts of the slices of texts laid end to end, a separator (any code point) behind each.
 
-    ``ends``: position of each text's separator. Separators come out as slices of their own.
+    ``ends``: position of each text's separator. Separators come out as slices of their own. ``table``: the class of
+    every code point, where it is another than this Python's.
     """
     n = points.size
-    classes = classes_of(points)
+    classes = classes_of(points, table)
     # An apostrophe's look-ahead must not cross a separator.
     for back, kinds in ((1, (A1, A2)), (2, (A2,))):
         at = ends[ends >= back] - back

@@ -28,8 +28,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts decoded from them, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), ranks)
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, offsets="ends")
+    decoded = bpe.decode(encoded.select("doc_id", "ids", "ends"), ranks, offsets="ends")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .bpe import ship
 from .files import INDEX, open_fs, read_range, write_parts, write_whole
-from .shared import scratch, shuffle_width, text_batches
+from .pretokens import probed_table
+from .shared import scratch, shuffle_width, text_batches, text_or_empty
 from .slicecache import BATCH_CHARS, SliceCache
 
 MAGIC = b"RANSTOK1"
@@ -223,13 +224,19 @@ class LibraryEncoder:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.cache = SliceCache(self._slice) if plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE" else None
+        self.cache = SliceCache(self._slice, probed_table(self._joined)) if plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE" else None
         added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
+    def _joined(self, pairs: list[str]) -> list[bool]:
+        # A line feed stays apart from a letter or number before it.
+        text = "\n".join(pairs)
+        whole = {a // 3 for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if b - a == 2 and text[a] != "\n"}
+        return [i in whole for i in range(len(pairs))]
+
     def _slice(self, piece: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
 
@@ -265,8 +272,9 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, *, key: s
 
     Returns the index, one entry a file: ``part``, ``path``, ``bytes``, ``rows``, ``units`` (tokens) and ``start``
     (tokens in all files before). A null text is empty; rows with a null key come first, rows with one key in the
-    order of their texts. No row gives no file. Only files' names and sums reach the driver, and the counts of the
-    vocabulary's ids.
+    order of their texts' 64-bit hashes, then of the texts. No row gives no file. Only files' names and sums reach the
+    driver, and the counts of the vocabulary's ids. The rows of one key, even of one key and text, are dealt to as many
+    files as ranges of key, hash and row number make of them.
 
     The texts are dealt by key ranges and encoded once, into plain files that also hold the id counts; the counts are
     summed by a job; then each plain file becomes a coded one. Every file's name depends only on its partition.
@@ -293,8 +301,10 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, *, key: s
         data = _pack(counts=counts)
         yield struct.pack("<BQ", 2, len(data)) + data
 
-    source = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias(text))
-    dealt = source.repartitionByRange(width, F.col("_key").asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first(), text)
+    value = text_or_empty(text)
+    source = df.select(F.col(key).cast("long").alias("_key"), value.alias(text), F.xxhash64(value).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.col("_key").asc_nulls_first(), F.col("_hash")]
+    dealt = source.repartitionByRange(width, *order, F.col("_row")).sortWithinPartitions(*order, text).select("_key", text)
     raw = write_parts(dealt, f"{folder}/plain", ".ids", plain)
 
     counted = _per_file(spark, raw, _count_rows, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()

@@ -22,10 +22,12 @@ _own_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where none is set on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="wavelattice-")
@@ -57,6 +59,22 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def byte_slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes add up to at most ``most`` (a larger row is a run of its own)."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < ends.size:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def lengths_of(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a string or binary column (null: 0)."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
 def text_batches(
     batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 1_000_000
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -65,17 +83,9 @@ def text_batches(
     Slices are cut by the texts' bytes before any string is made; a text that is longer is a slice of its own.
     """
     for batch in batches:
-        if not batch.num_rows:
-            continue
         values = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        start = 0
-        while start < batch.num_rows:
-            before = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + max_chars, "right")))
-            part = batch.slice(start, stop - start)
-            yield part, ["" if t is None else t for t in values.slice(start, stop - start).to_pylist()]
-            start = stop
+        for start, stop in byte_slices(lengths_of(values), max_chars):
+            yield batch.slice(start, stop - start), ["" if t is None else t for t in values.slice(start, stop - start).to_pylist()]
 
 
 def lookup_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:

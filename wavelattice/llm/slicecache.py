@@ -1,4 +1,4 @@
-"""Slices of texts to ids through a cache keyed by 64-bit rolling hashes, whole batches at a time."""
+"""Slices of texts to ids through a cache, whole batches at a time: found by hash, compared by their code points."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import numpy as np
 
 from . import pretokens
 
-#: Entries a process keeps before the cache starts anew.
-MAX_ENTRIES = 1_500_000
+#: Entries, and code points of them, that a process keeps before the cache starts anew (results do not depend on it).
+MAX_ENTRIES, MAX_POINTS = 1_500_000, 12_000_000
 #: Code points a batch is cut to (a longer single text is a batch of its own).
 BATCH_CHARS = 1_000_000
 
@@ -36,7 +36,10 @@ def _values() -> np.ndarray:
 
 
 def slice_hashes(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Polynomial hash modulo 2^64 of every slice, from one prefix sum."""
+    """Polynomial hash modulo 2^64 of every slice, from one prefix sum.
+
+    Different slices can be made to share a hash, so that a caller compares what it finds by it.
+    """
     up, down = _powers(points.size)
     sums = np.zeros(points.size + 1, np.uint64)
     np.cumsum(_values()[points] * up[: points.size], out=sums[1:])
@@ -55,29 +58,29 @@ def gather(blob: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, which: np
 
 
 class SliceCache:
-    """Ids of slices by hash; ``resolve`` gives the ids of a slice that is met for the first time.
+    """Ids of slices; ``resolve`` gives the ids of a slice that is met for the first time.
 
-    Two different slices with one hash would get one list of ids: for a million cached slices and ten million lookups
-    the chance is below one in a million; callers that decode compare the result with the text.
+    A slice is looked up by its hash and compared with the cached one code point by code point; a slice that shares
+    its hash with another one is kept by its text.
     """
 
-    def __init__(self, resolve: Callable[[str], list[int]]):
-        self.resolve = resolve
+    def __init__(self, resolve: Callable[[str], list[int]], classes: np.ndarray | None = None):
+        self.resolve, self.classes = resolve, classes
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.slot = np.empty(0, np.int64)
-        self.flat = np.empty(0, np.int32)
-        self.offsets = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
+        self.ids = Ragged(np.int32)
+        self.points = Ragged(np.uint32)
+        self.twins: dict[str, int] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end (int32), and the number of ids of each text."""
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        starts = pretokens.slice_starts(points, ends)
+        starts = pretokens.slice_starts(points, ends, self.classes)
         cut = np.searchsorted(starts, ends)  # each separator's own slice
         stops = np.append(starts[1:], points.size)
         real = np.ones(starts.size, bool)
@@ -86,27 +89,60 @@ class SliceCache:
         if not starts.size:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         hashes, first, inverse = np.unique(slice_hashes(points, starts, stops), return_index=True, return_inverse=True)
-        if self.keys.size > MAX_ENTRIES:
+        if self.ids.lengths.size > MAX_ENTRIES or self.points.flat.size > MAX_POINTS:
             self.clear()
         at = np.searchsorted(self.keys, hashes)
         known = at < self.keys.size
         known[known] = self.keys[at[known]] == hashes[known]
         if not known.all():
-            self._add(joined, starts, stops, hashes[~known], first[~known])
+            slots = self._add(joined, points, starts[first[~known]], stops[first[~known]])
+            where = np.searchsorted(self.keys, hashes[~known])
+            self.keys = np.insert(self.keys, where, hashes[~known])
+            self.slot = np.insert(self.slot, where, slots)
             at = np.searchsorted(self.keys, hashes)
         which = self.slot[at][inverse.reshape(-1)]
-        ids, id_ends = gather(self.flat, self.offsets, self.lengths, which)
+        for k in np.flatnonzero(self._differ(points, starts, stops, which)).tolist():
+            piece = joined[starts[k] : stops[k]]
+            if piece not in self.twins:
+                self.twins[piece] = int(self._add(joined, points, starts[k : k + 1], stops[k : k + 1])[0])
+            which[k] = self.twins[piece]
+        ids, id_ends = gather(self.ids.flat, self.ids.offsets, self.ids.lengths, which)
         bounds = np.concatenate([[0], id_ends])[cut - np.arange(cut.size)]
         return ids, np.diff(bounds, prepend=0)
 
-    def _add(self, joined: str, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
-        found = [self.resolve(joined[a:b]) for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+    def _differ(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether a slice's code points are other than those of the entry found for it."""
+        lengths = stops - starts
+        wrong = self.points.lengths[which] != lengths
+        same = np.flatnonzero(~wrong)
+        if same.size:
+            kept, ends = gather(self.points.flat, self.points.offsets, self.points.lengths, which[same])
+            own, _ = gather(points, starts, lengths, same)
+            other = kept != own
+            if other.any():
+                wrong[same] = np.add.reduceat(other, ends - lengths[same]) > 0
+        return wrong
+
+    def _add(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Resolve and keep slices; their places in the tables."""
+        found = [self.resolve(joined[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.int32, int(lengths.sum()))
+        slots = self.ids.append(np.fromiter((x for ids in found for x in ids), np.int32, int(lengths.sum())), lengths)
+        self.points.append(gather(points, starts, stops - starts, np.arange(starts.size))[0], stops - starts)
+        return slots
+
+
+class Ragged:
+    """Lists of numbers laid end to end."""
+
+    def __init__(self, kind: type):
+        self.flat = np.empty(0, kind)
+        self.offsets = np.empty(0, np.int64)
+        self.lengths = np.empty(0, np.int64)
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         slots = np.arange(self.lengths.size, self.lengths.size + lengths.size)
         self.offsets = np.append(self.offsets, self.flat.size + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
         self.flat = np.append(self.flat, flat)
-        at = np.searchsorted(self.keys, hashes)
-        self.keys = np.insert(self.keys, at, hashes)
-        self.slot = np.insert(self.slot, at, slots)
+        return slots
