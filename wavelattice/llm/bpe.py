@@ -57,7 +57,7 @@ def _joined(pairs: list[str]) -> list[bool]:
     """
     pieces = [bytes([b]) for b in range(256)] + [p.encode() + bytes([b]) for p in {p[0] for p in pairs} for b in range(0x80, 0x100)]
     probe = tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
-    return [len(ids) < 1 + len(pair[1:].encode()) for pair, ids in zip(pairs, probe.encode_ordinary_batch(pairs, num_threads=1), strict=True)]
+    return [len(ids) < 1 + len(pair[1:].encode()) for pair, ids in zip(pairs, map(probe.encode_ordinary, pairs), strict=True)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
