@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelattice.llm import mixing, queries, transport, warc
+from wavelattice.llm import mixing, queries, shared, transport, warc
 
 from .edge import documents, plain
 
@@ -148,3 +148,30 @@ def test_mix_of_odd_rows(spark):
     assert all(r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]] for r in mixed)
     assert mixing.repeated(mixing.mix(documents(spark))).count() == sum(r["copies"] for r in mixed)
     assert mixing.mix(documents(spark, empty=True)).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_null_and_repeated_keys_draw_apart(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(shared, "MOST_BROADCAST", 0)
+    rows = [(None, "one two three four", "a")] * 400 + [(7, f"word{i} and more", "b") for i in range(400)] + [(i, "five words of text here", "c") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == len(rows)
+    for source in "abc":
+        own = [r for r in mixed if r["source"] == source]
+        taken = sum(r["size"] * r["copies"] for r in own)
+        assert taken == pytest.approx(own[0]["target"], rel=0.2)
+    key = lambda r: (str(r["doc_id"]), r["text"], r["copies"])
+    assert sorted(map(key, mixed)) == sorted(map(key, mixing.mix(df.repartition(3)).collect()))
+
+
+def test_mix_of_repeated_rows_matches_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    df = documents(spark).select("doc_id", "text", "source")
+    documents_ = df.unionByName(df).toPandas().astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents_)
+    want = con.sql(queries.SQL["op8_source_mix"])
+    mixed = mixing.mix(df.unionByName(df)).withColumn("taken", F.col("size") * F.col("copies"))
+    assert sorted(map(str, map(tuple, mixed.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))

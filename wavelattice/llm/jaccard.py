@@ -287,7 +287,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("vid"), blocks).cast("int")
-    texts = base.join(sized_broadcast(candidates, 500_000), ["doc_id", "ck"]) if total else None
+    texts = base.join(sized_broadcast(candidates), ["doc_id", "ck"]) if total else None
     if texts is not None:
         lone = base.where("doc_id is null").select("ck", "text").join(candidates.where("doc_id is null"), "ck").select("vid", "n", "root", "size", "text")
         rows = texts.select("vid", "n", "root", "size", "text").unionByName(lone)

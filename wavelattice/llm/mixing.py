@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lookup_hot, staged, text_or_empty
+from .shared import lookup, staged, text_or_empty
 
 #: A source is repeated at most so often.
 MOST = 3
@@ -17,12 +17,33 @@ def source_key(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("~n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
 
 
-def draw(ident: Column, seed: int) -> Column:
+def draw(ident: Column, ordinal: Column, seed: int) -> Column:
     """A number in [0, 1) from a hash of the seed and the document: the same in every run and every order."""
-    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.lit("")))), 1, 12)
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), ident, ordinal.cast("string"))), 1, 12)
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with ``_ordinal``, which of the rows of its ``by`` a row is, from 0.
+
+    Rows that are alone stay where they are. Of the others, those of one group are counted within the partitions they
+    come from, and the partitions' counts are summed up: no group meets in one task.
+    """
+    groups = staged(df.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    if groups.isEmpty():
+        return df.withColumn("_ordinal", F.lit(0).cast("long"))
+    marked = lookup(df, groups, by, "_n")
+    alone = marked.where("_n is null").drop("_n").withColumn("_ordinal", F.lit(0).cast("long"))
+    again = staged(marked.where("_n is not null").drop("_n").withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "again")
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = again.groupBy(by, "_part").agg(F.count("*").alias("_c"))
+    bases = counts.select(by, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy(by, "_part").orderBy("_row"))
+    ordinal = (F.col("_base") + F.col("_own") - 1).alias("_ordinal")
+    placed = again.withColumn("_own", own).join(bases.hint("shuffle_hash"), [by, "_part"])
+    return alone.unionByName(placed.select(*df.columns, ordinal))
+
+
 def ranked(sources: DataFrame) -> DataFrame:
     """``sources`` (unique in ``key``) with ``rank``, counted from 0 in the order of keys.
 
@@ -65,21 +86,23 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
     """``df`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (how often the mix holds the document).
 
     ``size`` counts runs of characters other than white space (null: 0). A document is taken floor(rate) times, and
-    once more with a probability of the rate's fraction, drawn from a hash of the seed and ``key``: rows that repeat a
-    key share the draw. No row is dropped; columns of the outputs' names are replaced. Null is a source of its own,
-    the last. Sizes are summed by source before any shuffle; the rates come back by a join in which a hot source's
-    rows never meet in one task.
+    once more with a probability of the rate's fraction, drawn from a hash of the seed, ``key``, the text's MD5 and,
+    among rows that have all of these and the source in common, the row's number: null and repeated keys draw apart.
+    No row is dropped; columns of the outputs' names are replaced. Null is a source of its own, the last. Sizes are
+    summed by source before any shuffle; the rates come back by a join in which a hot source's rows never meet in one
+    task.
     """
     made = ("size", "source_size", "target", "rate", "copies")
-    base = df.drop(*made, "_key").withColumn("size", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")).withColumn("_key", source_key(source))
+    base = df.drop(*made, "_key", "_ident", "_same").withColumn("size", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")).withColumn("_key", source_key(source))
     sums = staged(base.groupBy("_key").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).withColumnRenamed("_key", "key"), "sums")
     rates = staged(targets(sums, weights, most).select(F.col("key").alias("_key"), F.col("words").alias("source_size"), "target", "rows"), "rates")
-    total = rates.agg(F.sum("rows")).first()[0] or 0
-    joined = lookup_hot(base, rates, "_key", "rows", total).drop("_key", "rows")
+    ident = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(text_or_empty(text)))
+    base = numbered(base.withColumn("_ident", ident).withColumn("_same", F.concat_ws(":", "_ident", "_key")), "_same")
+    joined = lookup(base, rates, "_key", "rows").drop("_key", "_same", "rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
-    extra = (draw(F.col(key), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + extra)
+    extra = (draw(F.col("_ident"), F.col("_ordinal"), seed) < F.col("rate") - whole).cast("long")
+    return joined.withColumn("rate", rate).withColumn("copies", whole + extra).drop("_ident", "_ordinal")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS ident,
+    row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS ordinal, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source
 ), r AS (
@@ -111,7 +112,7 @@ WITH d AS (
   SELECT r.source, r.words, least(r.w::DOUBLE * l.remaining / l.open_w, (3 * r.words)::DOUBLE) AS target FROM r CROSS JOIN l
 ), x AS (
   SELECT d.doc_id, d.size, t.words AS source_size, t.target, CASE WHEN t.words > 0 THEN t.target / t.words ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS draw
+    ('0x' || substr(md5('8:' || ident || ':' || ordinal), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

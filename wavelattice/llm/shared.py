@@ -11,10 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a table that is sent to every task are kept at or below this number by construction.
 MAX_HOT_KEYS = 1000
 
+#: Measured bytes of a table that is sent to every task, at most; beyond it, tables are joined by a shuffle.
+MOST_BROADCAST = 32 << 20
+
 #: Rows of an Arrow batch between Spark and Python: whole texts make them heavy.
 ARROW_ROWS = 1000
 
@@ -108,6 +112,29 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def sized_broadcast(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
-    """``df`` (a staged table of a few short columns) marked for broadcast while its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def data_bytes(df: DataFrame) -> int:
+    """Bytes of the data of a table, summed over its values (8 for a number)."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 8
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda total, x: total + width(x, kind.elementType)), F.lit(8).cast("long"))
+        if isinstance(kind, T.StructType):
+            return sum((width(c.getField(f.name), f.dataType) for f in kind), F.lit(0).cast("long"))
+        return F.lit(8).cast("long")
+
+    return df.agg(F.sum(sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long")))).first()[0] or 0
+
+
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` (a staged table) marked for broadcast while its measured bytes are at most ``MOST_BROADCAST``."""
+    return F.broadcast(df) if data_bytes(df) <= MOST_BROADCAST else df
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left-join ``left`` to ``right`` (staged; unique in ``key``; ``weight``: the key's number of left rows), which is
+    broadcast while it is small; beyond that only its hot keys are."""
+    if data_bytes(right) <= MOST_BROADCAST:
+        return left.join(F.broadcast(right), key, "left")
+    return lookup_hot(left, right, key, weight, right.agg(F.sum(weight)).first()[0] or 0)
