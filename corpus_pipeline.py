@@ -35,11 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = rows.join(chosen, rows.id.eqNullSafe(chosen.id) & (rows.ck == chosen.ck), "left").select(rows.id.alias("_id"), rows.ck.alias("_ck"), "n", "chosen")
     other = staged(marked.where("chosen is null or n > 1"), "others")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.md5(text_or_empty("text")) == F.col("_ck"))
-    single = docs.join(sized_broadcast(other.select("_id", "_ck"), 1_000_000), same, "left_anti")
+    single = docs.join(sized_broadcast(other.select("_id", "_ck")), same, "left_anti")
     repeated = other.where("chosen and n > 1")
     if repeated.isEmpty():
         return single
-    again = docs.join(sized_broadcast(repeated.select("_id", "_ck"), 1_000_000), same)
+    again = docs.join(sized_broadcast(repeated.select("_id", "_ck")), same)
     return single.unionByName(again.dropDuplicates(["_id", "_ck"]).select(*docs.columns))
 
 
@@ -49,8 +49,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = novelty.scan(docs.select(F.md5(text_or_empty("text")).alias("_ck"), "text"), spans="_spans")
     hits = staged(found.where(F.size("_spans") > 0).dropDuplicates(["_ck"]), "hits")
     same = F.md5(text_or_empty("text")) == F.col("_ck")
-    clean = docs.join(sized_broadcast(hits.select("_ck"), 500_000), same, "left_anti")
-    hidden = novelty.redact(docs.join(sized_broadcast(hits, 100_000), same).drop("_ck"), spans="_spans")
+    clean = docs.join(sized_broadcast(hits.select("_ck")), same, "left_anti")
+    hidden = novelty.redact(docs.join(sized_broadcast(hits), same).drop("_ck"), spans="_spans")
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(hidden.select(*docs.columns))
