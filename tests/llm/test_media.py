@@ -17,8 +17,10 @@ from .edge import documents, plain
 @pytest.mark.parametrize("frames", [1, 2, 7, 8, 9, 64, 511, 512, 513, 600])
 def test_streams_round_trip(frames):
     payload = np.random.default_rng(frames).integers(0, 256, 576 * frames, dtype=np.uint8)
-    found = transport.demux(transport.mux(payload))
-    assert (found["payload"] == payload).all() and found["errors"] == 0
+    made = transport.demux(transport.mux(payload))
+    assert made["errors"] == 0 and len(made["streams"]) == 1
+    found = made["streams"][0]
+    assert (found["payload"] == payload).all()
     assert found["pts"].tolist() == [90_000 + 17_280 * i for i in range(-(-frames // 8))]
     assert found["access_pts"].tolist() == found["pts"].tolist()
 
@@ -36,12 +38,95 @@ def test_lost_and_damaged_packets_are_found():
     assert transport.demux(bytes(swapped))["errors"] > 0
 
 
+def packet(pid, counter, data, *, opens=False, flags=None, extra=b""):
+    """A transport packet; ``flags`` and ``extra``: an adaptation field, stuffed so that the packet is full."""
+    head = bytes([0x47, (0x40 if opens else 0) | pid >> 8, pid & 0xFF])
+    if flags is None and len(data) == 184:
+        return head + bytes([0x10 | counter]) + data
+    field = bytes([flags or 0]) + extra
+    field += b"\xff" * (183 - len(data) - len(field))
+    return head + bytes([(0x30 if data else 0x20) | counter, len(field)]) + field + data
+
+
+def table(pid, counter, section):
+    return packet(pid, counter, b"\0" + section + b"\xff" * (183 - len(section)), opens=True)
+
+
+def elementary(ident, data, pts=None, dts=None, stated=True):
+    stamps = b"".join(transport._stamp(np.array([t])).tobytes() for t in (pts, dts) if t is not None)
+    body = bytes([0x80, (0x80 if pts is not None else 0) | (0x40 if dts is not None else 0), len(stamps) + 2]) + stamps + b"\xff\xff" + data
+    return b"\0\0\x01" + bytes([ident]) + (len(body) if stated else 0).to_bytes(2, "big") + body
+
+
+def test_foreign_streams_with_descriptors_duplicates_and_open_lengths():
+    entry = lambda kind, pid, info=b"": bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info
+    association = transport._section(0, 1, (0).to_bytes(2, "big") + (0xE010).to_bytes(2, "big") + (7).to_bytes(2, "big") + (0xE040).to_bytes(2, "big"))
+    program = transport._section(2, 7, (0xE051).to_bytes(2, "big") + b"\xf0\x04" + b"\x05\x02ab" + entry(0x1B, 0x51, b"\x28\x01x") + entry(0x0F, 0x52, b"\x0a\x04eng\0"))
+    video, audio = bytes(range(256)) * 3, b"sound" * 20
+    first, second = elementary(0xE0, video, 9000, 6000, stated=False), elementary(0xE0, b"last", stated=False)
+    sound = elementary(0xC0, audio, 4500)
+    cuts = [first[at : at + 184] for at in range(0, len(first), 184)]
+    rows = [table(0, 3, association), table(0x40, 9, program)]
+    rows += [packet(0x51, k, c, opens=k == 0) for k, c in enumerate(cuts)]
+    n = len(cuts)
+    rows.insert(3, rows[2])  # a packet sent twice
+    rows.insert(5, packet(0x51, 1, b"", flags=0x10))  # no payload: the counter stays
+    rows += [packet(0x52, 15, sound, opens=True, flags=0x40), table(0, 4, association)]
+    rows += [packet(0x51, n % 16, second, opens=True, flags=0x40)]
+    assert all(len(r) == 188 for r in rows)
+    found = transport.demux(b"".join(rows))
+    assert found["errors"] == 0 and found["packets"] == len(rows)
+    a, b = found["streams"]
+    assert (a["program"], a["pid"], a["kind"]) == (7, 0x51, 0x1B) and (b["program"], b["pid"], b["kind"]) == (7, 0x52, 0x0F)
+    assert a["payload"].tobytes() == video + b"last" and b["payload"].tobytes() == audio
+    assert a["pts"].tolist() == [9000, -1] and a["dts"].tolist() == [6000, -1] and b["pts"].tolist() == [4500]
+    assert a["access_offset"].tolist() == [188 * (len(rows) - 1)] and a["access_pts"].tolist() == [-1] and b["access_pts"].tolist() == [4500]
+    lost = rows[:6] + rows[7:]
+    assert transport.demux(b"".join(lost))["errors"] == 1
+    thrice = rows[:3] + [rows[2]] + rows[3:]
+    assert transport.demux(b"".join(thrice))["errors"] == 1
+
+
+def brute_stream(payload):
+    """The stream by the letter, a packet at a time."""
+    out = []
+    full, sent = 576 * 8, 0
+    parts = [payload[at : at + full] for at in range(0, len(payload), full)]
+    for k, part in enumerate(parts):
+        if k % 64 == 0:
+            c = k // 64 & 15
+            association = transport._section(0, 1, bytes([0, 1, 0xE1, 0]))
+            program = transport._section(2, 1, bytes([0xE1, 1, 0xF0, 0, 6, 0xE1, 1, 0xF0, 0]))
+            for pid, section in ((0, association), (256, program)):
+                out.append(bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10 | c, 0]) + section + b"\xff" * (183 - len(section)))
+        pts = 90_000 + 17_280 * k
+        stamp = lambda t: bytes([0x21 | t >> 29 & 14, t >> 22 & 255, 1 | t >> 14 & 254, t >> 7 & 255, 1 | t << 1 & 254])
+        whole = b"\0\0\x01\xbd" + (len(part) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + stamp(pts) + part
+        clock = pts - 9_000
+        first = bytes([7, 0x50]) + (clock << 15 | 0x7E00).to_bytes(6, "big")
+        out.append(bytes([0x47, 0x41, 1, 0x30 | sent & 15]) + first + whole[:176])
+        sent += 1
+        for at in range(176, len(whole), 184):
+            own = whole[at : at + 184]
+            gap = 184 - len(own)
+            field = b"" if not gap else bytes([gap - 1]) + (b"\0" + b"\xff" * (gap - 2) if gap > 1 else b"")
+            out.append(bytes([0x47, 1, 1, (0x30 if gap else 0x10) | sent & 15]) + field + own)
+            sent += 1
+    return b"".join(out)
+
+
 def check_media(rows, texts):
     for r in rows:
         data = texts[r["doc_id"]].encode()
         n = max(1, -(-len(data) // 576)) * 576
         payload = data + b"\xff" * (n - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stream = brute_stream(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        packets = [stream[at : at + 188] for at in range(0, len(stream), 188)]
+        access = [188 * i for i, p in enumerate(packets) if p[1] & 0x40 and p[2] == 1 and p[3] & 0x20 and p[5] & 0x40]
+        stamps = [90_000 + 17_280 * k for k in range(len(access))]
+        assert r["feature"] == f"packets={len(packets)};errors=0;pts={stamps[0]}-{stamps[-1]};access=" + ",".join(f"{t}@{o}" for t, o in zip(stamps, access, strict=True))
 
 
 def test_media_query(spark, data):
@@ -51,6 +136,14 @@ def test_media_query(spark, data):
     check_media(rows, texts)
 
 
+def test_media_batches_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BATCH_BYTES", 5_000)
+    values = [b"x" * n for n in (0, 1, 20_000, 576, 577, 100_000)]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, data binary").coalesce(1)
+    rows = transport.load(transport.store(df)).collect()
+    assert {r["doc_id"]: bytes(r["payload"]).rstrip(b"\xff") for r in rows} == dict(enumerate(values))
+
+
 def test_media_of_odd_rows(spark):
     docs = documents(spark).withColumn("data", F.encode("text", "UTF-8")).withColumn("media", F.lit("clash"))
     rows = transport.load(transport.store(docs)).collect()

@@ -7,6 +7,8 @@ dictionary of the corpus' own identifiers, divided by its length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ SENSITIVE = r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]
 LEAST_CANDIDATE, AROUND = 16, 384
 #: Strings of surroundings that give no word to the dictionary.
 ODD = rf"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}"
+#: Behind every end of a span.
+LAST = 1 << 62
 #: Words of the identifier dictionary: a fixed size, so that it fits into every task.
 DICTIONARY_WORDS = 4096
 #: Bytes that a candidate must add for each of its characters.
@@ -63,6 +67,8 @@ def candidates(text: str, longest: int, taken: list[tuple[str, int, int]]) -> li
     """
     if longest < LEAST_CANDIDATE:
         return []
+    # Spans of one kind do not overlap: the last that begins at or before a place, or the first at or behind it, tells.
+    fixed = {kind: [(s, e) for k, s, e in taken if k == kind] for kind in KINDS[:3]}
     out: list[dict] = []
     chain: list[dict] = []
     for m in _candidate.finditer(text):
@@ -72,8 +78,8 @@ def candidates(text: str, longest: int, taken: list[tuple[str, int, int]]) -> li
             out += chain if any(c["near"] for c in chain) else []
             chain = []
         near = bool(_sensitive.search(text, max(0, a - AROUND), b + AROUND))
-        held = any(s <= a and b <= e for _, s, e in taken)
-        holds = any(a <= s and e <= b for k, s, e in taken if k != "assign")
+        held = any(k and own[k - 1][1] >= b for own in fixed.values() for k in (bisect_right(own, (a, LAST)),))
+        holds = any(k < len(own) and own[k][1] <= b for kind, own in fixed.items() if kind != "assign" for k in (bisect_left(own, (a, 0)),))
         chain.append({"start": a, "end": b, "near": near, "linked": linked, "held": held, "holds": holds})
     out += chain if any(c["near"] for c in chain) else []
     for c in out:

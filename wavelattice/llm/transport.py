@@ -6,12 +6,15 @@ with a timestamp; each such packet begins in a transport packet that is a random
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import byte_slices, lengths_of
+
 FRAME_BYTES = 576
 FRAME_TICKS = 2160  # of 90 kHz
 FRAMES_A_PACKET = 8
@@ -20,6 +23,7 @@ PMT_PID, MEDIA_PID, PROGRAM = 0x100, 0x101, 1
 FIRST_PTS = 90_000
 CLOCK_LEAD = 9_000
 HEADER = 14  # of an elementary packet: start code, length, flags, one timestamp
+BATCH_BYTES = 16 << 20  # of values that are worked on at a time (a larger one on its own)
 ADAPTATION = 8  # length, flags and clock of a random-access point
 
 
@@ -123,57 +127,145 @@ def mux(payload: np.ndarray) -> bytes:
     return np.concatenate(out).tobytes()
 
 
-def demux(stream: bytes) -> dict:
-    """Payload, timestamps, random-access points (byte offset, timestamp) and counter errors of a transport stream."""
-    if not stream or len(stream) % 188:
-        raise ValueError("a transport stream is a positive multiple of 188 bytes")
-    packets = np.frombuffer(stream, np.uint8).reshape(-1, 188)
-    if not (packets[:, 0] == 0x47).all():
-        raise ValueError("a sync byte is missing")
-    pid = (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
-    program = int.from_bytes(_read_section(packets, pid, 0)[10:12], "big") & 0x1FFF
-    media = int.from_bytes(_read_section(packets, pid, program)[13:15], "big") & 0x1FFF
-    errors = 0
-    for each in (0, program, media):
-        counters = packets[pid == each, 3] & 15
-        errors += int(np.count_nonzero((counters[1:] - counters[:-1]) & 15 != 1))
-    at = np.flatnonzero(pid == media)
-    own = packets[at]
-    adapted = (own[:, 3] & 0x20) > 0
-    begin = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
-    flat = own.ravel()
-    lengths = 188 - begin
-    ends = np.cumsum(lengths)
-    keep = np.ones(own.shape, bool)
-    short = np.flatnonzero(begin > 4)
-    keep[short] = np.arange(188) >= begin[short, None]
-    keep[:, :4] = False
-    data = flat[keep.ravel()]
-    opens = (own[:, 1] & 0x40) > 0
-    starts = (ends - lengths)[opens]
-    head = data[starts[:, None] + np.arange(HEADER)].astype(np.int64)
-    if not starts.size or (head[:, :3] != (0, 0, 1)).any() or (head[:, 8] != 5).any():
-        raise ValueError("an elementary packet has no plain header with a timestamp")
+# Ids of elementary packets that have no optional header (maps, padding, private 2, messages, directory).
+PLAIN_PACKETS = [0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF]
+
+
+class Packets:
+    """The packets of a stream: their ids, flags, counters and where each one's payload begins."""
+
+    def __init__(self, stream: bytes):
+        if not len(stream) or len(stream) % 188:
+            raise ValueError("a transport stream is a positive multiple of 188 bytes")
+        self.rows = np.frombuffer(stream, np.uint8).reshape(-1, 188)
+        if not (self.rows[:, 0] == 0x47).all():
+            raise ValueError("a sync byte is missing")
+        self.pid = (self.rows[:, 1] & 0x1F).astype(np.int32) << 8 | self.rows[:, 2]
+        self.opens = (self.rows[:, 1] & 0x40) > 0
+        adapted = (self.rows[:, 3] & 0x20) > 0
+        self.begin = np.where(adapted, 5 + self.rows[:, 4].astype(np.int64), 4)
+        if (self.begin > 188).any():
+            raise ValueError("an adaptation field is longer than its packet")
+        self.flags = np.where(adapted & (self.begin > 5), self.rows[:, 5], 0)
+        self.filled = ((self.rows[:, 3] & 0x10) > 0) & (self.begin < 188)
+
+    def of(self, pid: int) -> tuple[np.ndarray, int]:
+        """Numbers of the packets of an id that carry payload, a repeated one left out, and the counters' errors.
+
+        A packet may be sent twice in a row; counters of packets without payload stay as they were; where a packet
+        says that its counter starts anew, any value is right.
+        """
+        at = np.flatnonzero((self.pid == pid) & self.filled)
+        counter = self.rows[at, 3] & 15
+        step = (np.diff(counter, prepend=counter[:1] - 1)) & 15
+        again = np.zeros(at.size, bool)
+        for k in np.flatnonzero(step == 0).tolist():
+            a, b = self.rows[at[k - 1]], self.rows[at[k]]
+            again[k] = k > 0 and not again[k - 1] and self.begin[at[k]] == self.begin[at[k - 1]] and bool((a[self.begin[at[k]] :] == b[self.begin[at[k]] :]).all())
+        errors = (step != 1) & ~again & ((self.flags[at] & 0x80) == 0)
+        return at[~again], int(errors.sum())
+
+    def payload(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Payloads of packets laid end to end, and where each begins."""
+        own, begin = self.rows[at], self.begin[at]
+        keep = np.ones(own.shape, bool)
+        keep[:, :4] = False
+        short = np.flatnonzero(begin > 4)
+        keep[short] = np.arange(188) >= begin[short, None]
+        return own.ravel()[keep.ravel()], np.cumsum(188 - begin) - (188 - begin)
+
+    def sections(self, at: np.ndarray) -> Iterator[bytes]:
+        """The table sections in packets, whole over several of them; one whose CRC is wrong fails."""
+        held: bytes | None = None
+        for k in at.tolist():
+            data = self.rows[k, self.begin[k] :].tobytes()
+            parts = [data] if not self.opens[k] else [data[1 : 1 + data[0]], data[1 + data[0] :]]
+            for i, part in enumerate(parts):
+                held = part if i else (held + part if held is not None else None)
+                while held and len(held) >= 3 and held[0] != 0xFF:
+                    size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+                    if len(held) < size:
+                        break
+                    if section_crc(held[:size]):
+                        raise ValueError(f"the table on packet id {int(self.pid[k])} is damaged")
+                    if held[5] & 1:
+                        yield held[:size]
+                    held = held[size:]
+
+
+def _timestamp(head: np.ndarray, at: int) -> np.ndarray:
+    b = head[:, at : at + 5]
+    return (b[:, 0] & 0x0E) << 29 | b[:, 1] << 22 | (b[:, 2] & 0xFE) << 14 | b[:, 3] << 7 | b[:, 4] >> 1
+
+
+def _reassembled(packets: Packets, at: np.ndarray) -> dict:
+    """Payload, timestamps and random-access points of one elementary stream.
+
+    ``pts`` and ``dts`` have an entry for each elementary packet, -1 where it has none. Bytes before the first start
+    belong to no packet and are left out.
+    """
+    data, begins = packets.payload(at)
+    opens = packets.opens[at]
+    starts = begins[opens]
+    head = np.zeros((starts.size, 19), np.int64)
+    where = starts[:, None] + np.arange(19)
+    inside = where < data.size
+    head[inside] = data[where[inside]]
+    if (head[:, :3] != (0, 0, 1)).any():
+        raise ValueError("an elementary packet has no start code")
     sizes = np.diff(np.append(starts, data.size))
-    if (sizes != (head[:, 4] << 8 | head[:, 5]) + 6).any():
+    stated = head[:, 4] << 8 | head[:, 5]
+    if ((stated > 0) & (sizes != stated + 6)).any():
         raise ValueError("an elementary packet is not whole")
-    pts = (head[:, 9] & 0x0E) << 29 | head[:, 10] << 22 | (head[:, 11] & 0xFE) << 14 | head[:, 12] << 7 | head[:, 13] >> 1
-    body = np.ones(data.size, bool)
-    body[(starts[:, None] + np.arange(HEADER)).ravel()] = False
-    access = opens & adapted & ((own[:, 5] & 0x40) > 0)
-    return {"payload": data[body], "pts": pts, "access_offset": at[access] * 188, "access_pts": pts[access[opens]], "packets": len(packets), "errors": errors}
+    plain = np.isin(head[:, 3], PLAIN_PACKETS)
+    length = np.where(plain, 6, 9 + head[:, 8])
+    if (length > sizes).any():
+        raise ValueError("a header is longer than its elementary packet")
+    shift = np.zeros(data.size + 1, np.int64)
+    np.add.at(shift, starts, 1)
+    np.add.at(shift, starts + length, -1)
+    body = np.cumsum(shift[:-1]) == 0
+    body[: int(starts[0]) if starts.size else data.size] = False
+    pts = np.where(~plain & ((head[:, 7] & 0x80) > 0), _timestamp(head, 9), -1)
+    dts = np.where(~plain & ((head[:, 7] & 0xC0) == 0xC0), _timestamp(head, 14), -1)
+    access = (packets.flags[at[opens]] & 0x40) > 0
+    return {"payload": data[body], "pts": pts, "dts": dts, "access_offset": at[opens][access] * 188, "access_pts": pts[access]}
 
 
-def _read_section(packets: np.ndarray, pid: np.ndarray, which: int) -> bytes:
-    found = packets[(pid == which) & ((packets[:, 1] & 0x40) > 0)]
-    if not len(found):
-        raise ValueError(f"no table on packet id {which}")
-    raw = found[0].tobytes()
-    section = raw[5 + raw[4] :]
-    section = section[: 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)]
-    if section_crc(section):
-        raise ValueError(f"the table on packet id {which} is damaged")
-    return section
+def demux(stream: bytes) -> dict:
+    """``packets``, ``errors`` (of counters) and ``streams``: each program's elementary streams in the tables' order.
+
+    A stream has ``program``, ``pid``, ``kind`` (the stream type of its table), ``payload``, ``pts``, ``dts`` and its
+    random-access points (``access_offset`` in bytes, ``access_pts``).
+    """
+    packets = Packets(stream)
+    at, errors = packets.of(0)
+    programs: dict[int, int] = {}
+    for section in packets.sections(at):
+        for k in range(8, len(section) - 4, 4):
+            if number := int.from_bytes(section[k : k + 2], "big"):  # 0 names the network
+                programs[number] = int.from_bytes(section[k + 2 : k + 4], "big") & 0x1FFF
+    if not programs:
+        raise ValueError("no program table")
+    found: dict[tuple[int, int], int] = {}
+    for pid in dict.fromkeys(programs.values()):
+        at, wrong = packets.of(pid)
+        errors += wrong
+        for section in packets.sections(at):
+            if section[0] != 2:
+                continue
+            number, k = int.from_bytes(section[3:5], "big"), 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+            while k < len(section) - 4:
+                found[number, int.from_bytes(section[k + 1 : k + 3], "big") & 0x1FFF] = section[k]
+                k += 5 + (int.from_bytes(section[k + 3 : k + 5], "big") & 0xFFF)
+    if not found:
+        raise ValueError("no table of a program")
+    streams = []
+    for (number, pid), kind in found.items():
+        at, wrong = packets.of(pid)
+        errors += wrong
+        streams.append({"program": number, "pid": pid, "kind": kind} | _reassembled(packets, at))
+    return {"packets": len(packets.rows), "errors": errors, "streams": streams}
 
 
 # ---------------------------------------------------------------- the operators
@@ -191,8 +283,8 @@ def store(df: DataFrame, *, data: str = "data", media: str = "media") -> DataFra
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for start, stop in byte_slices(lengths_of(batch.column(len(kept))), BATCH_BYTES):
+                part = batch.slice(start, stop - start)
                 streams, sizes = [], []
                 for value in part.column(len(kept)):
                     raw = b"" if not value.is_valid else value.as_buffer()
@@ -206,39 +298,41 @@ def store(df: DataFrame, *, data: str = "data", media: str = "media") -> DataFra
     return df.select(*kept, data).mapInArrow(run, ", ".join([*fields, f"`{media}` binary, `{media}_bytes` long"]))
 
 
-def load(df: DataFrame, *, media: str = "media") -> DataFrame:
-    """``df`` with what its streams hold: ``payload``, ``packets``, ``counter_errors``, ``pts``, ``random_access``.
+def load(df: DataFrame, *, media: str = "media", stream: int = 0) -> DataFrame:
+    """``df`` with what its streams hold: ``payload``, ``packets``, ``counter_errors``, ``pts``, ``random_access`` and
+    ``streams``.
 
-    A damaged stream (sync, table, header, length) fails the job; counter errors are counted. Null streams give nulls.
+    Payload, timestamps (null where an elementary packet has none) and random-access points are those of the elementary
+    stream of that number, in the order of the program tables; ``streams`` lists all of them. Where there is no such
+    stream, they are null. A damaged stream (sync, table, header, length) fails the job; counter errors are counted.
+    Null streams give nulls. Batches are cut by bytes; one media value is held whole.
     """
-    made = ["payload", "packets", "counter_errors", "pts", "random_access"]
+    made = ["payload", "packets", "counter_errors", "pts", "random_access", "streams"]
     kept = [c for c in df.columns if c not in made]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema]
-    point = pa.struct([("offset", pa.int64()), ("pts", pa.int64())])
-
-    def ragged(values, parts):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), values)
+    point = pa.list_(pa.struct([("offset", pa.int64()), ("pts", pa.int64())]))
+    listed = pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32()), ("kind", pa.int32()), ("bytes", pa.int64())]))
+    stamp = lambda ticks: [t if t >= 0 else None for t in ticks.tolist()]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            column = batch.column(kept.index(media))
+            for start, stop in byte_slices(lengths_of(column), BATCH_BYTES):
+                part = batch.slice(start, stop - start)
                 found = [demux(v.as_buffer()) if v.is_valid else None for v in part.column(kept.index(media))]
-                none = np.array([x is None for x in found])
-                empty = np.empty(0, np.int64)
-                pts = [empty if x is None else x["pts"] for x in found]
-                where = [empty if x is None else x["access_offset"] for x in found]
-                points = pa.StructArray.from_arrays([pa.array(np.concatenate(where)), pa.array(np.concatenate([empty if x is None else x["access_pts"] for x in found]))], fields=list(point))
+                own = [x["streams"][stream] if x is not None and stream < len(x["streams"]) else None for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(i) for i in range(len(kept))),
-                        pa.array([None if x is None else x["payload"].tobytes() for x in found], pa.binary()),
-                        pa.array([0 if x is None else x["packets"] for x in found], pa.int64(), mask=none),
-                        pa.array([0 if x is None else x["errors"] for x in found], pa.int64(), mask=none),
-                        ragged(pa.array(np.concatenate(pts)), pts),
-                        ragged(points, where),
+                        pa.array([None if x is None else x["payload"].tobytes() for x in own], pa.binary()),
+                        pa.array([None if x is None else x["packets"] for x in found], pa.int64()),
+                        pa.array([None if x is None else x["errors"] for x in found], pa.int64()),
+                        pa.array([None if x is None else stamp(x["pts"]) for x in own], pa.list_(pa.int64())),
+                        pa.array([None if x is None else [{"offset": o, "pts": t} for o, t in zip(x["access_offset"].tolist(), stamp(x["access_pts"]), strict=True)] for x in own], point),
+                        pa.array([None if x is None else [{"program": s["program"], "pid": s["pid"], "kind": s["kind"], "bytes": s["payload"].size} for s in x["streams"]] for x in found], listed),
                     ],
                     names=[*kept, *made],
                 )
 
-    return df.select(*kept).mapInArrow(run, ", ".join([*fields, "payload binary, packets long, counter_errors long, pts array<long>, random_access array<struct<offset:long,pts:long>>"]))
+    schema = "payload binary, packets long, counter_errors long, pts array<long>, random_access array<struct<offset:long,pts:long>>, streams array<struct<program:int,pid:int,kind:int,bytes:long>>"
+    return df.select(*kept).mapInArrow(run, ", ".join([*fields, schema]))
