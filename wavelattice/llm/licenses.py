@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,8 @@ TEMPLATES = {
 PLAIN = set("a above all an and any appear are as at be by can code copies copy files following for form forms free from if in into is it list may met not of one or other person persons provided purpose see shall so source subject that the this to use used was whom with without work you your".split())
 
 COVERAGE = 0.8
+#: Words that may be put in between two telling words of one copy: a part of the template's length, and at least so many.
+INSERTED, LEAST_INSERTED = 0.5, 8
 
 _word = re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -128,6 +131,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
         self.lists = {name: words(text)[0] for name, text in templates.items()}
+        self.counts = {name: Counter(items) for name, items in self.lists.items()}
         self.places: dict[str, list[tuple[str, int]]] = {}
         for name, items in self.lists.items():
             telling = [k for k, w in enumerate(items) if w not in PLAIN]
@@ -142,21 +146,34 @@ class Scanner:
         if self.parts.isdisjoint(re.split(r"[\W_]+", text.lower())):
             return []
         items, spans = words(text)
-        starts: dict[str, set[int]] = {}
+        starts: dict[str, list[int]] = {}
+        hits: dict[str, list[int]] = {}
         for at, w in enumerate(items):
             for name, k in self.places.get(w, ()):
-                starts.setdefault(name, set()).add(at - k)
+                starts.setdefault(name, []).append(at - k)
+                hits.setdefault(name, []).append(at)
         out = []
         for name, found in starts.items():
-            template = self.lists[name]
-            slack = max(1, len(template) // 8)
-            for first, last in _clusters(sorted(found), slack):
-                low, high = max(0, first - slack), min(len(items), last + len(template) + slack)
-                matched = align(template, items[low:high])
-                if len(matched) >= self.coverage * len(template):
-                    out.append((spans[low + matched[0][1]][0], spans[low + matched[-1][1]][1], name, len(matched) / len(template)))
+            size = len(self.lists[name])
+            slack = max(1, size // 8)
+            close = [(first - slack, last + size + slack) for first, last in _clusters(sorted(set(found)), slack)]
+            whole = list(self._aligned(name, items, close))
+            spread = _spreads(hits[name], size, [(a, b) for a, b, _ in whole])
+            whole += self._aligned(name, items, spread)
+            out += [(spans[a][0], spans[b - 1][1], name, n / size, n) for a, b, n in whole]
         return _best(out)
 
+    def _aligned(self, name: str, items: list[str], windows: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """Places and matched words of the template in windows of words, where the coverage suffices."""
+        template = self.lists[name]
+        least = self.coverage * len(template)
+        for low, high in windows:
+            window = items[max(0, low) : high]
+            common = self.counts[name] & Counter(window)
+            if common.total() >= least and len(matched := align(template, window)) >= least:
+                first = max(0, low)
+                yield first + matched[0][1], first + matched[-1][1] + 1, len(matched)
+
 
 def _clusters(starts: list[int], slack: int) -> Iterator[tuple[int, int]]:
     """Runs of possible starts of which each is within ``slack`` of the one before, no run longer than twice that."""
@@ -169,13 +186,40 @@ def _clusters(starts: list[int], slack: int) -> Iterator[tuple[int, int]]:
     yield first, last
 
 
-def _best(found: list[tuple[int, int, str, float]]) -> list[dict]:
-    """Of overlapping spans the longest with the best coverage stays."""
-    out: list[tuple[int, int, str, float]] = []
-    for x in sorted(set(found), key=lambda x: (x[0] - x[1], -x[3], x[2], x[0])):
-        if all(x[0] >= y[1] or x[1] <= y[0] for y in out):
-            out.append(x)
-    return [{"license": n, "coverage": c, "start": a, "end": b} for a, b, n, c in sorted(out)]
+def _spreads(hits: list[int], size: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Windows for copies with words put in: stretches of telling words, each at most ``INSERTED`` of the template's
+    length (or ``LEAST_INSERTED`` words) behind the one before, outside what is found.
+
+    A stretch longer than twice the template is walked in windows of three lengths, a length apart.
+    """
+    ends = sorted(taken)
+    gap = max(LEAST_INSERTED, int(size * INSERTED))
+    run: list[int] = []
+    k = 0
+    for at in [*hits, None]:
+        while at is not None and k < len(ends) and ends[k][1] <= at:
+            k += 1
+        if at is not None and k < len(ends) and ends[k][0] <= at:
+            continue
+        if run and (at is None or at - run[-1] > gap):
+            # A window does not reach into what is found: its words would no longer be unique.
+            low = max(run[0] - size, max((e for _, e in ends[max(0, k - 2) : k] if e <= run[0]), default=0))
+            high = min(run[-1] + size, min((s for s, _ in ends[max(0, k - 2) : k + 1] if s > run[-1]), default=run[-1] + size))
+            yield from ((i, min(high, i + 3 * size + gap)) for i in range(low, max(low + 1, high - 2 * size), size))
+            run = []
+        if at is not None and (not run or run[-1] != at):
+            run.append(at)
+
+
+def _best(found: list[tuple[int, int, str, float, int]]) -> list[dict]:
+    """Of overlapping spans that of the most matched words stays, the shortest of equals."""
+    out: list[tuple[int, int, str, float, int]] = []
+    for x in sorted(set(found), key=lambda x: (-x[4], x[1] - x[0], x[2], x[0])):
+        # What stays does not overlap, so that only the neighbours of a place can.
+        k = bisect_left(out, x)
+        if (not k or out[k - 1][1] <= x[0]) and (k == len(out) or x[1] <= out[k][0]):
+            out.insert(k, x)
+    return [{"license": n, "coverage": c, "start": a, "end": b} for a, b, n, c, _ in out]
 
 
 SPAN = "struct<license:string,coverage:double,start:int,end:int>"
@@ -186,8 +230,9 @@ def scan(df: DataFrame, *, text: str = "text", out: str = "licenses", templates:
     """``df`` without its text, with the licenses whose template the text covers to at least ``coverage``.
 
     Null and empty texts have none; equal texts have equal ones; every row and all other columns stay (one of the
-    output's name is replaced). Where spans of templates overlap, the longest stays. A text is searched whole: windows
-    open wherever a telling word of a template stands, and each is aligned with the template.
+    output's name is replaced). Where spans overlap, that of the most matched words stays. A text is searched whole: windows
+    open wherever a telling word of a template stands, and each is aligned with the template; then longer windows over
+    what is left, for copies with words put in. The work grows with the text's length and the hits, not their square.
     """
     kept = [c for c in df.columns if c not in (text, out)]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema]
