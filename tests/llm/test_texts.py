@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wavelattice.llm import components, jaccard, kneser, licenses, novelty, queries, sketch
@@ -276,7 +277,7 @@ def brute_probabilities(counts):
 
     def p(g):
         if not g:
-            return 1 / (1 << kneser.SYMBOL_BITS)
+            return 1 / 256
         k, lower = len(g), p(g[1:])
         same = [c for h, c in levels[k].items() if h[:-1] == g[:-1] and c > 0]
         if not same:
@@ -288,24 +289,93 @@ def brute_probabilities(counts):
     return p
 
 
-def test_probabilities_match_the_definition(spark):
-    texts = ["abracadabra abba", "banana band", "cabana", "xyz"]
-    trained = [True, True, True, False]
-    df = spark.createDataFrame(list(zip(texts, trained, strict=True)), "text string, t boolean")
-    found = {r["key"]: r["p"] for r in kneser.probabilities(kneser.count_ngrams(df, "text", "t")).collect()}
+def grams(text):
+    """Tuples of symbols, the one that each byte ends: bytes plus 1 behind starts (0)."""
+    padded = [0] * (kneser.ORDER - 1) + [b + 1 for b in text.encode()]
+    return [tuple(padded[i : i + kneser.ORDER]) for i in range(len(text.encode()))]
+
+
+def counted(texts, trained):
     counts = {}
     for text, t in zip(texts, trained, strict=True):
-        padded = "\0" * (kneser.ORDER - 1) + text
-        for i in range(len(text)):
-            g = padded[i : i + kneser.ORDER]
+        for g in grams(text):
             counts[g] = counts.get(g, 0) + t
+    return counts
+
+
+ODD_TEXTS = ["abracadabra abba", "banana band", "cabana", "xyz", "一刀嘀 漢字", "nul \x00\x00 nul", "\U0001f600 \U0001f601", "é ê"]
+
+
+def test_probabilities_match_the_definition(spark):
+    trained = [i % 4 != 3 for i in range(len(ODD_TEXTS))]
+    df = spark.createDataFrame([(i % 2, t, k) for i, (t, k) in enumerate(zip(ODD_TEXTS, trained, strict=True))], "_chunk long, text string, t boolean")
+    rows = kneser.count_ngrams(df, "text", "t").groupBy("key").agg(F.sum("c").alias("c"))
+    found = {r["key"]: r["p"] for r in kneser.probabilities(rows).collect()}
+    counts = counted(ODD_TEXTS, trained)
     p = brute_probabilities(counts)
-    key = lambda g: sum(ord(c) << (kneser.SYMBOL_BITS * (len(g) - 1 - i)) for i, c in enumerate(g))
-    assert found.keys() == {key(g) for g in counts}
+    key = lambda g: sum(c << (kneser.SYMBOL_BITS * (len(g) - 1 - i)) for i, c in enumerate(g))
+    assert found.keys() == {key(g) for g in counts} and len(found) == len(counts)
     for g in counts:
         assert found[key(g)] == pytest.approx(p(g), rel=1e-9)
 
 
+def brute_quality(rows, quality):
+    """Perplexity, threshold and decision of rows (key, text, language) from the definition."""
+    trusted = {k for k in {k for k, _ in quality} if k is not None and min(q for j, q in quality if j == k) == 1}
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - (h >> 63 << 64)
+    held = [k in trusted and signed(t) % kneser.HELD_OUT == 0 for k, t, _ in rows]
+    fit = [k in trusted and not h for (k, _, _), h in zip(rows, held, strict=True)]
+    p = brute_probabilities(counted([t for _, t, _ in rows], fit))
+    value = [np.exp(-np.mean([np.log(p(g)) for g in grams(t)])) if t else None for _, t, _ in rows]
+
+    def bound(values):
+        values = sorted(v for v in values if v is not None)
+        return values[max(0, int(np.ceil(kneser.QUANTILE * len(values))) - 1)] if values else None
+
+    overall = bound(v for v, h in zip(value, held, strict=True) if h)
+    own = {lang: bound(v for v, h, (_, _, x) in zip(value, held, rows, strict=True) if h and x == lang) for lang in {x for _, _, x in rows}}
+    limit = [overall if own[x] is None else own[x] for _, _, x in rows]
+    return value, limit, [v is not None and (t is None or v <= t * (1 + 1e-9)) for v, t in zip(value, limit, strict=True)]
+
+
+@pytest.mark.parametrize("piece", [20, 2_000_000])
+def test_decisions_match_brute_force(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(kneser, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(kneser, "PIECE_ROWS", piece)
+    rng = random.Random(9)
+    words = ["mira", "lo", "ten", "unta", "刀", "\x00", "🙂"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))), ("x", "y", None)[i % 3]) for i in range(36)]
+    rows += [(50 + i, t, "z") for i, t in enumerate(ODD_TEXTS)] + [(70, "", "x"), (71, "qqqq", "none"), (0, rows[0][1], "x"), (None, "lo ten", "y")]
+    quality = [(k, int(k % 7 != 0)) for k, _, lang in rows if k is not None and lang != "none"] + [(None, 1), (3, 1)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    labels = spark.createDataFrame(quality, "doc_id long, quality int")
+    value, limit, keep = brute_quality(rows, quality)
+    want = sorted(((k, t, lang, v, b, ok) for (k, t, lang), v, b, ok in zip(rows, value, limit, keep, strict=True)), key=str)
+    texts = {signed_hash(t): t for _, t, _ in rows}
+    for given in (docs, spark.createDataFrame(rows, "doc_id long, text string, lang string")):
+        found = sorted(((r["doc_id"], texts[r["text_hash"]], r["lang"], r["perplexity"], r["threshold"], r["keep"]) for r in kneser.classify(given, labels).collect()), key=str)
+        assert [f[:3] for f in found] == [w[:3] for w in want]
+        for f, w in zip(found, want, strict=True):
+            assert (f[3] is None) == (w[3] is None) and (f[3] is None or f[3] == pytest.approx(w[3], rel=1e-5))
+            assert f[4] == pytest.approx(w[4], rel=1e-5) and f[5] == w[5]
+
+
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (h >> 63 << 64)
+
+
+def test_equal_texts_have_equal_perplexities(spark):
+    rng = random.Random(10)
+    rows = [(i, "one and the same text" if i % 3 else "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 400)))) for i in range(300)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int")
+    found = {r["perplexity"] for r in kneser.classify(docs, labels).collect() if rows[r["doc_id"]][1] == rows[1][1]}
+    assert len(found) == 1
+
+
 def test_quality_query_on_held_out_labels(spark, data):
     rows = queries.op2_kneser_ney(spark, data).collect()
     keep = {r["doc_id"]: r["keep"] for r in rows}

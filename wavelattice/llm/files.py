@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -69,4 +73,20 @@ def write_parts(
     )
 
 
+def pack(**arrays: np.ndarray) -> bytes:
+    """Named arrays as compressed bytes."""
+    head = json.dumps([[k, v.dtype.str, v.size] for k, v in arrays.items()]).encode()
+    return zstandard.compress(struct.pack("<I", len(head)) + head + b"".join(v.tobytes() for v in arrays.values()), 1)
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.decompress(data)
+    at = 4 + struct.unpack_from("<I", data)[0]
+    out = {}
+    for name, kind, size in json.loads(data[4:at]):
+        out[name] = np.frombuffer(data, kind, size, at)
+        at += out[name].nbytes
+    return out
+
+
 INDEX = pa.schema([("part", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("rows", pa.int64()), ("units", pa.int64())])

@@ -16,13 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ship
-from .files import INDEX, open_fs, read_range, write_parts, write_whole
+from .files import INDEX, open_fs, pack, read_range, unpack, write_parts, write_whole
 from .pretokens import probed_table
 from .shared import scratch, shuffle_width, text_batches, text_or_empty
 from .slicecache import BATCH_CHARS, SliceCache
@@ -129,21 +128,6 @@ def read_table(uri: str) -> Coder:
 # ---------------------------------------------------------------- files
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    head = json.dumps([[k, v.dtype.str, v.size] for k, v in arrays.items()]).encode()
-    return zstandard.compress(struct.pack("<I", len(head)) + head + b"".join(v.tobytes() for v in arrays.values()), 1)
-
-
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    data = zstandard.decompress(data)
-    at = 4 + struct.unpack_from("<I", data)[0]
-    out = {}
-    for name, kind, size in json.loads(data[4:at]):
-        out[name] = np.frombuffer(data, kind, size, at)
-        at += out[name].nbytes
-    return out
-
-
 def encode_file(parts: Iterable[dict[str, np.ndarray]], coder: Coder) -> Iterator[bytes]:
     """A file's bytes from runs of documents: arrays ``doc_id``, ``valid``, ``n`` and their ids laid end to end."""
     yield MAGIC
@@ -174,7 +158,7 @@ def encode_file(parts: Iterable[dict[str, np.ndarray]], coder: Coder) -> Iterato
         yield flush(np.concatenate(held))
     table = np.array(blocks, np.int64).reshape(-1, 5)
     joined = {k: np.concatenate([d[k] for d in docs]) if docs else np.empty(0, np.int64) for k in ("doc_id", "valid", "n")}
-    footer = _pack(**joined, **{k: np.ascontiguousarray(table[:, i]) for i, k in enumerate(("offset", "bytes", "first", "tokens", "crc"))})
+    footer = pack(**joined, **{k: np.ascontiguousarray(table[:, i]) for i, k in enumerate(("offset", "bytes", "first", "tokens", "crc"))})
     yield footer + struct.pack("<Q", len(footer)) + MAGIC
 
 
@@ -187,7 +171,7 @@ def read_footer(uri: str) -> dict[str, np.ndarray]:
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token file")
         f.seek(end - 16 - n)
-        return _unpack(f.read(n))
+        return unpack(f.read(n))
 
 
 def read_tokens(uri: str, coder: Coder, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
@@ -296,9 +280,9 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, *, key: s
             facts["rows"] += n.size
             facts["units"] += ids.size
             small = ids.astype(np.uint16 if not ids.size or int(ids.max()) < 1 << 16 else np.uint32)
-            data = _pack(doc_id=keys.fill_null(0).to_numpy(zero_copy_only=False), valid=keys.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), n=n, ids=small)
+            data = pack(doc_id=keys.fill_null(0).to_numpy(zero_copy_only=False), valid=keys.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), n=n, ids=small)
             yield struct.pack("<BQ", 1, len(data)) + data
-        data = _pack(counts=counts)
+        data = pack(counts=counts)
         yield struct.pack("<BQ", 2, len(data)) + data
 
     value = text_or_empty(text)
@@ -372,7 +356,7 @@ def _sections(uri: str) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     with store.open_input_file(path) as f:
         while head := f.read(9):
             kind, size = struct.unpack("<BQ", head)
-            yield kind, _unpack(f.read(size))
+            yield kind, unpack(f.read(size))
 
 
 def _count_rows(entry: dict) -> Iterator[pa.RecordBatch]:
