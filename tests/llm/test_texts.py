@@ -13,9 +13,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wavelattice.llm import components, jaccard, kneser, licenses, novelty, queries, sketch
+from wavelattice.llm import components, jaccard, kneser, licenses, novelty, queries, shared, sketch
 
-from .edge import documents, plain
+from .edge import documents, hash_twins, plain
 
 # ---------------------------------------------------------------- secrets
 
@@ -471,7 +471,7 @@ def test_join_of_odd_rows(spark):
 
 
 def test_one_key_with_different_texts_is_no_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "TEXT_BLOCK", 3)
     long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
     rows = [(5, long[0]), (5, long[1]), (6, long[0] + " end"), (7, long[1] + " end"), (5, long[1] + " more"), (None, long[2]), (9, long[2] + " end"), (8, "alone"), (8, "by itself")]
     found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
@@ -484,8 +484,13 @@ def test_one_key_with_different_texts_is_no_link(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == {frozenset(rows[i] for i in g) for g in want}
 
 
-def test_large_group_over_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [True, False])
+def test_large_group_over_several_blocks(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "BLOCK", 12)
+    monkeypatch.setattr(jaccard, "TEXT_BLOCK", 9 if small else 256)
+    monkeypatch.setattr(jaccard, "TEXT_BYTES", 4 << 20 if small else 5_000)
+    if not small:
+        monkeypatch.setattr(shared, "MOST_BROADCAST", 0)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -494,7 +499,33 @@ def test_large_group_over_several_blocks(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    rows += [(100 + i, rows[i][1]) for i in range(20)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)] + [(None, rows[3][1])] * 5
+    check_classes(rows, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_words_that_share_a_hash_are_no_copies(spark):
+    a, b = hash_twins()
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{a} {rest} {a}"), (2, f"{b} {rest} {b}"), (3, f"{a} {rest} {a} "), (4, a), (5, b)]
+    sets = jaccard.ngram_sets([t for _, t in rows])
+    for (_, s), x in zip(rows, sets, strict=True):
+        for (_, t), y in zip(rows, sets, strict=True):
+            w = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+            assert len(np.intersect1d(x, y)) == len(w(s) & w(t)) and x.size == len(w(s))
+    check_classes(rows, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    rng = random.Random(14)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(104)]
+        rows.append((2 * g, " ".join(base)))
+        for k in range(rng.randint(1, 2)):
+            base[10 + 40 * k] = "other"
+        rows.append((2 * g + 1, " ".join(base)))
+    links, _ = brute_classes(rows)
+    assert sum(links) > 20
     check_classes(rows, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 

@@ -7,60 +7,113 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lookup_hot, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
-from .slicecache import slice_hashes
+from .shared import located, lookup, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
+from .slicecache import gather, slice_hashes
 
 WORDS, THRESHOLD = 5, (4, 5)  # words of an n-gram; least similarity, as a fraction
 BANDS, ROWS = 28, 5  # a pair at the threshold shares no band with a chance of 2 in 100,000
+FIRST_BANDS = 6  # bands of the first round; later ones only compare what is not linked yet
 STEP = 20  # MinHash values compared at a time
 TOLERANCE = 1e-6
-BLOCK = 400  # class representatives that a task compares with as many others
+BLOCK = 512  # signatures of a bucket that a task compares with as many others
+TEXT_BLOCK, TEXT_BYTES = 256, 4 << 20  # texts of a group, and their bytes, that a task compares with as many others
 BATCH_CHARS = 1_000_000
+PAIRS = 1 << 16  # pairs compared at a time
 
 _P = np.uint64(0x9E3779B185EBCA87)
 _WHITE = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (what white space parts), and the number of words of each text.
+def _word_slices(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, starts and ends of their words (what white space parts), and words of each text.
 
-    Words are found and hashed as slices of one array of code points; no word becomes an object of its own.
+    Words are slices of one array; no word becomes an object of its own.
     """
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     white = _WHITE[np.minimum(points, 0x3001)]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], white]).view(np.int8)))
     starts, stops = edges[::2], edges[1::2]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return slice_hashes(points, starts, stops), np.diff(np.searchsorted(starts, ends), prepend=0)
+    return points, starts, stops, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _filled(words: np.ndarray, lengths: np.ndarray, filler) -> tuple[np.ndarray, np.ndarray]:
+    """Words with fillers behind those of texts that have fewer than ``WORDS``, and the new lengths."""
+    short = np.flatnonzero((lengths > 0) & (lengths < WORDS))
+    if short.size:
+        lack = WORDS - lengths[short]
+        words = np.insert(words, np.repeat(np.cumsum(lengths)[short], lack), filler)
+        lengths = lengths.copy()
+        lengths[short] = WORDS
+    return words, lengths
+
+
+def _starts_of_ngrams(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words begin an n-gram, and the n-grams of each text."""
+    counts = np.maximum(lengths - (WORDS - 1), 0)
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return place < np.repeat(counts, lengths), counts
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of words, text by text, and their number in each.
+    """Hashes of all n-grams of words, text by text, and their number in each; only candidates are found by them.
 
     A text of fewer words has one n-gram, of all of them; a text without words has none.
     """
-    hashes, lengths = _words(texts)
+    points, starts, stops, lengths = _word_slices(texts)
+    hashes = slice_hashes(points, starts, stops)
     if not hashes.size:
         return hashes, lengths
-    short = np.flatnonzero((lengths > 0) & (lengths < WORDS))
-    if short.size:
-        lack = WORDS - lengths[short]
-        hashes = np.insert(hashes, np.repeat(np.cumsum(lengths)[short], lack), np.uint64(1))
-        lengths = lengths.copy()
-        lengths[short] = WORDS
+    hashes, lengths = _filled(hashes, lengths, np.uint64(1))
     out = np.zeros(hashes.size, np.uint64)
     for k in range(WORDS):
         out[: out.size - k] = out[: out.size - k] * _P + hashes[k:]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    counts = np.maximum(lengths - (WORDS - 1), 0)
-    keep = np.arange(out.size) - np.repeat(np.cumsum(lengths) - lengths, lengths) < np.repeat(counts, lengths)
-    return out[keep], counts
+    begins, counts = _starts_of_ngrams(lengths)
+    return out[begins], counts
+
+
+def numbered_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every word, equal for equal words and no others, and the words of each text."""
+    points, starts, stops, lengths = _word_slices(texts)
+    if not starts.size:
+        return np.empty(0, np.int64), lengths
+    _, first, numbers = np.unique(slice_hashes(points, starts, stops), return_index=True, return_inverse=True)
+    numbers, sizes = numbers.reshape(-1), stops - starts
+    like = first[numbers]
+    same = (sizes[like] == sizes).all()
+    if same:
+        every = np.arange(starts.size)
+        same = np.array_equal(gather(points, starts, sizes, like)[0], gather(points, starts, sizes, every)[0])
+    if not same:  # different words share a hash: number them by themselves
+        known: dict[bytes, int] = {}
+        numbers = np.array([known.setdefault(points[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    return numbers, lengths
+
+
+def ngram_sets(texts: list[str]) -> list[np.ndarray]:
+    """The set of n-grams of each text as sorted numbers, equal for equal n-grams of words and no others."""
+    numbers, lengths = numbered_words(texts)
+    if not numbers.size:
+        return [np.empty(0, np.int64)] * len(texts)
+    words = int(numbers.max()) + 2
+    numbers, lengths = _filled(numbers, lengths, words - 1)
+    grams = numbers
+    for k in range(1, WORDS):
+        # Of the run so far and the next word one number is made; both are below 2^31, so that no two runs share it.
+        grams = np.unique(grams[:-1] * words + numbers[k:], return_inverse=True)[1].reshape(-1)
+    begins, counts = _starts_of_ngrams(lengths)
+    grams = grams[np.flatnonzero(begins)]
+    total = int(grams.max()) + 1
+    text = np.repeat(np.arange(counts.size), counts)
+    found = np.unique(text * total + grams)
+    return np.split(found % total, np.searchsorted(found // total, np.arange(1, counts.size)))
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -70,24 +123,21 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash values (a row for each text that has n-grams, in order)."""
+    """MinHash values (a row for each text that has n-grams, in order), of which the low 16 bits are kept."""
     counts = counts[counts > 0]
-    out = np.empty((counts.size, BANDS * ROWS), np.uint32)
+    out = np.empty((counts.size, BANDS * ROWS), np.uint16)
     if counts.size:
         starts = np.cumsum(counts) - counts
         low = (hashes >> np.uint64(32)).astype(np.uint32)
         for i, (a, b) in enumerate(zip(*_factors(), strict=True)):
-            out[:, i] = np.minimum.reduceat(low * a + b, starts)
+            out[:, i] = np.minimum.reduceat(low * a + b, starts).astype(np.uint16)
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), rows.shape[:2]).copy()
-    for k in range(ROWS):
-        out = (out ^ rows[:, :, k]) * _P
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+def band_keys(bands: range) -> Column:
+    """The keys of a signature's bands."""
+    width = ROWS * 2
+    return F.transform(F.sequence(F.lit(bands.start), F.lit(bands.stop - 1)), lambda b: F.xxhash64(F.substring(F.col("sig"), b * width + 1, F.lit(width)), b))
 
 
 def least_matches(n: int, tolerance: float = TOLERANCE) -> int:
@@ -107,24 +157,89 @@ def least_matches(n: int, tolerance: float = TOLERANCE) -> int:
 _LEAST = [least_matches(n) for n in range(STEP, BANDS * ROWS + 1, STEP)]
 
 
-# ---------------------------------------------------------------- one tile of pairs
+# ---------------------------------------------------------------- pairs
+
+
+def pruned(signature: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that no number of compared MinHash values rules out."""
+    out = []
+    for part in range(0, x.size, PAIRS):
+        a, b = x[part : part + PAIRS], y[part : part + PAIRS]
+        met = np.zeros(a.size, np.int64)
+        for least, at in zip(_LEAST, range(0, BANDS * ROWS, STEP), strict=True):
+            met += (signature[a, at : at + STEP] == signature[b, at : at + STEP]).sum(axis=1)
+            stay = met >= least
+            a, b, met = a[stay], b[stay], met[stay]
+            if not a.size:
+                break
+        out.append((a, b))
+    none = np.empty(0, np.int64)
+    return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (none, none)
+
+
+def reached(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least label that each row reaches over the pairs."""
+    label = label.copy()
+    while x.size:
+        before = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        if (before == label).all():
+            break
+    return label
+
+
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The labels after those of each pair are made one, the least: all rows of a label move together."""
+    if not x.size:
+        return label
+    names, code = np.unique(label, return_inverse=True)
+    return names[reached(np.arange(names.size), code[x], code[y])[code]]
+
+
+def linked_labels(signature: np.ndarray, label: np.ndarray, split: int | None) -> np.ndarray:
+    """Labels of rows after pairs that are not ruled out are joined; pairs with one label need no comparison.
+
+    ``split``: rows before it are compared with rows from it on, else all with each other. A few rows are compared with
+    all others first, which joins most of a dense bucket.
+    """
+    n = label.size
+    every = np.arange(n)
+    for leader in dict.fromkeys((0, n - 1, n // 2)):
+        other = every[label != label[leader]]
+        label = joined(label, *pruned(signature, np.full(other.size, leader), other))
+    last = n if split is None else split
+    step = max(1, (1 << 22) // n)
+    for at in range(0, last, step):
+        rows, columns = every[at : min(at + step, last)], every if split is None else every[split:]
+        open_ = label[rows][:, None] != label[columns]
+        if split is None:
+            open_ &= rows[:, None] < columns
+        x, y = np.nonzero(open_)
+        label = joined(label, *pruned(signature, rows[x], columns[y]))
+    return label
 
 
 class Side:
-    """Representatives of a block: ids, class sizes, sorted distinct n-grams and MinHash values."""
+    """Representatives of a block: ids, class sizes, sets of n-grams and MinHash values."""
 
-    def __init__(self, ids: list[int], sizes: list[int], texts: list[str]):
-        hashes, counts = shingles(texts)
+    def __init__(self, ids: list[int], sizes: list[int], sets: list[np.ndarray], signature: np.ndarray):
         self.ids, self.sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
-        self.signature = signatures(hashes, counts)
-        self.sets = [np.unique(h) for h in np.split(hashes, np.cumsum(counts)[:-1])]
-        self.lengths = np.array([s.size for s in self.sets], np.int64)
+        self.sets, self.signature = sets, signature
+        self.lengths = np.array([s.size for s in sets], np.int64)
 
 
 def alike(a: Side, b: Side | None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs at or above the threshold, within a block or between two."""
     other = b or a
-    x, y = _prune(a, other, b is None)
+    low, high = np.minimum(a.lengths[:, None], other.lengths), np.maximum(a.lengths[:, None], other.lengths)
+    open_ = THRESHOLD[1] * low >= THRESHOLD[0] * high
+    x, y = np.nonzero(np.triu(open_, 1) if b is None else open_)
+    both = a.signature if b is None else np.concatenate([a.signature, b.signature])
+    shift = 0 if b is None else a.ids.size
+    x, y = pruned(both, x, y + shift)
+    y = y - shift
     if not x.size:
         return x, y
     if x.size > 4 * (a.ids.size + other.ids.size):
@@ -136,28 +251,6 @@ def alike(a: Side, b: Side | None) -> tuple[np.ndarray, np.ndarray]:
     return x[near], y[near]
 
 
-def _prune(a: Side, b: Side, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that no number of compared MinHash values has ruled out, and whose sizes allow the threshold."""
-    low, high = np.minimum(a.lengths[:, None], b.lengths), np.maximum(a.lengths[:, None], b.lengths)
-    open_ = THRESHOLD[1] * low >= THRESHOLD[0] * high
-    if within:
-        open_ = np.triu(open_, 1)
-    matches = np.zeros(open_.shape, np.int16)
-    for i in range(STEP):
-        matches += a.signature[:, i, None] == b.signature[:, i]
-    x, y = np.nonzero(open_ & (matches >= _LEAST[0]))
-    met = matches[x, y].astype(np.int64)
-    for k, at in enumerate(range(STEP, BANDS * ROWS, STEP), 1):
-        if not x.size:
-            break
-        for part in range(0, x.size, 1 << 16):
-            s = slice(part, part + (1 << 16))
-            met[s] += (a.signature[x[s], at : at + STEP] == b.signature[y[s], at : at + STEP]).sum(axis=1)
-        stay = met >= _LEAST[k]
-        x, y, met = x[stay], y[stay], met[stay]
-    return x, y
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == b.size] = 0
@@ -198,14 +291,7 @@ def link_rows(a: Side, b: Side | None) -> pa.RecordBatch:
     sizes = a.sizes if b is None else np.concatenate([a.sizes, b.sizes])
     y = y if b is None else y + a.ids.size
     links = np.bincount(x, sizes[y], ids.size).astype(np.int64) + np.bincount(y, sizes[x], ids.size).astype(np.int64)
-    root = ids.copy()
-    while x.size:
-        least = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, x, least)
-        np.minimum.at(root, y, least)
-        if (before == root).all():
-            break
+    root = reached(ids, x, y)
     met = links > 0
     return pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(links[met]), pa.array(root[met])], names=["vid", "links", "root"])
 
@@ -217,42 +303,105 @@ def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch, texts in text_batches(batches, "text", BATCH_CHARS):
             hashes, counts = shingles(texts)
-            keys = band_keys(signatures(hashes, counts))
-            bounds = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))], names=["doc_id", "ck", "keys"])
+            rows = iter(signatures(hashes, counts))
+            sigs = [next(rows).tobytes() if c else None for c in counts.tolist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sigs, pa.binary())], names=["doc_id", "ck", "_file", "_line", "bytes", "sig"])
+
+    wide = docs.select("doc_id", "ck", "_file", "_line", F.octet_length("text").cast("long").alias("bytes"), "text")
+    return wide.mapInArrow(run, "doc_id long, ck string, _file long, _line long, bytes long, sig binary")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], tile: list[str], value: str) -> Iterator[dict[str, list]]:
+    """The rows of each tile (``tile``: its columns), a repeated ``value`` of one block left out, as lists by column."""
+    held: list[tuple] = []
+    names: list[str] = []
+
+    def made() -> dict[str, list]:
+        return dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
+
+    for batch in batches:
+        names = batch.schema.names
+        head, at = [names.index(c) for c in tile], [names.index("own"), names.index(value)]
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and any(row[k] != held[0][k] for k in head):
+                yield made()
+                held = []
+            if not held or any(row[k] != held[-1][k] for k in at):
+                held.append(row)
+    if held:
+        yield made()
+
 
-    return docs.select("doc_id", "ck", "text").mapInArrow(run, "doc_id long, ck string, keys array<long>")
+def _signature_rows(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint16).reshape(-1, BANDS * ROWS)
+
+
+def _dealt(rows: DataFrame, tile: str, size: Column) -> DataFrame:
+    """Rows (``vid`` and others) sent to the tiles of their block: pairs of blocks of the rows of one ``tile``."""
+    rows = rows.withColumn("_blocks", size.cast("int")).withColumn("own", F.pmod(F.xxhash64("vid"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_blocks", "_other")
+    return rows.repartition(shuffle_width(rows.sparkSession), tile, "i", "j").sortWithinPartitions(tile, "i", "j", "own", "vid")
+
+
+def candidate_links(classes: DataFrame, bands: range) -> DataFrame:
+    """``u, v`` (u > v): links that join all pairs of ``classes`` (``vid, label, sig``) which share a band and are not
+    ruled out; pairs with one ``label`` are joined already.
+
+    Only buckets with more than one label are compared; of buckets with the same members one is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for held in _grouped(batches, ["key", "i", "j"], "vid"):
+            own = np.array(held["own"])
+            split = None if held["i"][0] == held["j"][0] else int(np.count_nonzero(own == held["i"][0]))
+            if own.size < 2 or split in (0, own.size):
+                continue
+            before, vids = np.array(held["label"], np.int64), np.array(held["vid"], np.int64)
+            label = linked_labels(_signature_rows(held["sig"]), before, split)
+            moved = label != before
+            edges = np.unique(np.stack([before[moved], label[moved]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["u", "v"])
+
+    keyed = classes.select("vid", "label", F.explode(band_keys(bands)).alias("key"))
+    sums = F.sum(F.xxhash64("vid").cast("decimal(20,0)")).cast("string").alias("sum")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("vid").alias("first"), F.max("vid").alias("last"), sums)
+    buckets = buckets.where("members > 1 and a < b").groupBy("members", "first", "last", "sum").agg(F.min("key").alias("key"))
+    buckets = staged(buckets.select("key", "members"), "buckets")
+    if buckets.isEmpty():
+        return classes.sparkSession.createDataFrame([], "u long, v long")
+    met = staged(lookup(keyed, buckets, "key", "members").where("members is not null"), "met")
+    total = met.groupBy("vid").agg(F.count("*").alias("w"))
+    sigs = staged(classes.select("vid", "sig").join(sized_broadcast(staged(total, "weights")), "vid"), "signatures")
+    rows = lookup(met, sigs, "vid", "w").select("key", "members", "vid", "label", "sig")
+    dealt = _dealt(rows, "key", F.ceil(F.col("members") / BLOCK))
+    return staged(dealt.select("key", "i", "j", "own", "vid", "label", "sig").mapInArrow(run, "u long, v long"), "candidates")
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """``rows`` (``root, i, j, own, vid, ck, n, text``) compared tile by tile."""
-
-    def tile(held: list[tuple]) -> pa.RecordBatch:
-        i, j = held[0][1:3]
-        sides = []
-        for block in (i,) if i == j else (i, j):
-            own = [r for r in held if r[3] == block]
-            sides.append(Side([r[4] for r in own], [r[5] for r in own], [r[6] for r in own]) if own else None)
-        if sides[0] is None or sides[-1] is None:
-            return None
-        return link_rows(sides[0], None if i == j else sides[1])
+    """``rows`` (``root, i, j, own, vid, n, sig, text``) compared tile by tile: links and spanning forests."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    out = tile(held)
-                    held = []
-                    if out is not None and out.num_rows:
-                        yield out
-                if not held or row[3:5] != held[-1][3:5]:  # a repeated row of a representative
-                    held.append(row)
-        if held and (out := tile(held)) is not None and out.num_rows:
-            yield out
-
-    keyed = rows.select("root", "i", "j", "own", "vid", "n", "text").repartition(shuffle_width(rows.sparkSession), "root", "i", "j")
-    return keyed.sortWithinPartitions("root", "i", "j", "own", "vid").mapInArrow(run, "vid long, links long, root long")
+        for held in _grouped(batches, ["root", "i", "j"], "vid"):
+            i, j = held["i"][0], held["j"][0]
+            split = len(held["own"]) if i == j else held["own"].count(i)
+            sets, signature = ngram_sets(held["text"]), _signature_rows(held["sig"])
+            side = lambda at: Side(held["vid"][at], held["n"][at], sets[at], signature[at])  # noqa: B023, E731
+            if i == j:
+                out = link_rows(side(slice(None)), None)
+            elif 0 < split < len(held["own"]):
+                out = link_rows(side(slice(0, split)), side(slice(split, None)))
+            else:
+                continue
+            if out.num_rows:
+                yield out
+
+    return rows.select("root", "i", "j", "own", "vid", "n", "sig", "text").mapInArrow(run, "vid long, links long, root long")
+
+
+def _labelled(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    named = groups.select(F.col("u").alias("vid"), "v")
+    return classes.join(sized_broadcast(named), "vid", "left").withColumn("label", F.coalesce("v", "vid")).drop("v")
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,50 +411,44 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     texts (``ck``: MD5) always are, also those without words. ``n_links`` counts the other rows a document is linked
     to, copies included; ``class_id`` is the least key of all that are linked to it directly or through others. A null
     text is empty. Rows that repeat a key with one text are copies; where all keys of a class are null, it goes by a
-    negative hash of a text. One key with different texts may be the least of several classes: ``class_key``, the least
-    ``ck`` of a class, tells them apart.
-
-    Equal texts become one representative with a number of its own. Bands of MinHash values give candidate groups; within a group, in tiles of
-    two blocks, pairs are compared value by value and dropped once the posterior probability of reaching the threshold
-    is below ``TOLERANCE``; what is left is verified exactly. A tile returns sums and a spanning forest, never pairs.
+    negative hash of a text, which may be another class's key. One key with different texts may be the least of several
+    classes: ``class_key``, the least ``ck`` of a class, tells classes apart in all cases.
+
+    Equal texts become one representative with a number of its own. Representatives that share a band of MinHash values
+    are compared value by value, in tiles of two blocks of a bucket's signatures, and dropped once the posterior
+    probability of reaching the threshold is below ``TOLERANCE``; in two rounds, of which the second only compares what
+    the first has not joined. What is joined forms groups, whose texts, in tiles of two blocks bounded by rows and
+    bytes, are compared in the same way and verified by their words. A tile returns sums and a spanning forest, never
+    pairs.
     """
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("ck", F.md5("text"))
+    base = located(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))).withColumn("ck", F.md5("text"))
     signed = staged(_signed(base), "signed")
-    classes = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    classes = staged(classes.select("ck", F.monotonically_increasing_id().alias("vid"), "least", "n", "keys"), "classes")
-
-    bands = classes.select("vid", F.explode("keys").alias("key"))
-    shared = staged(bands.groupBy("key").agg(F.min("vid").alias("v"), F.count("*").alias("members")).where("members > 1"), "bands")
-    total = shared.agg(F.sum("members")).first()[0] or 0
-    stars = lookup_hot(bands, shared, "key", "members", total).where("v is not null and vid <> v").select(F.col("vid").alias("u"), "v")
-    groups = components(stars)
-    nodes = groups.select(F.col("u").alias("vid"), F.col("v").alias("root")).unionByName(groups.select(F.col("v").alias("vid"), F.col("v").alias("root")).distinct())
-    sizes = staged(groups.groupBy("v").agg((F.count("*") + 1).alias("size")).withColumnRenamed("v", "root"), "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    placed = lookup_hot(nodes, sizes, "root", "size", total)
-    candidates = staged(classes.select("vid", "ck", F.col("least").alias("doc_id"), "n").join(placed, "vid"), "candidates")
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("vid"), blocks).cast("int")
-    texts = base.join(sized_broadcast(candidates), ["doc_id", "ck"]) if total else None
-    if texts is not None:
-        lone = base.where("doc_id is null").select("ck", "text").join(candidates.where("doc_id is null"), "ck").select("vid", "n", "root", "size", "text")
-        rows = texts.select("vid", "n", "root", "size", "text").unionByName(lone)
-        rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        found = staged(_tiles(rows), "links")
-    else:
-        found = docs.sparkSession.createDataFrame([], "vid long, links long, root long")
-    links = found.groupBy("vid").agg(F.sum("links").alias("links"))
-    forest = components(found.select(F.col("vid").alias("u"), F.col("root").alias("v")).where("u <> v"))
+    place = F.min(F.struct("_file", "_line"))
+    classes = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), place.alias("at"), F.first("bytes").alias("bytes"), F.first("sig").alias("sig"))
+    classes = staged(classes.select("ck", F.monotonically_increasing_id().alias("vid"), "least", "n", "at", "bytes", "sig"), "classes")
+
+    worded = classes.where("sig is not null").select("vid", "sig")
+    groups = components(candidate_links(worded.withColumn("label", F.col("vid")), range(FIRST_BANDS)))
+    later = candidate_links(_labelled(worded, groups), range(FIRST_BANDS, BANDS))
+    groups = components(groups.unionByName(later))
+
+    roots = groups.select(F.col("u").alias("vid"), F.col("v").alias("root")).unionByName(groups.select(F.col("v").alias("vid"), F.col("v").alias("root")).distinct())
+    found = classes.select("vid", "ck", "at", "n", "bytes", "sig").join(sized_broadcast(staged(roots, "roots")), "vid")
+    found = staged(found, "grouped")
+    sizes = staged(found.groupBy("root").agg(F.count("*").alias("members"), F.sum("bytes").alias("size")), "sizes")
+    placed = staged(lookup(found, sizes, "root", "members").select("vid", "ck", F.col("at._file").alias("_file"), F.col("at._line").alias("_line"), "n", "root", "members", "size", "sig"), "placed")
+    rows = base.join(sized_broadcast(placed), ["_file", "_line", "ck"]).select("vid", "n", "root", "members", "size", "sig", "text")
+    blocks = F.greatest(F.ceil(F.col("members") / TEXT_BLOCK), F.ceil(F.col("size") / TEXT_BYTES))
+    tiles = staged(_tiles(_dealt(rows, "root", blocks)), "links")
+
+    links = tiles.groupBy("vid").agg(F.sum("links").alias("links"))
+    forest = components(tiles.select(F.col("vid").alias("u"), F.col("root").alias("v")).where("u <> v"))
     info = classes.select("vid", "ck", "least", "n").join(links, "vid", "left").join(forest.withColumnRenamed("u", "vid"), "vid", "left")
     info = staged(info.select("ck", "least", "n", F.coalesce("v", "vid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "info")
     named = info.groupBy("root").agg(F.min("least").alias("class_least"), F.min("ck").alias("class_key"), F.count("*").alias("reps"))
     named = staged(named.where("reps > 1"), "named")
-    total = named.agg(F.sum("reps")).first()[0] or 0
-    info = lookup_hot(info, named, "root", "reps", total).withColumn("class_key", F.coalesce("class_key", "ck"))
+    info = lookup(info, named, "root", "reps").withColumn("class_key", F.coalesce("class_key", "ck"))
     class_id = F.coalesce("class_least", "least", -F.abs(F.xxhash64("class_key")) - 1)
     info = staged(info.select("ck", "n", class_id.alias("class_id"), "class_key", "n_links"), "named-info")
-    total = info.agg(F.sum("n")).first()[0] or 0
-    members = lookup_hot(signed.select("doc_id", "ck"), info, "ck", "n", total)
+    members = lookup(signed.select("doc_id", "ck"), info, "ck", "n")
     return members.select("doc_id", "ck", F.col("n").alias("copies"), "class_id", "class_key", "n_links")

@@ -17,12 +17,11 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_fs, pack, unpack, write_whole
-from .shared import lookup, scratch, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
+from .shared import located, lookup, scratch, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
 
 #: Bytes of an n-gram; a symbol is a byte plus 1, or 0 before the start of a text, so that a key fits a long.
 ORDER = 6
@@ -52,15 +51,9 @@ def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_chunk``, a number of the file and the run of rows that each row was read from.
-
-    The place of a row does not depend on how files are split among tasks. What was not read from Parquet is staged.
-    """
-    chunk = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK_ROWS)).alias("_chunk")
-    try:
-        return docs.select("*", chunk)
-    except AnalysisException:
-        return staged(docs, "documents").select("*", chunk)
+    """``docs`` with ``_chunk``, a number of the file and the run of rows that each row was read from."""
+    chunk = F.xxhash64("_file", F.floor(F.col("_line") / CHUNK_ROWS))
+    return located(docs).withColumn("_chunk", chunk).drop("_file", "_line")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:

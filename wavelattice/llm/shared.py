@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,18 @@ def staged(df: DataFrame, label: str, *, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(df: DataFrame) -> DataFrame:
+    """``df`` with ``_file`` and ``_line``, hash of the file and number of the row that each row was read from.
+
+    A row's place does not depend on how files are split among tasks. What was not read from Parquet is staged first.
+    """
+    place = (F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_line"))
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return staged(df, "rows").select("*", *place)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
