@@ -568,17 +568,53 @@ def test_fingerprint_query(spark, data):
     assert np.mean(errors) < 0.03 and max(errors) < 0.2
 
 
-def test_next_over_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["even", "repeated", "hot", "one", "null"])
+def test_next_over_many_buckets(spark, monkeypatch, kind):
     monkeypatch.setattr(sketch, "BUCKET_ROWS", 3)
     rng = random.Random(6)
-    keys = [*rng.sample(range(-50, 500), 60), 7, 7, 7, None, None]
-    rows = [(k, f"t{i}") for i, k in enumerate(keys)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted((r["text"], r["next_text"]) for r in sketch.with_next(df, "doc_id", ["text"]).collect())
-    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    keys = {
+        "even": rng.sample(range(-50, 500), 60),
+        "repeated": [*rng.sample(range(-50, 500), 60), 7, 7, 7, None, None],
+        "hot": [*rng.sample(range(-50, 500), 30), *[100] * 40, *[101] * 5, *[-(2**63)] * 9],
+        "one": [5] * 30,
+        "null": [None] * 30,
+    }[kind]
+    rows = [(k, f"t{i}" if i % 3 else "same") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r["text"], r["next_text"]) for r in sketch.with_next(df, "doc_id", "text").collect())
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1]), r[1]))]
     assert found == sorted(zip(order, order[1:] + order[:1], strict=True))
 
 
+def brute_sketch(text):
+    """The least hashes of all runs of five words, by the public hash library, as 16 hex digits each."""
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    signed = lambda h: h - (h >> 63 << 64)
+
+    def run(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=seed)
+        return signed(seed)
+
+    found = sorted({run(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else []
+    return found[: sketch.K]
+
+
+def test_fingerprints_match_brute_force(spark, data):
+    docs = sorted(plain(spark.read.parquet(f"{data}/documents.parquet")))
+    found = {r["doc_id"]: r for r in queries.op10_bottom_k(spark, data).collect()}
+    print_ = lambda s: "".join(f"{h & (1 << 64) - 1:016x}" for h in s)
+    for (key, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        a, b, c = map(brute_sketch, (text, edited, after))
+        r = found[key]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (print_(a), print_(b))
+        for value, other in ((r["near_edited"], b), (r["near_next"], c)):
+            union = sorted(set(a) | set(other))[: sketch.K]
+            assert value == pytest.approx(len(set(union) & set(a) & set(other)) / len(union) if union else 1.0)
+
+
 def test_sketches_merge_and_estimate(spark):
     a = " ".join(f"w{i}" for i in range(2000))
     b = " ".join(f"w{i}" for i in range(1000, 3000))
