@@ -184,6 +184,19 @@ def test_archive_of_odd_pages(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_archives_open_with_their_record_and_revisits_name_what_they_refer_to(spark, tmp_path):
+    big = "<p>x</p>" * 200
+    pages = spark.createDataFrame([(1, "http://a/1", big), (2, "http://a/2 x", big), (3, "http://a/3", "small")], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(warc.decide(pages), f"file://{tmp_path}/w")
+    records = [warc.parse(r) for r in warc.read_members(index[0]["path"])]
+    kinds = {h["WARC-Type"] for h, *_ in records}
+    assert [h["WARC-Type"] for h, *_ in records][0] == "warcinfo" and kinds == {"warcinfo", "response", "revisit"} and len(records) == 4
+    revisit = next(h for h, *_ in records if h["WARC-Type"] == "revisit")
+    response = next(h for h, *_ in records if h.get("X-Page-ID") == "2")
+    assert revisit["WARC-Refers-To"] == response["WARC-Record-ID"] and revisit["WARC-Refers-To-Target-URI"] == response["WARC-Target-URI"] == "http://a/2%20x"
+    assert revisit["WARC-Refers-To-Date"] == response["WARC-Date"] and response["WARC-Date"] > "2020"
+
+
 def test_hot_payload_and_record_ids(spark):
     rows = [(i, "u", "<i>z</i>" * 200 if i % 3 else f"<i>{i}</i>" * 200) for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
