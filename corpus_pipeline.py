@@ -2,55 +2,60 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's ``docs``.
 All but the last return the columns that they were given. Joins back to the documents go by the key and a digest of the
-text, null-safe, so that rows that repeat a key with another text are told apart.
+text, null-safe, so that rows that repeat a key with another text are told apart; rows that share both, however many,
+never meet in one task.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm import bpe, jaccard, kneser, mixing, novelty
-from wavelattice.llm.shared import light_batches, scratch, sized_broadcast, staged, text_or_empty
+from wavelattice.llm.shared import light_batches, lookup, scratch, staged, text_or_empty
+
+
+def ident(*parts: Column) -> Column:
+    """One string for a row's values, nulls told apart from all others."""
+    return F.concat_ws("|", *(F.coalesce(F.concat(F.lit("v"), p.cast("string")), F.lit("n")) for p in parts))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps; empty ones go. A row's decision follows its key, text and language."""
     light_batches(spark)
     found = kneser.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = found.where(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (kneser.text_hash() == F.col("_hash")) & docs["lang"].eqNullSafe(F.col("_lang"))
-    return docs.join(sized_broadcast(staged(gone, "rejected")), same, "left_anti")
+    gone = found.where(~F.col("keep")).groupBy(ident(F.col("doc_id"), F.col("text_hash"), F.col("lang")).alias("_ident")).agg(F.count("*").alias("_n"))
+    own = ident(F.col("doc_id").cast("long"), kneser.text_hash(), F.col("lang"))
+    return lookup(docs.withColumn("_ident", own), staged(gone, "rejected"), "_ident", "_n").where("_n is null").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one of the least key (null keys last); of repeated rows one."""
     light_batches(spark)
-    found = staged(jaccard.join(docs), "classes")
+    found = jaccard.join(docs).withColumn("_ident", ident(F.col("doc_id"), F.col("ck")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("ck").alias("ck"))
-    first = found.groupBy("class_key").agg(F.min(order).alias("first")).select("first.id", "first.ck")
-    rows = staged(found.groupBy(F.col("doc_id").alias("id"), "ck").agg(F.count("*").alias("n")), "rows")
-    chosen = staged(first.withColumn("chosen", F.lit(True)), "chosen")
-    marked = rows.join(chosen, rows.id.eqNullSafe(chosen.id) & (rows.ck == chosen.ck), "left").select(rows.id.alias("_id"), rows.ck.alias("_ck"), "n", "chosen")
-    other = staged(marked.where("chosen is null or n > 1"), "others")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.md5(text_or_empty("text")) == F.col("_ck"))
-    single = docs.join(sized_broadcast(other.select("_id", "_ck")), same, "left_anti")
-    repeated = other.where("chosen and n > 1")
-    if repeated.isEmpty():
+    rows = staged(found.groupBy("_ident").agg(F.first("class_key").alias("class_key"), F.first(order).alias("order"), F.count("*").alias("_n")), "rows")
+    first = rows.groupBy("class_key").agg(F.min(F.struct("order", "_ident")).alias("first"))
+    chosen = staged(first.select(F.col("first._ident").alias("_ident"), F.lit(True).alias("_chosen")), "chosen")
+    other = staged(rows.join(chosen, "_ident", "left").where("_chosen is null or _n > 1").select("_ident", "_n", "_chosen"), "others")
+    marked = lookup(docs.withColumn("_ident", ident(F.col("doc_id").cast("long"), F.md5(text_or_empty("text")))), other, "_ident", "_n")
+    single = marked.where("_n is null").select(*docs.columns)
+    if other.where("_chosen").isEmpty():
         return single
-    again = docs.join(sized_broadcast(repeated.select("_id", "_ck")), same)
-    return single.unionByName(again.dropDuplicates(["_id", "_ck"]).select(*docs.columns))
+    again = marked.where("_chosen").dropDuplicates(["_ident"])
+    return single.unionByName(again.select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with ``[SECRET]`` in place of each span that the scan reports, and its length counted anew."""
     light_batches(spark)
-    found = novelty.scan(docs.select(F.md5(text_or_empty("text")).alias("_ck"), "text"), spans="_spans")
-    hits = staged(found.where(F.size("_spans") > 0).dropDuplicates(["_ck"]), "hits")
-    same = F.md5(text_or_empty("text")) == F.col("_ck")
-    clean = docs.join(sized_broadcast(hits.select("_ck")), same, "left_anti")
-    hidden = novelty.redact(docs.join(sized_broadcast(hits), same).drop("_ck"), spans="_spans")
+    digest = F.md5(text_or_empty("text"))
+    found = novelty.scan(docs.select(digest.alias("_ck"), "text"), spans="_spans").where(F.size("_spans") > 0)
+    hits = staged(found.groupBy("_ck").agg(F.first("_spans").alias("_spans"), F.count("*").alias("_n")), "hits")
+    marked = lookup(docs.withColumn("_ck", digest), hits, "_ck", "_n")
+    clean = marked.where("_n is null").select(*docs.columns)
+    hidden = novelty.redact(marked.where("_n is not null").select(*docs.columns, "_spans"), spans="_spans")
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(hidden.select(*docs.columns))
@@ -65,8 +70,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it exactly."""
     light_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks)
-    decoded = bpe.decode(encoded, ranks)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, offsets="ends")
+    decoded = bpe.decode(encoded, ranks, offsets="ends")
     exact = F.col("decoded") == text_or_empty("text").cast("binary")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
