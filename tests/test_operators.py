@@ -146,7 +146,7 @@ def test_whole_permutation_tests_cover_all_rows(spark, data, blocked):
                 moved[own] = sorted(own, key=lambda i: (hashlib.sha256(f"7:{rep}:{ids[i]}".encode()).hexdigest(), ids[i]))
         b = centre(y[moved])
         found.append(np.sqrt(max((a * b).mean(), 0) / np.sqrt((a * a).mean() * (b * b).mean())))
-    query = stats.fold_blocked_perm_hash_whole if blocked else stats.dcor_perm_hash_whole
+    query = stats.fold_blocked_perm_hash if blocked else stats.dcor_perm_hash
     row = query(spark, data).first()
     assert row["observed"] == pytest.approx(found[0], abs=2e-6) and row["n_reps"] == 9
     assert row["p"] == pytest.approx((1 + sum(v >= found[0] - 1e-12 for v in found[1:])) / 10)
@@ -162,4 +162,4 @@ def test_lines_digest_is_streamed_in_order_and_covers_all(spark, data):
     assert integrity.lines_digest(df.limit(0), "line").first()[0] == hashlib.sha256(b"\n").hexdigest()
     assert "collect_list" not in integrity.lines_digest(df, "line")._jdf.queryExecution().toString()
     names = [r[0] for r in spark.read.parquet(f"{data}/customer.parquet").select("c_name").collect()]
-    assert geometry.sorted_lines_digest_whole(spark, data).first()[0] == digest(sorted(names))
+    assert geometry.sorted_lines_digest(spark, data).first()[0] == digest(sorted(names))

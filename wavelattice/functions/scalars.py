@@ -95,6 +95,7 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+# Labels and limits of the decisions.
 def delta_band(delta: Column, strong: float = 0.03, some: float = 0.01) -> Column:
     return F.when(delta >= strong, "MATERIAL_GE_0.03").when(delta >= some, "MODEST_0.01_TO_LT_0.03").otherwise("NO_MATERIAL_GAIN_LT_0.01")
 
@@ -112,10 +113,17 @@ def coverage_role(share: Column) -> Column:
 
 # Patterns that a release must not hold.
 LEAKS = {
+    "mac_path": r"/Users/[A-Za-z0-9_.-]+/",
+    "home_path": r"/home/[A-Za-z0-9_.-]+/",
+    "windows_path": r"[A-Za-z]:\\\\Users\\\\",
+    "patient_id": r"(?i)\bp[0-9]{5,}\b",
+    "hub_token": r"ghp_[A-Za-z0-9]{20,}",
+    "hub_pat": r"github_pat_[A-Za-z0-9_]{20,}",
+    "private_key": r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----",
+    "access_key": r"AKIA[0-9A-Z]{16}",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}",
     "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
     "token": r'token = "[0-9a-f]{32,}"',
-    "local_path": r"/(Users|home)/[A-Za-z0-9_]+/",
     "license": r"[Ll]icen[sc]e",
 }
 

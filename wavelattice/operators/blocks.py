@@ -14,6 +14,12 @@ def tumbling_block(center: Column, start: Column, width: float = 60.0, blocks: i
     return F.when((at >= 0) & (at <= width * blocks), F.least(F.floor(at / width), F.lit(blocks - 1)).cast("int"))
 
 
+def trailing(df: DataFrame, center: str, total: Column, seconds: float = 1800.0) -> DataFrame:
+    """Rows of the last ``seconds`` of a recording of ``total`` seconds, both ends closed; none where it is shorter."""
+    start = total - seconds
+    return df.where((start >= 0) & (F.col(center) >= start) & (F.col(center) <= total))
+
+
 def element_means(df: DataFrame, keys: list[str], vector: str, out: str) -> DataFrame:
     """Element-wise mean of equally long vectors by key, with the number of vectors.
 
@@ -41,16 +47,16 @@ def replicates(blocks: DataFrame, patient: str, block: str, vector: str, *, leas
 
     A representative is the normalised mean of its blocks' shapes; a block is odd by its zero-based number.
     """
-    usable = blocks.where(F.col(vector).isNotNull())
     odd = F.pmod(F.col(block), F.lit(2)) == 1
-    counts = usable.groupBy(patient).agg(F.count("*").alias("n_blocks"), F.count_if(odd).alias("n_odd"), F.count_if(~odd).alias("n_even"))
-    long = usable.select(patient, odd.alias("_odd"), F.posexplode(vector).alias("_pos", "_x"))
-    means = long.groupBy(patient, "_pos").agg(F.avg("_x").alias("all"), F.avg(F.when(F.col("_odd"), F.col("_x"))).alias("odd"), F.avg(F.when(~F.col("_odd"), F.col("_x"))).alias("even"))
+    long = blocks.where(F.col(vector).isNotNull()).select(patient, odd.alias("_odd"), F.posexplode(vector).alias("_pos", "_x"))
+    sums = [F.avg("_x").alias("all"), F.avg(F.when(F.col("_odd"), F.col("_x"))).alias("odd"), F.avg(F.when(~F.col("_odd"), F.col("_x"))).alias("even")]
+    # Every block has one row a position, so that its counts come with the means.
+    means = long.groupBy(patient, "_pos").agg(*sums, F.count("*").alias("_n"), F.count_if("_odd").alias("_o"))
     rows = F.array_sort(F.collect_list(F.struct("_pos", "all", "odd", "even")))
-    reps = means.groupBy(patient).agg(rows.alias("_r"))
-    reps = reps.select(patient, *(V.normalised(F.col(f"_r.{k}")).alias(f"{k}_rep") for k in ("all", "odd", "even")))
+    reps = means.groupBy(patient).agg(rows.alias("_r"), F.max("_n").alias("n_blocks"), F.max("_o").alias("n_odd"))
+    reps = reps.withColumn("n_even", F.col("n_blocks") - F.col("n_odd"))
     enough = (F.col("n_blocks") >= least) & (F.col("n_odd") >= least_half) & (F.col("n_even") >= least_half)
-    return counts.where(enough).join(reps, patient)
+    return reps.where(enough).select(patient, "n_blocks", "n_odd", "n_even", *(V.normalised(F.col(f"_r.{k}")).alias(f"{k}_rep") for k in ("all", "odd", "even")))
 
 
 def yield_table(counts: DataFrame, patient: str, block: str, n: str, thresholds: list[int], *, least: int, least_half: int) -> DataFrame:

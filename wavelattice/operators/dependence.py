@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import hash_order
+from .regression import FoldMoments, linear
 
 #: Rows of a block; a tile holds the distances between two blocks.
 BLOCK = 1024
@@ -18,7 +19,7 @@ BLOCK = 1024
 
 def _tiles(df: DataFrame, keys: list[str], columns: list[str], fn: Callable, schema: str, block: int) -> DataFrame:
     """``fn(own, other, within)`` for every pair of blocks of the rows with equal ``keys``; ``own`` and ``other`` hold
-    lists of the columns. Rows are dealt to blocks by hash and go to each tile of their block: the number of blocks
+    the columns as arrays (lists as matrices). Rows are dealt to blocks by hash and go to each tile of their block: the number of blocks
     times, and no pair of rows is ever a row."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")) if keys else df.agg(F.count("*").alias("_size"))
     parts = F.greatest(F.ceil(F.col("_size") / block), F.lit(1)).cast("int")
@@ -29,21 +30,26 @@ def _tiles(df: DataFrame, keys: list[str], columns: list[str], fn: Callable, sch
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
 
         def done():
-            i, j = held[0][n : n + 2]
-            own = [r[n + 3 :] for r in held if r[n + 2] == i]
-            other = own if i == j else [r[n + 3 :] for r in held if r[n + 2] == j]
-            if own and other:
-                yield from fn(held[0][:n], own, other, i == j)
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = tuple(table.column(k)[0].as_py() for k in range(n + 2))
+            i, j = key[n:]
+            side = table.column(n + 2).to_numpy()
+            arrays = [_array(table.column(k)) for k in range(n + 3, table.num_columns)]
+            own = [a[side == i] for a in arrays]
+            other = own if i == j else [a[side == j] for a in arrays]
+            if len(own[0]) and len(other[0]):
+                yield from fn(key[:n], own, other, i == j)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[: n + 2] != held[0][: n + 2]:
+            for start, stop in _tile_runs(batch, n + 2):
+                part = batch.slice(start, stop - start)
+                if held and any(part.column(k)[0] != held[0].column(k)[0] for k in range(n + 2)):
                     yield from done()
                     held = []
-                held.append(row)
+                held.append(part)
         if held:
             yield from done()
 
@@ -51,9 +57,40 @@ def _tiles(df: DataFrame, keys: list[str], columns: list[str], fn: Callable, sch
     return dealt.mapInArrow(run, schema)
 
 
+def _array(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers as a vector, lists of equally many numbers as the rows of a matrix."""
+    column = column.combine_chunks()
+    if pa.types.is_list(column.type):
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return flat.reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _tile_runs(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of rows with equal values in the first columns."""
+    if not batch.num_rows:
+        return
+    new = np.zeros(batch.num_rows - 1, bool)
+    for k in range(columns):
+        codes = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new |= np.diff(codes) != 0
+    bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+    yield from zip(bounds, bounds[1:], strict=False)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between rows; squares below 0 by rounding count as 0, equal rows are at 0 exactly."""
-    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+    """Euclidean distances between rows, equal ones at 0 exactly.
+
+    Squares come from products about a common centre; those so small that rounding counts are worked out directly.
+    """
+    centre = a.mean(axis=0)
+    a, b = a - centre, b - centre
+    own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    square = own[:, None] + other - 2 * a @ b.T
+    x, y = np.nonzero(square <= 1e-9 * (own[:, None] + other))
+    for at in range(0, x.size, 1 << 18):
+        i, j = x[at : at + (1 << 18)], y[at : at + (1 << 18)]
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
     return np.sqrt(np.maximum(square, 0))
 
 
@@ -61,8 +98,8 @@ def nearest_neighbours(df: DataFrame, ident: str, vector: str, block: int = BLOC
     """``ident, neighbour, distance``: the nearest other row (of ties the least id); rows that are alone are left out."""
 
     def fn(_, own, other, within):
-        ids, near = np.array([r[0] for r in own]), np.array([r[0] for r in other])
-        d = distances(np.array([r[1] for r in own], float), np.array([r[1] for r in other], float))
+        ids, near = own[0], other[0]
+        d = distances(own[1], other[1])
         if within:
             np.fill_diagonal(d, np.inf)
         sides = [(ids, near, d)] if within else [(ids, near, d), (near, ids, d.T)]
@@ -98,8 +135,7 @@ def distance_correlation(df: DataFrame, ident: str, x: str, y: str, keys: list[s
     types = [to_arrow_type(df.schema[k].dataType) for k in keys]
 
     def fn(key, own, other, within):
-        a = distances(np.array([r[1] for r in own], float), np.array([r[1] for r in other], float))
-        b = distances(np.array([r[2] for r in own], float), np.array([r[2] for r in other], float))
+        a, b = distances(own[1], other[1]), distances(own[2], other[2])
         if within:
             np.fill_diagonal(a, 0)
             np.fill_diagonal(b, 0)
@@ -107,9 +143,9 @@ def distance_correlation(df: DataFrame, ident: str, x: str, y: str, keys: list[s
         totals = [twice * float((p * q).sum()) for p, q in ((a, b), (a, a), (b, b))]
         sides = [(own, a.sum(axis=1), b.sum(axis=1))] if within else [(own, a.sum(axis=1), b.sum(axis=1)), (other, a.sum(axis=0), b.sum(axis=0))]
         for k, (rows, sa, sb) in enumerate(sides):
-            m = len(rows)
+            m = len(rows[0])
             first = [[t if k == 0 and i == 0 else 0.0 for i in range(m)] for t in totals]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v] * m, t) for v, t in zip(key, types, strict=True)), pa.array([r[0] for r in rows], pa.int64()), pa.array(sa), pa.array(sb), *(pa.array(f) for f in first)], names=[*keys, ident, "sa", "sb", "ab", "aa", "bb"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([v] * m, t) for v, t in zip(key, types, strict=True)), pa.array(rows[0], pa.int64()), pa.array(sa), pa.array(sb), *(pa.array(f) for f in first)], names=[*keys, ident, "sa", "sb", "ab", "aa", "bb"])
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{ident}` long, sa double, sb double, ab double, aa double, bb double"])
@@ -193,19 +229,80 @@ def freedman_lane(df: DataFrame, ident: str, reduced: list[str], added: str, tar
     The drop equals the squared projection of the permuted residuals on what the reduced model leaves of ``added``,
     so that every replicate is a few sums.
     """
-    from .regression import coefficients, fold_moments
-
-    m = sum(fold_moments(df.withColumn("_f", F.lit(0)), "_f", [*reduced, added, *targets]).values())
-    b = coefficients(m, len(reduced))
+    m = FoldMoments(df.withColumn("_f", F.lit(0)), "_f", [*reduced, added, *targets])
+    b = m.fit(m.whole, reduced, [added, *targets])
 
     def left(column: str, k: int) -> Column:
-        fitted = F.lit(float(b[0, k]))
-        for i, r in enumerate(reduced):
-            fitted = fitted + F.lit(float(b[i + 1, k])) * F.col(r)
-        return F.col(column) - fitted
+        return F.col(column) - linear(b, k, [F.col(r) for r in reduced])
 
     rows = df.dropna(subset=[*reduced, added, *targets])
     rows = rows.select(ident, left(added, 0).alias("_x"), *(left(t, k + 1).alias(f"_e{k}") for k, t in enumerate(targets)))
     moved = permuted(rows, ident, [f"_e{k}" for k in range(len(targets))], replicates, seed).join(rows.select(ident, "_x"), ident)
     sums = moved.groupBy("rep").agg(*(F.sum(F.col("_x") * F.col(f"_e{k}")).alias(f"s{k}") for k in range(len(targets))), F.sum(F.col("_x") * F.col("_x")).alias("xx"))
     return sums.select("rep", (sum((F.col(f"s{k}") * F.col(f"s{k}") for k in range(len(targets))), F.lit(0.0)) / F.col("xx")).alias("statistic"))
+
+
+def pipeline_replay(df: DataFrame, ident: str, fold: str, predictors: list[str], targets: list[str], replicates: int, seed: int) -> DataFrame:
+    """``rep, n, dcor``: dependence of out-of-fold residuals on the predictors, the whole fit run anew for each replicate.
+
+    A replicate's targets are the values fitted to all rows plus permuted residual vectors; replicate 0 is the data as
+    it is. Every row stands once for each replicate, and sums of products by replicate and fold give all fits.
+    """
+    rows = df.dropna(subset=[*predictors, *targets]).select(ident, fold, *predictors, *targets)
+    m = FoldMoments(rows.withColumn("_f", F.lit(0)), "_f", [*predictors, *targets])
+    b = m.fit(m.whole, predictors, targets)
+    values = [F.col(p) for p in predictors]
+    fitted = rows.select(ident, fold, *predictors, *(linear(b, t, values).alias(f"_fit{t}") for t in range(len(targets))), *((F.col(y) - linear(b, t, values)).alias(f"_e{t}") for t, y in enumerate(targets)))
+    moved = permuted(fitted, ident, [f"_e{t}" for t in range(len(targets))], replicates, seed)
+    made = moved.join(fitted.drop(*(f"_e{t}" for t in range(len(targets)))), ident)
+    made = made.select("rep", ident, fold, *predictors, *((F.col(f"_fit{t}") + F.col(f"_e{t}")).alias(y) for t, y in enumerate(targets)))
+    made = made.withColumn("_cell", F.concat_ws(":", "rep", fold))
+    sums = FoldMoments(made, "_cell", [*predictors, *targets])
+    whole: dict[str, np.ndarray] = {}
+    for cell, part in sums.parts.items():
+        rep = cell.split(":")[0]
+        whole[rep] = whole.get(rep, 0) + part
+    fits = [(cell, [float(x) for x in sums.fit(whole[cell.split(":")[0]] - part, predictors, targets).T.ravel()]) for cell, part in sums.parts.items()]
+    table = df.sparkSession.createDataFrame(fits, "_cell string, _b array<double>")
+    k = len(predictors) + 1
+
+    def residual(t: int, y: str) -> Column:
+        value = F.get("_b", F.lit(t * k))
+        for i, p in enumerate(predictors):
+            value = value + F.get("_b", F.lit(t * k + 1 + i)) * F.col(p)
+        return F.col(y) - value
+
+    left = made.join(F.broadcast(table), "_cell").select("rep", ident, F.array(*(v.cast("double") for v in values)).alias("_x"), F.array(*(residual(t, y) for t, y in enumerate(targets))).alias("_y"))
+    return distance_correlation(left, ident, "_x", "_y", ["rep"])
+
+
+def null_summary(stats: DataFrame, value: str) -> DataFrame:
+    """``observed, n_reps, p, null_median, null_q95, observed_minus_q95`` of a table with ``rep``, where 0 is observed."""
+    p = permutation_p(stats, value)
+    q = F.percentile(F.when(F.col("rep") > 0, F.col(value)), F.array(F.lit(0.5), F.lit(0.95)))
+    both = p.crossJoin(F.broadcast(stats.agg(q.alias("_q"))))
+    return both.select("observed", "n_reps", "p", F.col("_q")[0].alias("null_median"), F.col("_q")[1].alias("null_q95"), (F.col("observed") - F.col("_q")[1]).alias("observed_minus_q95"))
+
+
+def pairwise_median(df: DataFrame, ident: str, vector: str, block: int = BLOCK, bins: int = 4096) -> DataFrame:
+    """``n, n_pairs, median``: the median distance of all pairs, to a ``bins``-th part of the largest.
+
+    Tiles return a histogram, never a pair; its reach is twice the largest distance to the mean.
+    """
+    long = df.select(ident, F.posexplode(vector).alias("p", "x"))
+    centre = long.groupBy("p").agg(F.avg("x").alias("m"))
+    reach = long.join(F.broadcast(centre), "p").groupBy(ident).agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("r")).agg(F.max("r")).first()[0]
+    width = max(2 * float(np.sqrt(reach or 0.0)), 1e-300) / bins
+
+    def fn(_, own, other, within):
+        d = distances(own[1], other[1])
+        d = d[np.triu_indices(len(d), 1)] if within else d.ravel()
+        counts = np.bincount(np.minimum((d / width).astype(np.int64), bins - 1), minlength=bins)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bin", "n"])
+
+    counts = _tiles(df.select(ident, vector), [], [ident, vector], fn, "bin long, n long", block).groupBy("bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy()
+    ranked = counts.withColumn("_all", F.sum("n").over(w)).withColumn("_upto", F.sum("n").over(Window.orderBy("bin")))
+    found = ranked.where(F.col("_upto") * 2 >= F.col("_all")).agg(F.min("bin").alias("bin"), F.max("_all").alias("n_pairs"))
+    return found.select("n_pairs", ((F.col("bin") + 0.5) * F.lit(width)).alias("median"))

@@ -25,11 +25,12 @@ def nearest(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str,
     """``probe_id, gap_h, direction, ties, nearest_id``: the nearest interval (0 hours inside; of ties the least id)."""
     joined = probes.join(intervals.select(key, start, stop, ident), key, "left")
     gaps = joined.withColumn("gap_h", F.when(F.col(ident).isNotNull(), gap_hours(F.col(t), F.col(start), F.col(stop))))
-    gaps = gaps.withColumn("direction", F.when(F.col("gap_h").isNull(), "missing").when(F.col(t) < F.col(start), "before_start").when(F.col(t) > F.col(stop), "after_end").otherwise("inside"))
-    one = Window.partitionBy(probe_id)
-    ranked = gaps.withColumn("_least", F.min("gap_h").over(one)).withColumn("_rank", F.row_number().over(one.orderBy("gap_h", ident)))
-    ties = F.count_if(F.abs(F.col("gap_h") - F.col("_least")) < 1e-12).over(one)
-    return ranked.withColumn("ties", ties).where("_rank = 1").select(probe_id, "gap_h", "direction", "ties", F.col(ident).alias("nearest_id"))
+    direction = F.when(F.col("gap_h").isNull(), "missing").when(F.col(t) < F.col(start), "before_start").when(F.col(t) > F.col(stop), "after_end").otherwise("inside")
+    # Gaps are counted where they lie, then the least of each probe is taken: no probe's rows are sorted.
+    first = F.min(F.struct(F.col("gap_h"), F.col(ident).alias("id"), direction.alias("direction"))).alias("best")
+    each = gaps.groupBy(probe_id, F.round("gap_h", 12).alias("_gap")).agg(first, F.count(ident).alias("ties"))
+    least = each.groupBy(probe_id).agg(F.min(F.struct(F.col("_gap"), F.col("best"), F.col("ties"))).alias("m"))
+    return least.select(probe_id, F.col("m.best.gap_h").alias("gap_h"), F.col("m.best.direction").alias("direction"), F.col("m.ties").alias("ties"), F.col("m.best.id").alias("nearest_id"))
 
 
 def prior_history(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, t: str = "t", stop: str = "stop", flag: str | None = None) -> DataFrame:

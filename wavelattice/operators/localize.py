@@ -63,7 +63,7 @@ def scan(spark, basis: np.ndarray, metrics: tuple[str, ...] = tuple(METRICS), wi
             found = [top_direction(basis, m, s, w) for m, w, s in zip(frame["metric"], frame["width"], frame["start"], strict=True)]
             yield frame.assign(fraction=[f for f, _ in found], direction=[c.tolist() for _, c in found])
 
-    return spark.createDataFrame(grid, "metric string, width int, start int").repartition(8).mapInPandas(run, "metric string, width int, start int, fraction double, direction array<double>")
+    return spark.createDataFrame(grid, "metric string, width int, start int").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "metric string, width int, start int, fraction double, direction array<double>")
 
 
 def best(scanned: DataFrame) -> DataFrame:

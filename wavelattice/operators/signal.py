@@ -29,17 +29,32 @@ def band_pass(low: float = LOW, high: float = HIGH, fs: float = FS) -> tuple[np.
     return np.real(gain) * np.real(np.poly([1, 1, -1, -1])), np.real(np.poly(z))
 
 
-def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Transposed direct form II."""
-    out = np.empty_like(x)
-    z, n = list(map(float, state)), len(a) - 1
-    b, a = b.tolist(), a.tolist()
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + z[0]
-        for k in range(n - 1):
-            z[k] = b[k + 1] * v + z[k + 1] - a[k + 1] * y
-        z[n - 1] = b[n] * v - a[n] * y
-        out[i] = y
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 512) -> np.ndarray:
+    """Transposed direct form II, a block of samples at a time.
+
+    Within a block the output is a product of the inputs with the impulse response plus what the state at its start
+    leaves; only the state is carried from block to block.
+    """
+    n = len(a) - 1
+    step = np.zeros((n, n))
+    step[:, 0] = -a[1:]
+    step[np.arange(n - 1), np.arange(1, n)] = 1
+    gain = b[1:] - a[1:] * b[0]
+    powers = np.empty((block + 1, n, n))
+    powers[0] = np.eye(n)
+    for k in range(block):
+        powers[k + 1] = powers[k] @ step
+    free = powers[:block, 0]  # what the state adds to each output
+    impulse = np.concatenate([[b[0]], free[:-1] @ gain])
+    lag = np.arange(block)[:, None] - np.arange(block)
+    response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    carried = (powers[:block] @ gain)[::-1]  # what each input leaves in the state at the end
+    out, z = np.empty_like(x), np.array(state, float)
+    for at in range(0, x.size, block):
+        own = x[at : at + block]
+        m = own.size
+        out[at : at + m] = response[:m, :m] @ own + free[:m] @ z
+        z = powers[m] @ z + carried[block - m :].T @ own
     return out
 
 
@@ -65,20 +80,32 @@ def peaks(x: np.ndarray, distance: int = DISTANCE, prominence: float = PROMINENC
     top = np.flatnonzero((rise[:-1] > 0) & (rise[1:] < 0))
     at = (step[top] + 1 + step[top + 1]) // 2
     keep = np.ones(at.size, bool)
-    for k in np.argsort(x[at], kind="stable")[::-1]:
+    for k in np.argsort(x[at], kind="stable")[::-1].tolist():
         if keep[k]:
-            near = np.abs(at - at[k]) < distance
-            near[k] = False
-            keep &= ~near
-    at = at[keep]
-    out = []
-    for p in at:
-        left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
-        a = left[-1] if left.size else 0
-        b = p + 1 + right[0] if right.size else x.size
-        if x[p] - max(x[a : p + 1].min(), x[p:b].min()) >= prominence:
-            out.append(p)
-    return np.array(out, int)
+            low, high = np.searchsorted(at, [at[k] - distance + 1, at[k] + distance])
+            keep[low:high] = False
+            keep[k] = True
+    places = np.unique(np.concatenate([[0], at, [x.size - 1]]))
+    left, right = _bases(x, places), _bases(x[::-1], x.size - 1 - places[::-1])[::-1]
+    prominent = x[places] - np.maximum(left, right) >= prominence
+    return at[keep & prominent[np.searchsorted(places, at)]]
+
+
+def _bases(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The least value between each place and the nearest higher one on its left, or the start.
+
+    ``places``: both ends and all tops, between which a signal only falls and rises. A stack holds the places that are
+    higher than all behind them, each with the least value back to the one before.
+    """
+    valleys = np.minimum.reduceat(x, places)
+    out, held = np.empty(places.size), []
+    for k, top in enumerate(x[places].tolist()):
+        low = min(top, valleys[k - 1]) if k else top
+        while held and held[-1][0] <= top:
+            low = min(low, held.pop()[1])
+        out[k] = low
+        held.append((top, low))
+    return out
 
 
 def zscore(x: np.ndarray) -> np.ndarray:
@@ -146,6 +173,44 @@ def quality(beats: DataFrame, *, least: int = 6, correlation: float = 0.75) -> D
     return rows.join(enough.select("patient_id"), "patient_id", "left_semi").drop("_a", "_b")
 
 
+# ---------------------------------------------------------------- patients
+
+
+def constructed(cases: DataFrame, *, seconds: float = 1800.0, width: float = 60.0, least_beats: int = 32, least: int = 6, least_half: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Patients from waveforms, and why others failed.
+
+    First: ``patient_id, n_beats, n_blocks, n_odd, n_even``, the representatives of all, odd and even blocks, ``within``
+    (trace of the covariance of the block shapes) and the medians of pressure, pulse and duration. Second:
+    ``patient_id, failure``. ``cases``: ``patient_id, fs, abp``. Beats of the last ``seconds`` that pass the checks go to
+    blocks of ``width``; a block needs ``least_beats`` beats, a patient ``least`` blocks and ``least_half`` odd and even
+    ones. ``least_beats`` 1 is the construction without a gate.
+    """
+    from .blocks import central_shape, replicates, trailing, tumbling_block
+
+    beats = beat_catalog(cases)
+    failed = beats.where("failure is not null").select("patient_id", "failure")
+    length = cases.select("patient_id", (F.size("abp") / F.col("fs")).alias("_sec"))
+    kept = trailing(quality(representations(beats)).join(length, "patient_id"), "center_sec", F.col("_sec"), seconds)
+    placed = kept.withColumn("block", tumbling_block(F.col("center_sec"), F.col("_sec") - seconds, width, int(seconds // width))).where("block is not null")
+    shapes = central_shape(placed, ["patient_id", "block"], "shape_norm").where((F.col("n") >= least_beats) & F.col("q").isNotNull())
+    reps = replicates(shapes, "patient_id", "block", "q", least=least, least_half=least_half)
+    long = shapes.select("patient_id", F.posexplode("q").alias("p", "x")).groupBy("patient_id", "p").agg(F.var_samp("x").alias("v"))
+    within = long.groupBy("patient_id").agg(F.sum("v").alias("within"))
+    medians = placed.groupBy("patient_id").agg(F.count("*").alias("n_beats"), *(F.median(c).alias(f"median_{c}") for c in ("map_proxy", "pp", "duration_sec")))
+    patients = reps.join(within, "patient_id").join(medians, "patient_id")
+    known = patients.select("patient_id").unionByName(failed.select("patient_id"))
+    short = cases.select("patient_id").join(known, "patient_id", "left_anti").withColumn("failure", F.lit("too few beats, blocks or checks passed"))
+    return patients, failed.unionByName(short)
+
+
+def shape_invariants(patients: DataFrame, columns: list[str], tolerance: float = 1e-10) -> DataFrame:
+    """``column, n, n_wrong``: representatives whose mean is not 0 or deviation not 1 to the tolerance."""
+    wrong = [F.count_if((F.abs(V.mean(F.col(c))) > tolerance) | (F.abs(V.population_sd(F.col(c)) - 1) > tolerance)).alias(f"w{i}") for i, c in enumerate(columns)]
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("n_wrong")) for i, c in enumerate(columns)]
+    one = patients.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(columns)), *wrong)
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 # ---------------------------------------------------------------- entropy of a patient's shapes
 
 
@@ -169,11 +234,13 @@ def entropy_gains(x: np.ndarray) -> dict[str, float]:
     return {f"delta_{k}": entropy(pinched(c, b)) - base for k, b in (("2", 2), ("4", 4), ("8", 8), ("all", len(c)))}
 
 
-def block_entropies(beats: DataFrame, patient: str, vector: str, surrogates: int = 0, seed: int = 0) -> DataFrame:
+def block_entropies(beats: DataFrame, patient: str, vector: str, surrogates: int = 0, seed: int = 0, kind: str = "blocks") -> DataFrame:
     """``patient, n, delta_2, delta_4, delta_8, delta_all`` and, with surrogates, ``excess_4``: the gain over the median
     of surrogates in which each of four blocks of positions is permuted among the patient's beats on its own.
 
-    A group is one patient's beats of one recording, a bounded number.
+    ``kind``: "blocks", or "positions" for surrogates in which every position is permuted on its own. A group is one
+    patient's beats of one recording, which 30 minutes bound; more, as of a patient who holds a third of a table, would
+    all come to one task.
     """
     import hashlib
 
@@ -183,11 +250,12 @@ def block_entropies(beats: DataFrame, patient: str, vector: str, surrogates: int
         out = {"p": key, "n": len(x)} | (entropy_gains(x) if len(x) > 1 and x.std(axis=0).any() else dict.fromkeys(["delta_2", "delta_4", "delta_8", "delta_all"], np.nan))
         excess = np.nan
         if surrogates and len(x) > 1:
-            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{key}|blocks".encode()).digest()[:8], "little"))
+            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{key}|{kind}".encode()).digest()[:8], "little"))
             nulls = []
             for _ in range(surrogates):
-                parts = [part[rng.permutation(len(x))] for part in np.array_split(x, 4, axis=1)]
-                nulls.append(entropy_gains(np.concatenate(parts, axis=1))["delta_4"])
+                parts = [part[rng.permutation(len(x))] for part in np.array_split(x, 4 if kind == "blocks" else x.shape[1], axis=1)]
+                c = np.cov(np.concatenate(parts, axis=1).T)
+                nulls.append(entropy(pinched(c, 4)) - entropy(c))
             excess = out["delta_4"] - float(np.median(nulls))
         return pd.DataFrame([out | {"excess_4": excess}])
 

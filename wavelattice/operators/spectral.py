@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .covariance import as_matrix
 
 
 def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +79,25 @@ def spectrum_metrics(spectrum: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def grouped_moments(df: DataFrame, group: str, vectors: list[str]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sums and sums of products of the joined vectors by (few) integer groups: one matrix a group and task."""
+def element_means(df: DataFrame, vectors: list[str]) -> np.ndarray:
+    """Means of the elements of the joined vectors."""
+    rows = df.dropna(subset=vectors).select(F.posexplode(F.concat(*vectors)).alias("p", "x")).groupBy("p").agg(F.avg("x").alias("x")).collect()
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["p"]] = r["x"]
+    return out
+
+
+def grouped_moments(df: DataFrame, group: str, vectors: list[str], shift: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, sums and sums of products of the joined vectors, less ``shift``, by (few) integer groups: one matrix a
+    group and task. A shift near the means keeps the products from cancelling."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: dict[int, list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.concatenate([np.array(c.to_pylist(), float) for c in batch.columns[1:]], axis=1)
+            x = np.concatenate([as_matrix(c) for c in batch.columns[1:]], axis=1) - shift
             g = batch.column(0).to_numpy(zero_copy_only=False)
             for k in np.unique(g):
                 own = x[g == k]
@@ -96,12 +107,52 @@ def grouped_moments(df: DataFrame, group: str, vectors: list[str]) -> dict[int,
             yield pa.RecordBatch.from_pydict({"g": [k], "v": [np.concatenate([[n], s, m.ravel()])]})
 
     parts = df.dropna(subset=vectors).select(F.col(group).cast("long"), *vectors).mapInArrow(run, "g long, v array<double>")
-    long = parts.select("g", F.posexplode("v").alias("p", "x")).groupBy("g", "p").agg(F.sum("x").alias("x"))
     out = {}
-    for r in long.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v")).collect():
-        v = np.array(r["v"])
+    for g, v in summed_vectors(parts, "g", "v").items():
         k = int(round((-1 + np.sqrt(1 + 4 * (v.size - 1))) / 2))
-        out[r["g"]] = (v[0], v[1 : 1 + k], v[1 + k :].reshape(k, k))
+        out[g] = (v[0], v[1 : 1 + k], v[1 + k :].reshape(k, k))
+    return out
+
+
+def summed_vectors(parts: DataFrame, key: str, vector: str) -> dict:
+    """Sums of (few, bounded) vectors by key, on the driver."""
+    long = parts.select(key, F.posexplode(vector).alias("p", "x")).groupBy(key, "p").agg(F.sum("x").alias("x"))
+    rows = long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v")).collect()
+    return {r[key]: np.array(r["v"]) for r in rows}
+
+
+def split_operators(df: DataFrame, ident: str, odd: str, even: str, splits: int) -> dict[int, list[np.ndarray]]:
+    """Symmetric cross-covariances of both halves of each split, from one pass over the rows.
+
+    Rows are dealt to halves by a hash of the split and ``ident``; a task sums the products of all splits.
+    """
+    shift = element_means(df, [odd, even])
+    d = shift.size // 2
+    halves = F.array(*(F.pmod(F.xxhash64(F.lit(k), F.col(ident)), F.lit(2)) for k in range(splits)))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        total = 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, o, e = (as_matrix(c) for c in batch.columns)
+            o, e = o - shift[:d], e - shift[d:]
+            parts = []
+            for k in range(splits):
+                for side in (0, 1):
+                    own = h[:, k] == side
+                    parts.append(np.concatenate([[own.sum()], o[own].sum(axis=0), e[own].sum(axis=0), (o[own].T @ e[own]).ravel()]))
+            total = total + np.stack(parts)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * splits)), pa.array(list(total))], names=["s", "v"])
+
+    parts = df.dropna(subset=[odd, even]).select(halves.alias("h"), odd, even).mapInArrow(run, "s long, v array<double>")
+    out: dict[int, list[np.ndarray]] = {}
+    for s, v in sorted(summed_vectors(parts, "s", "v").items()):
+        n, so, se, p = v[0], v[1 : 1 + d], v[1 + d : 1 + 2 * d], v[1 + 2 * d :].reshape(d, d)
+        if n > 1:
+            c = (p - np.outer(so, se) / n) / (n - 1)
+            out.setdefault(s // 2, []).append((c + c.T) / 2)
     return out
 
 
@@ -109,7 +160,8 @@ class Folds:
     """Moments of all, odd and even representatives by fold, and what any basis reconstructs out of fold."""
 
     def __init__(self, df: DataFrame, fold: str, columns: list[str]):
-        self.parts = grouped_moments(df, fold, columns)
+        self.shift = element_means(df, columns)
+        self.parts = grouped_moments(df, fold, columns, self.shift)
         self.size = next(iter(self.parts.values()))[1].size // len(columns)
         self.names = columns
         self.whole = [sum(p[i] for p in self.parts.values()) for i in range(3)]
@@ -134,8 +186,8 @@ class Folds:
         """Sum of products of a fold's rows about the training mean of the first vector."""
         n, s, p = self.parts[fold]
         d, train = self.size, self.train(fold)
-        mean = train[1][:d] / train[0]
         own = slice(which * d, (which + 1) * d)
+        mean = train[1][:d] / train[0] + self.shift[:d] - self.shift[own]
         return p[own, own] - np.outer(s[own], mean) - np.outer(mean, s[own]) + n * np.outer(mean, mean)
 
     def r2(self, bases: dict[int, np.ndarray], which: int = 0) -> float:
@@ -172,3 +224,8 @@ def chosen_dimension(curve: DataFrame, least: float = 0.9, part: float = 0.95, l
     top = F.max("r2_all").over(Window.partitionBy())
     ok = (F.col("r2_all") >= F.greatest(F.lit(least), part * F.col("_top"))) & (F.col("r2_odd") >= least_half) & (F.col("r2_even") >= least_half)
     return curve.withColumn("_top", top).agg(F.max("_top").alias("ceiling"), F.min(F.when(ok, F.col("dimension"))).alias("dimension"))
+
+
+def merged_curves(main: DataFrame, other: DataFrame, prefix: str, on: str = "dimension") -> DataFrame:
+    """A curve with the columns of another one beside it, null at dimensions that the other lacks."""
+    return main.join(other.select(on, *(F.col(c).alias(prefix + c) for c in other.columns if c != on)), on, "left")

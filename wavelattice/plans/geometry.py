@@ -112,7 +112,7 @@ def cv_reconstruction_curve(spark, d):
 
 @query()
 def dimension_rule(spark, d):
-    return spectral.chosen_dimension(cv_reconstruction_curve(spark, d), least=0.0, part=0.9, least_half=0.0)
+    return spectral.chosen_dimension(cv_reconstruction_curve(spark, d))
 
 
 @query()
@@ -128,15 +128,12 @@ def random_subspace_baseline(spark, d):
 
 @query()
 def halfsplit_overlap(spark, d):
-    """Overlap of the bases of 20 random halves; patients are split by hash, and every split is one sum of products."""
-    rows = folded(spark, d).select("patient", "all_rep", "odd_rep", "even_rep")
+    """Overlap of the eight-dimensional bases of 100 random halves, from one pass of sums of products."""
     out = []
-    for k in range(20):
-        half = F.pmod(F.xxhash64(F.lit(k), F.col("patient")), F.lit(2))
-        f = spectral.Folds(rows.withColumn("half", half), "half", ["all_rep", "odd_rep", "even_rep"])
-        found = [spectral.eigen(f.replicate_operator(m)) for m in f.parts.values()]
-        if len(found) == 2 and min(spectral.positive_rank(v) for v, _ in found) >= 4:
-            out.append((k, spectral.projector_overlap(found[0][1][:, :4], found[1][1][:, :4])))
+    for k, halves in spectral.split_operators(folded(spark, d), "patient", "odd_rep", "even_rep", 100).items():
+        found = [spectral.eigen(m) for m in halves]
+        if len(found) == 2 and min(spectral.positive_rank(v) for v, _ in found) >= 8:
+            out.append((k, spectral.projector_overlap(found[0][1][:, :8], found[1][1][:, :8])))
     return spark.createDataFrame(out, "split int, overlap double")
 
 
@@ -220,7 +217,7 @@ def beat_catalog_synthetic(spark, d):
 
 @query()
 def block_entropy_deltas(spark, d):
-    return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=5, seed=20260816)
+    return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816)
 
 
 # ---------------------------------------------------------------- manifests, leaks, metrics
@@ -231,50 +228,31 @@ def sha_manifest(spark, d):
     return integrity.manifest(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query(
-    "WITH a AS (SELECT doc_id AS name, sha256(text) AS s FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS name, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(lang) ELSE text END) AS s FROM documents WHERE doc_id % 4 <> 0) "
-    "SELECT * FROM (SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'extra' WHEN a.s <> b.s THEN 'changed' END AS status FROM a FULL JOIN b ON a.name = b.name) WHERE status IS NOT NULL"
-)
-def manifest_diff(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), "text", "lang")
-    changed = docs.where("name % 4 <> 0").withColumn("text", F.when(F.col("name") % 5 == 0, F.upper("lang")).otherwise(F.col("text")))
-    return integrity.manifest_difference(integrity.manifest(docs.where("name % 3 <> 0"), "name", "text"), integrity.manifest(changed, "name", "text"), "name")
-
-
 @query(
     "WITH a AS (SELECT doc_id AS name, sha256(text) AS s FROM documents WHERE doc_id % 6 <> 1), b AS (SELECT doc_id AS name, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(lang) ELSE text END) AS s FROM documents WHERE doc_id % 6 <> 2) "
     "SELECT * FROM (SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'extra' WHEN a.s <> b.s THEN 'changed' END AS status FROM a FULL JOIN b ON a.name = b.name) WHERE status IS NOT NULL"
 )
-def manifest_diff_whole(spark, d):
-    """The same with every document on at least one side."""
+def manifest_diff(spark, d):
+    """Missing, extra and changed documents between two lists; every document is on at least one of them."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), "text", "lang")
     changed = docs.where("name % 6 <> 2").withColumn("text", F.when(F.col("name") % 5 == 0, F.upper("lang")).otherwise(F.col("text")))
     return integrity.manifest_difference(integrity.manifest(docs.where("name % 6 <> 1"), "name", "text"), integrity.manifest(changed, "name", "text"), "name")
 
 
-_RULES = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[a-z]{2,}",
-    "phone": "\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}",
-    "token": 'token = "[0-9a-f]{32,}"',
-    "local_path": "/(Users|home)/[A-Za-z0-9_]+/",
-    "license": "[Ll]icen[sc]e",
-}
-
-
-@query(" UNION ALL ".join(f"SELECT lang, '{n}' AS rule, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n_hits, count(*) FILTER (regexp_matches(text, '{p}')) AS n_rows FROM documents GROUP BY lang" for n, p in _RULES.items()))
+@query(" UNION ALL ".join(f"SELECT lang, '{n}' AS rule, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n_hits, count(*) FILTER (regexp_matches(text, '{p}')) AS n_rows FROM documents GROUP BY lang" for n, p in S.LEAKS.items()))
 def leak_scan_counts(spark, d):
     return integrity.leak_scan(table(spark, d, "documents"), "text", ["lang"])
 
 
-@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS sha256 FROM customer WHERE c_custkey < 100")
+@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS sha256 FROM customer")
 def sorted_lines_digest(spark, d):
-    return integrity.lines_digest(table(spark, d, "customer").where("c_custkey < 100"), "c_name")
+    return integrity.lines_digest(table(spark, d, "customer"), "c_name")
 
 
-@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS sha256 FROM customer")
-def sorted_lines_digest_whole(spark, d):
-    """The same over all customers."""
-    return integrity.lines_digest(table(spark, d, "customer"), "c_name")
+@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_nationkey, c_name) || chr(10)) AS sha256 FROM customer")
+def ordered_lines_digest(spark, d):
+    """The digest of lines in a stated order."""
+    return integrity.lines_digest(table(spark, d, "customer"), "c_name", ["c_nationkey"])
 
 
 @query("SELECT event_type, (json_extract(props, '$.k'))::INT % 5 AS k, count(*) AS n FROM events GROUP BY ALL")

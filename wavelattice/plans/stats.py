@@ -74,16 +74,41 @@ def rcs4_basis(spark, d):
 
 @query()
 def nested_models(spark, d):
-    """R² of every nested design, out of fold."""
+    """R² of every nested design, out of fold, with knots of each training fold."""
     f = frame(spark, d)
     out = None
     for name in regression.DESIGNS:
-        x, names = regression.design(f, name, {"age": "age", "sex": "sex", "height": "site"})
-        row = regression.aggregate_r2(regression.out_of_fold(x, "fold", names, ["y", "w"]), ["y", "w"]).withColumn("model", F.lit(name))
+        x = regression.nested_model(f, "fold", name, {"age": "age", "sex": "sex", "height": "site"}, ["y", "w"])
+        row = regression.aggregate_r2(x, ["y", "w"]).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out.select("model", "n", "r2")
 
 
+@query(f"WITH {_FITS} SELECT axis, count(*) AS n, round(1 - sum((v - p) ** 2) / (var_pop(v) * count(*)), 6) AS r2 FROM (SELECT 'y' AS axis, y AS v, py AS p FROM pd UNION ALL SELECT 'w', w, pw FROM pd) GROUP BY axis")
+def axis_r2(spark, d):
+    return rounded(regression.axis_r2(regression.out_of_fold(frame(spark, d), "fold", ["age", "site"], ["y", "w"]), ["y", "w"]))
+
+
+def phenotypes(spark, d):
+    """Customers with three 0/1 conditions beside the baseline."""
+    return frame(spark, d).withColumns({f"p{k}": (F.col("c_custkey") % k == 0).cast("double") for k in (2, 3, 7)})
+
+
+@query()
+def block_gains(spark, d):
+    """Gains of three conditions over the baseline, and their shifts by three scales."""
+    gains = regression.block_gains(phenotypes(spark, d), "fold", ["age", "site", "sex"], ["p2", "p3", "p7"], ["y", "w"])
+    scales = frame(spark, d).agg(F.stddev_pop("y").alias("y_sd"), F.stddev_pop("w").alias("w_sd"))
+    return regression.scaled_shifts(gains, scales)
+
+
+@query()
+def pipeline_replay_null(spark, d):
+    """Fitted values plus permuted residuals, the out-of-fold fit run anew for each of 19 replicates."""
+    stats = dependence.pipeline_replay(frame(spark, d), "c_custkey", "fold", ["age", "site"], ["y", "w"], 19, 17)
+    return dependence.null_summary(stats, "dcor")
+
+
 _PAIR = f"WITH {SHAPES}, s AS (SELECT vec_id AS id, v[1:8] AS x, v[9:16] AS y FROM e)"
 _DIST = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
@@ -130,7 +155,7 @@ def distance_correlation(spark, d):
 def _perm_sql(within: str) -> str:
     part = f"PARTITION BY rep{within}"
     return (
-        f"WITH {SHAPES}, b AS (SELECT vec_id AS id, v[1:8] AS x, v[9:16] AS y, label FROM e WHERE vec_id < 100), r AS (SELECT unnest(range(0, 10)) AS rep), "
+        f"WITH {SHAPES}, b AS (SELECT vec_id AS id, v[1:8] AS x, v[9:16] AS y, label FROM e), r AS (SELECT unnest(range(0, 10)) AS rep), "
         f"t AS (SELECT rep, id, label, x, row_number() OVER ({part} ORDER BY id) AS k FROM b CROSS JOIN r), w AS (SELECT rep, label, y, row_number() OVER ({part} ORDER BY CASE WHEN rep = 0 THEN '' ELSE sha256('7:' || rep || ':' || id) END, id) AS k FROM b CROSS JOIN r), "
         f"s AS (SELECT rep, t.id, t.x, w.y FROM t JOIN w USING (rep, k{within})), {_DCOR}, o AS (SELECT dcor FROM dc WHERE rep = 0) "
         "SELECT round(o.dcor, 6) AS observed, count(*) AS n_reps, round((1 + count(*) FILTER (dc.dcor >= o.dcor - 1e-12)) / (count(*) + 1), 6) AS p FROM dc CROSS JOIN o WHERE rep > 0 GROUP BY o.dcor"
@@ -144,25 +169,13 @@ def _permutation(h, within):
 
 @query(_perm_sql(""))
 def dcor_perm_hash(spark, d):
-    """A permutation test of the hundred patients' first blocks."""
-    return _permutation(halves(spark, d).where("id < 100"), None)
+    """A permutation test over all blocks, with nine replicates; more are a parameter."""
+    return _permutation(halves(spark, d), None)
 
 
 @query(_perm_sql(", label"))
 def fold_blocked_perm_hash(spark, d):
     """The same with values kept within their group."""
-    return _permutation(halves(spark, d).where("id < 100"), ["label"])
-
-
-@query()
-def dcor_perm_hash_whole(spark, d):
-    """The permutation test over all patients' blocks; all pairs of each replicate are too many for SQL."""
-    return _permutation(halves(spark, d), None)
-
-
-@query()
-def fold_blocked_perm_hash_whole(spark, d):
-    """The same over all rows, with values kept within their group."""
     return _permutation(halves(spark, d), ["label"])
 
 
@@ -190,10 +203,10 @@ def decision_bands(spark, d):
 
 @query()
 def bootstrap_median_ci(spark, d):
-    return dependence.interval(dependence.bootstrap_medians(frame(spark, d), "c_custkey", "y", 200, 11), "median")
+    return dependence.interval(dependence.bootstrap_medians(frame(spark, d), "c_custkey", "y", 2000, 11), "median")
 
 
 @query()
 def freedman_lane(spark, d):
-    stats = dependence.freedman_lane(frame(spark, d), "c_custkey", ["age"], "sex", ["y", "w"], 99, 13)
+    stats = dependence.freedman_lane(frame(spark, d), "c_custkey", ["age"], "sex", ["y", "w"], 2000, 13)
     return dependence.permutation_p(stats, "statistic")
