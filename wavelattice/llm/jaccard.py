@@ -436,8 +436,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     found = classes.select("vid", "ck", "at", "n", "bytes", "sig").join(sized_broadcast(staged(roots, "roots")), "vid")
     found = staged(found, "grouped")
     sizes = staged(found.groupBy("root").agg(F.count("*").alias("members"), F.sum("bytes").alias("size")), "sizes")
-    placed = staged(lookup(found, sizes, "root", "members").select("vid", "ck", F.col("at._file").alias("_file"), F.col("at._line").alias("_line"), "n", "root", "members", "size", "sig"), "placed")
-    rows = base.join(sized_broadcast(placed), ["_file", "_line", "ck"]).select("vid", "n", "root", "members", "size", "sig", "text")
+    placed = staged(lookup(found, sizes, "root", "members").select("vid", "ck", F.col("at._file").alias("_file"), F.col("at._line").alias("_line"), "n", "root", "members", "size", "sig", F.lit(1).alias("one")), "placed")
+    texts = base.join(sized_broadcast(placed.select("_file", "_line", "ck", "vid")), ["_file", "_line", "ck"]).select("vid", "text")
+    rows = lookup(texts, placed.select("vid", "n", "root", "members", "size", "sig", "one"), "vid", "one").drop("one")
     blocks = F.greatest(F.ceil(F.col("members") / TEXT_BLOCK), F.ceil(F.col("size") / TEXT_BYTES))
     tiles = staged(_tiles(_dealt(rows, "root", blocks)), "links")
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 MAX_HOT_KEYS = 1000
 
 #: Measured bytes of a table that is sent to every task, at most; beyond it, tables are joined by a shuffle.
-MOST_BROADCAST = 32 << 20
+MOST_BROADCAST = 8 << 20
 
 #: Rows of an Arrow batch between Spark and Python: whole texts make them heavy.
 ARROW_ROWS = 1000
