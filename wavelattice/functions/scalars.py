@@ -130,3 +130,50 @@ LEAKS = {
 
 def leak_counts(text: Column) -> dict[str, Column]:
     return {name: F.regexp_count(text, F.lit(pattern)).cast("long") for name, pattern in LEAKS.items()}
+
+
+# Words of a path that tell what code is for, in the order of preference.
+CODE_KINDS = {
+    "publication": ["figure", "export", "render", "publication", "manuscript"],
+    "audit": ["audit", "preflight", "freeze", "closeout", "serialize", "staging", "lock"],
+}
+
+
+def code_kind(path: Column) -> Column:
+    """Publication, audit or scientific code, by words of its path."""
+    low = F.lower(path)
+    out = None
+    for kind, words in CODE_KINDS.items():
+        met = F.lit(False)
+        for w in words:
+            met = met | low.contains(w)
+        out = F.when(met, kind) if out is None else out.when(met, kind)
+    return out.otherwise("scientific")
+
+
+def metric_value(text: Column, name: str) -> Column:
+    """The number behind a name in a readout, over line ends, as in ``name ... = 1.5e-3``; null where there is none."""
+    escaped = "".join(f"[{c}]" if not c.isalnum() and c not in " _" else c for c in name)
+    return F.regexp_extract(text, rf"(?s){escaped}[^0-9+=:-]*[=:]\s*([+-]?[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
+
+
+def has_phrase(text: Column, phrase: str) -> Column:
+    """Whether a phrase stands in the text, whatever white space parts its words; null counts as not."""
+    flat = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.coalesce(F.contains(flat, F.lit(" ".join(phrase.lower().split()))), F.lit(False))
+
+
+def window_start(record_start: Column, start_sample: Column, fs: Column) -> Column:
+    """The moment of a sample, to the microsecond."""
+    return F.timestamp_add("MICROSECOND", F.round(start_sample * F.lit(1e6) / fs).cast("long"), record_start)
+
+
+def custom_order(value: Column, order: list[str]) -> Column:
+    """The place of a value in a stated order; values that it lacks come last."""
+    place = F.array_position(F.array(*(F.lit(o) for o in order)), value)
+    return F.when(place > 0, place).otherwise(F.lit(len(order) + 1)).cast("int")
+
+
+def flattened(column: str, names: list[str]) -> list[Column]:
+    """Elements of a list as columns of their own, null beyond its end."""
+    return [F.get(F.col(column), F.lit(i)).alias(n) for i, n in enumerate(names)]

@@ -137,3 +137,9 @@ def residual(v: Column, basis: list[list[float]]) -> Column:
 def _without(v: Column, row: Column) -> Column:
     # ``v`` stands here once: used twice, it would double with every row that is taken out.
     return _with(v, lambda u: _with(dot(u, row), lambda z: F.zip_with(u, row, lambda x, b: x - z * b)))
+
+
+def phase_grid(n: int = LENGTH, at: str = "left") -> Column:
+    """Phases of ``n`` bins: their left ends, middles or right ends."""
+    shift = {"left": 0.0, "middle": 0.5, "right": 1.0}[at]
+    return F.array(*(F.lit((i + shift) / n) for i in range(n)))

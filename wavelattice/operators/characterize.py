@@ -89,3 +89,24 @@ def coefficient_norm(df: DataFrame, predictor: str, targets: list[str]) -> DataF
     """``n, norm``: the length of a predictor's slopes over all targets, from one pass of sums."""
     slopes = [F.regr_slope(t, predictor) for t in targets]
     return df.agg(F.count("*").alias("n"), F.sqrt(sum((s * s for s in slopes), F.lit(0.0))).alias("norm"))
+
+
+def cohort_summary(df: DataFrame, kind: str, ident: str, value: str, replicates: int = 200, seed: int = 11) -> DataFrame:
+    """``kind, n, median, low, high, share_positive`` by representation; the interval is that of medians of rows weighted
+    by Poisson draws from a hash."""
+    from .dependence import bootstrap_medians
+
+    plain = df.groupBy(kind).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.avg((F.col(value) > 0).cast("int")).alias("share_positive"))
+    medians = bootstrap_medians(df, ident, value, replicates, seed, [kind])
+    q = F.percentile("median", F.array(F.lit(0.025), F.lit(0.975)))
+    interval = medians.groupBy(kind).agg(q.alias("_q")).select(kind, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    return plain.join(interval, kind).select(kind, "n", "median", "low", "high", "share_positive")
+
+
+def crossing_fractions(steps: DataFrame, patient: str, step: str, nearest: DataFrame, distance: str) -> DataFrame:
+    """``n, median_crosses, p95_crosses, max_crosses``: parts of patients whose own steps (median, 95th percentile,
+    largest) reach the distance to their nearest neighbour."""
+    q = F.percentile(step, F.array(F.lit(0.5), F.lit(0.95)))
+    own = steps.groupBy(patient).agg(q.alias("_q"), F.max(step).alias("_max")).join(nearest.select(patient, distance), patient)
+    share = lambda c: F.avg((c >= F.col(distance)).cast("int"))
+    return own.agg(F.count("*").alias("n"), share(F.col("_q")[0]).alias("median_crosses"), share(F.col("_q")[1]).alias("p95_crosses"), share(F.col("_max")).alias("max_crosses"))

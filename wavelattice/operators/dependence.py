@@ -210,12 +210,16 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
-def bootstrap_medians(df: DataFrame, ident: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """``rep, median``: medians of rows weighted by Poisson(1) draws from a hash, so that no sample is gathered."""
-    rows = df.select(ident, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+def bootstrap_medians(df: DataFrame, ident: str, value: str, replicates: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """``by, rep, median``: medians of rows weighted by Poisson(1) draws from a hash, so that no sample is gathered.
+
+    Every row is read once for each replicate, but only counts of distinct values by replicate are shuffled.
+    """
+    by = by or []
+    rows = df.select(*by, ident, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     u = F.conv(F.substring(hash_order(F.col(ident), F.col("rep"), seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
     weight = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
-    return rows.withColumn("_w", weight).where("_w > 0").groupBy("rep").agg(F.percentile(value, 0.5, F.col("_w")).alias("median"))
+    return rows.withColumn("_w", weight).where("_w > 0").groupBy(*by, "rep").agg(F.percentile(value, 0.5, F.col("_w")).alias("median"))
 
 
 def interval(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -76,6 +76,31 @@ def decision(checks: DataFrame) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("n_failed") == 0, "PASS").otherwise("FAIL"))
 
 
+def preflight_decision(checks: DataFrame, *, required: str = "required", future: str = "future") -> DataFrame:
+    """``n_required_failed, n_future, n_future_failed, decision``: FAIL where a required check fails, PASS where all
+    future ones hold as well (and there are any), else PARTIAL."""
+    mine, later = F.col("category") == required, F.col("category") == future
+    failed = ~F.coalesce(F.col("passed"), F.lit(False))
+    out = checks.agg(F.count_if(mine & failed).alias("n_required_failed"), F.count_if(later).alias("n_future"), F.count_if(later & failed).alias("n_future_failed"))
+    ready = (F.col("n_future") > 0) & (F.col("n_future_failed") == 0)
+    return out.withColumn("decision", F.when(F.col("n_required_failed") > 0, "FAIL").when(ready, "PASS").otherwise("PARTIAL"))
+
+
+def detect_column(columns: list[str], preferred: list[str], words: list[str]) -> str | None:
+    """The first preferred column there is, whatever its case, else the first that holds all words."""
+    low = {c.lower(): c for c in columns}
+    return next((low[p.lower()] for p in preferred if p.lower() in low), next((c for c in columns if all(w.lower() in c.lower() for w in words)), None))
+
+
+def pinned_column(df: DataFrame, column: str, valid: int, condition: Column | None = None) -> DataFrame:
+    """``df`` if just ``valid`` rows of the column are valid (not null, or as ``condition`` says)."""
+    expect_columns(df, [column])
+    n = df.where(F.col(column).isNotNull() if condition is None else condition).count()
+    if n != valid:
+        raise GuardError(f"{n} valid rows of {column} instead of {valid}")
+    return df
+
+
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, n_null, n_not_finite`` of the columns, in one pass."""
     types = dict(df.dtypes)

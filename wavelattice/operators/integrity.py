@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import leak_counts
+from ..functions.scalars import LEAKS, custom_order, leak_counts
 
 
 def digest(text: Column) -> Column:
@@ -67,6 +67,100 @@ def file_class(path: Column, leaked: Column) -> Column:
     return F.when(private, "PRIVATE").when(candidate & ~leaked, "CANDIDATE").otherwise("MANUAL_REVIEW")
 
 
+# What a release must not hold, beside the patterns of texts.
+RAW_SUFFIXES = ["npz", "npy", "dat", "hea", "wfdb", "gz", "pkl", "pickle"]
+TEXT_SUFFIXES = ["md", "txt", "json", "csv", "cff", "py", "sh", "yaml", "yml", "toml"]
+ID_COLUMNS = ["patient_id", "subject_id", "hadm_id", "icustay_id", "record_id", "record_path", "case_id"]
+LARGE_BYTES = 20 * 1024 * 1024
+PATH_RULES, SECRET_RULES = ["mac_path", "home_path", "windows_path"], ["hub_token", "hub_pat", "private_key", "access_key"]
+
+
+def release_findings(files: DataFrame, *, path: str = "path", size: str = "bytes", text: str = "text") -> DataFrame:
+    """``path, rule`` for every rule that a file breaks: raw_suffix, large, local_path, secret, identifier, id_column.
+
+    Texts are searched in files of the text suffixes; concrete identifiers may stand in Python code; an id column is a
+    name in the first line of a CSV, whatever its case.
+    """
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    body = F.when(suffix.isin(TEXT_SUFFIXES), F.coalesce(F.col(text), F.lit(""))).otherwise(F.lit(""))
+    any_of = lambda names: sum((F.regexp_count(body, F.lit(LEAKS[n])) for n in names), F.lit(0)) > 0
+    names = F.transform(F.split(F.substring_index(body, "\n", 1), ","), lambda c: F.lower(F.trim(F.regexp_replace(c, r'^[\s"]+|[\s"]+$', ""))))
+    rules = {
+        "raw_suffix": suffix.isin(RAW_SUFFIXES),
+        "large": F.col(size) > LARGE_BYTES,
+        "local_path": any_of(PATH_RULES),
+        "secret": any_of(SECRET_RULES),
+        "identifier": (suffix != "py") & any_of(["patient_id"]),
+        "id_column": (suffix == "csv") & F.arrays_overlap(names, F.array(*(F.lit(c) for c in ID_COLUMNS))),
+    }
+    broken = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda r: r.isNotNull())
+    return files.select(path, F.explode(broken).alias("rule"))
+
+
+def keyword_candidates(files: DataFrame, path: str, words: dict[str, list[str]]) -> DataFrame:
+    """``path, kind`` for every kind of which a path holds one of the words, whatever its case."""
+    low = F.lower(path)
+    kinds = []
+    for kind, own in words.items():
+        met = F.lit(False)
+        for w in own:
+            met = met | low.contains(w.lower())
+        kinds.append(F.when(met, F.lit(kind)))
+    return files.select(path, F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("kind"))
+
+
+def matrix_facts(matrix: DataFrame) -> DataFrame:
+    """``n_rows, n_columns, n_elements, whole, finite, symmetry_error`` of a matrix as ``i, j, c`` (zero-based)."""
+    good = F.col("c").isNotNull() & ~F.isnan("c") & (F.abs(F.col("c")) < float("inf"))
+    one = matrix.agg((F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_columns"), F.count("*").alias("n_elements"), F.bool_and(good).alias("finite"))
+    other = matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("c").alias("_t"))
+    error = matrix.join(other, ["i", "j"]).agg(F.max(F.abs(F.col("c") - F.col("_t"))).alias("symmetry_error"))
+    whole = F.col("n_elements") == F.col("n_rows") * F.col("n_columns")
+    return one.crossJoin(F.broadcast(error)).select("n_rows", "n_columns", "n_elements", whole.alias("whole"), "finite", "symmetry_error")
+
+
+def orthonormal_error(basis: DataFrame) -> DataFrame:
+    """``error``: the largest difference between the products of a basis' columns (``i, j, c``) and the unit matrix."""
+    other = basis.select("i", F.col("j").alias("k"), F.col("c").alias("_d"))
+    gram = basis.join(other, "i").groupBy("j", "k").agg(F.sum(F.col("c") * F.col("_d")).alias("g"))
+    return gram.agg(F.max(F.abs(F.col("g") - (F.col("j") == F.col("k")).cast("double"))).alias("error"))
+
+
+def largest_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``difference`` of two matrices as ``i, j, c``; elements that one lacks count as infinite."""
+    joined = a.select("i", "j", F.col("c").alias("_a")).join(b.select("i", "j", F.col("c").alias("_b")), ["i", "j"], "full")
+    return joined.agg(F.max(F.coalesce(F.abs(F.col("_a") - F.col("_b")), F.lit(float("inf")))).alias("difference"))
+
+
+def output_lock(result: DataFrame, identity: dict[str, object], outputs: DataFrame, required: list[str], *, name: str = "name", content: str = "content") -> DataFrame:
+    """The manifest of the required outputs; fails where one is missing or the one-row ``result`` is not as it must be."""
+    row = result.first()
+    wrong = [k for k, v in identity.items() if row is None or k not in row or row[k] != v]
+    if wrong:
+        raise ValueError(f"the result is not the one to be locked: {wrong}")
+    found = manifest(outputs.where(F.col(name).isin(required)), name, content)
+    missing = sorted(set(required) - {r[name] for r in found.select(name).collect()})
+    if missing:
+        raise ValueError(f"outputs are missing: {missing}")
+    return found
+
+
+def locked_inputs(expected: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``found`` if every expected name has the expected digest; else fails with the names that differ."""
+    wrong = manifest_difference(expected, found, name).where("status <> 'extra'").orderBy(name).limit(10).collect()
+    if wrong:
+        raise ValueError(f"inputs differ from the locked ones: {[(r[name], r['status']) for r in wrong]}")
+    return found
+
+
+def figure_ready(metrics: DataFrame, names: list[str], expected: dict[str, str] | None = None) -> DataFrame:
+    """The rows of the named metrics in the stated order; fails where one is missing or a column has another type."""
+    if expected is not None and (wrong := {c: dict(metrics.dtypes).get(c) for c, t in expected.items() if dict(metrics.dtypes).get(c) != t}):
+        raise ValueError(f"columns of another type or missing: {wrong}")
+    metric_lookup(metrics, names)
+    return metrics.where(F.col("metric").isin(names)).withColumn("place", custom_order(F.col("metric"), names))
+
+
 METRIC = ["section", "metric", "value", "unit", "role", "source", "note"]
 
 

@@ -1,8 +1,8 @@
 """Queries over the driver tables, with their SQL."""
 
-from . import core, geometry, shapes, stats
+from . import core, geometry, release, shapes, stats
 
-MODULES = (core, stats, geometry, shapes)
+MODULES = (core, stats, geometry, shapes, release)
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import os
@@ -34,12 +35,90 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def read_texts(spark: SparkSession, path: str, most_bytes: int = 5_000_000) -> DataFrame:
-    """``path, text`` of small files; bytes that are no UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most_bytes)
+def read_texts(spark: SparkSession, path: str, most_bytes: int | None = None, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """``path, text`` of all files, or of those up to a size or with a suffix; bytes that are no UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if most_bytes is not None:
+        files = files.where(F.col("length") <= most_bytes)
+    if suffixes:
+        files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin([s.lower() for s in suffixes]))
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def header(spark: SparkSession, path: str) -> list[str]:
+    """Names of a CSV's columns, from its first line alone."""
+    first = spark.read.text(path).limit(1).collect()
+    return _names(first[0][0]) if first else []
+
+
+def _names(line: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([line]), [])]
+
+
+#: Suffixes under which a table may lie, in the order of preference.
+TABLE_SUFFIXES = (".csv", ".csv.gz", ".csv.bz2", ".parquet")
+
+
+def file_paths(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``path`` of all files below a folder whose name matches, listed by Spark's own readers."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
+
+
+def locate_table(spark: SparkSession, folder: str, name: str, *, required: bool = True) -> str | None:
+    """The file of a table in a folder, whatever its case, by the first suffix there is; null or an error for none."""
+    held = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
+    wanted = [name.lower() + s for s in TABLE_SUFFIXES]
+    order = F.array_position(F.array(*(F.lit(w) for w in wanted)), held)
+    found = file_paths(spark, folder).where(held.isin(wanted)).orderBy(order, "path").limit(1).collect()
+    if found:
+        return found[0]["path"]
+    if required:
+        raise FileNotFoundError(f"{folder} holds no table {name}")
+    return None
+
+
+def locate_named(spark: SparkSession, name: str, folders: list[str], explicit: str | None = None) -> tuple[str | None, list[str]]:
+    """The first file of that name by path, and all of them; a path that is given goes before any search."""
+    if explicit is not None:
+        found = [r["path"] for r in spark.read.format("binaryFile").load(explicit).select("path").collect()] if _exists(spark, explicit) else []
+    else:
+        found = sorted({r["path"] for f in folders if _exists(spark, f) for r in file_paths(spark, f, name).distinct().collect()})
+    return (found[0] if found else None), found
+
+
+def locate_one(spark: SparkSession, folders: list[str], patterns: list[str]) -> str:
+    """The one file that any of the patterns matches; fails where there is none or more than one."""
+    found = sorted({r["path"] for f in folders if _exists(spark, f) for p in patterns for r in file_paths(spark, f, p).distinct().collect()})
+    if len(found) != 1:
+        raise FileNotFoundError(f"{len(found)} files match {patterns}: {found[:10]}")
+    return found[0]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_coordinates(df: DataFrame, path: str, ident: str, vectors: list[str]) -> None:
+    """Coordinates (``ident`` and array columns) as one compressed artefact."""
+    df.select(ident, *(F.col(v).cast("array<double>").alias(v) for v in vectors)).write.option("compression", "zstd").parquet(path)
+
+
+def read_coordinates(spark: SparkSession, path: str, ident: str, vectors: list[str]) -> DataFrame:
+    """Coordinates as they were written; fails where one of the columns is missing."""
+    found = spark.read.parquet(path)
+    missing = [c for c in (ident, *vectors) if c not in found.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    return found.select(ident, *vectors)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A CSV with a header, a file for each partition; arrays and structs as JSON."""
+    flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
+    df.select(*flat).write.option("header", True).csv(path)
+
+
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path, bytes, sha256`` of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
