@@ -24,14 +24,14 @@ from .files import open_fs, pack, unpack, write_whole
 from .shared import located, lookup, scratch, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
 
 #: Bytes of an n-gram; a symbol is a byte plus 1, or 0 before the start of a text, so that a key fits a long.
-ORDER = 6
+ORDER = 5
 SYMBOL_BITS = 9
 #: One trusted document in so many is held out of the fit, for the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.985
 BATCH_CHARS = 1_000_000
 #: Rows of a file that make a chunk, and n-grams of a chunk that a worker reads at a time.
-CHUNK_ROWS, PIECE_ROWS = 16_384, 2_000_000
+CHUNK_ROWS, PIECE_ROWS = 8_192, 2_000_000
 
 
 def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
 
 
 def write_chunks(rows: DataFrame) -> str:
-    """``rows`` (``chunk, key, p``; may repeat) as a file of ascending keys for each chunk; returns the folder."""
+    """``rows`` (``chunk, key, log``; may repeat) as a file of ascending keys for each chunk; returns the folder."""
     folder = scratch(rows.sparkSession, "model")
 
     def file(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
@@ -164,11 +164,11 @@ def write_chunks(rows: DataFrame) -> str:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for batch in batches:
-            chunks, keys, p = (c.to_numpy() for c in batch.columns)
+            chunks, keys, logs = (c.to_numpy() for c in batch.columns)
             bounds = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), chunks.size]
             for a, b in zip(bounds, bounds[1:], strict=False):
                 if b > a:
-                    yield int(chunks[a]), keys[a:b], np.log(p[a:b]).astype(np.float32)
+                    yield int(chunks[a]), keys[a:b], logs[a:b]
 
     def pieces(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held, size = [], 0
@@ -188,7 +188,7 @@ def write_chunks(rows: DataFrame) -> str:
             done += 1
         yield pa.RecordBatch.from_pydict({"n": [done]})
 
-    dealt = rows.select("chunk", "key", "p").repartition(shuffle_width(rows.sparkSession), "chunk").sortWithinPartitions("chunk", "key")
+    dealt = rows.select("chunk", "key", "log").repartition(shuffle_width(rows.sparkSession), "chunk").sortWithinPartitions("chunk", "key")
     dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()
     return folder
 
@@ -284,7 +284,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
 
     grams = staged(count_ngrams(base, "text", "trained"), "grams")
     table = probabilities(staged(grams.groupBy("key").agg(F.sum("c").alias("c")), "counts"))
-    folder = write_chunks(grams.select("chunk", "key").join(table, "key"))
+    # Where a tiny model has a discount of 0, an n-gram may have no probability at all; its documents are not kept.
+    log = F.when(F.col("p") > 0, F.ln("p")).otherwise(F.lit(float("-inf"))).cast("float").alias("log")
+    folder = write_chunks(grams.select("chunk", "key").join(table.select("key", log), "key"))
     scored = staged(perplexities(base.select("_chunk", "doc_id", "text_hash", "lang", "trusted", "held", "text"), "text", folder), "scores")
 
     seen = scored.where("held and perplexity is not null")
