@@ -60,7 +60,7 @@ TABLE_SUFFIXES = (".csv", ".csv.gz", ".csv.bz2", ".parquet")
 
 
 def file_paths(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``path`` of all files below a folder whose name matches, listed by Spark's own readers."""
+    """``path`` of all files below a folder whose name matches, listed by Spark's own readers, which leave out empty ones."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
 
 
