@@ -165,8 +165,10 @@ def write_document(path: str, value: dict | str) -> None:
 
 
 def markdown(df: DataFrame, most_rows: int = 200) -> str:
-    """A small table as Markdown, numbers to six digits."""
-    rows = df.limit(most_rows).collect()
+    """A small table as Markdown, numbers to six digits; fails where it has more than ``most_rows`` rows."""
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
     cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     lines = [df.columns, ["---"] * len(df.columns), *([cell(v) for v in r] for r in rows)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
