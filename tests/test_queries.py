@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import math
+import sys
 
 import pytest
 
@@ -40,3 +41,9 @@ def test_entry_gives_rows(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_works_where_the_corpus_queries_cannot_be_imported(monkeypatch):
+    entry = importlib.import_module("__spark_entry__")
+    monkeypatch.setitem(sys.modules, "wavelattice.llm.queries", None)
+    assert set(entry.queries()) == set(plans.queries()) and set(entry.oracle_sql()) == set(SQL)

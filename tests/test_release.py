@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelattice.functions import scalars as S
-from wavelattice.operators import covariance, dependence, guards, integrity, regression, signal
+from wavelattice.operators import covariance, dependence, guards, integrity, regression, signal, spectral
 from wavelattice.plans import stats
 from wavelattice.sources import files
 
@@ -125,6 +125,19 @@ def test_median_of_all_pairs(spark):
     assert r["n_pairs"] == d.size and r["median"] == pytest.approx(np.median(d), rel=2e-3)
 
 
+def test_operators_of_all_splits_come_from_one_pass(spark):
+    rng = np.random.default_rng(11)
+    o, e = rng.normal(size=(2, 50, 4)) + 7
+    df = spark.createDataFrame([(i, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(o, e, strict=True))], "id long, o array<double>, e array<double>").repartition(3)
+    found = spectral.split_operators(df, "id", "o", "e", 3)
+    for k in range(3):
+        half = np.array([r[0] for r in df.orderBy("id").select(F.pmod(F.xxhash64(F.lit(k), F.col("id")), F.lit(2))).collect()])
+        for side in (0, 1):
+            a, b = o[half == side], e[half == side]
+            c = (a - a.mean(0)).T @ (b - b.mean(0)) / (len(a) - 1)
+            assert np.allclose(found[k][side], (c + c.T) / 2)
+
+
 # ---------------------------------------------------------------- waveforms
 
 

@@ -53,7 +53,7 @@ def oof_r2_delta(spark, d):
     f = frame(spark, d)
     one = regression.aggregate_r2(regression.out_of_fold(f, "fold", ["age"], ["y", "w"]), ["y", "w"]).select(F.col("r2").alias("r2_one"))
     two = regression.aggregate_r2(regression.out_of_fold(f, "fold", ["age", "site"], ["y", "w"]), ["y", "w"]).select(F.col("r2").alias("r2_two"))
-    both = one.crossJoin(two).withColumn("delta", F.col("r2_two") - F.col("r2_one"))
+    both = one.crossJoin(F.broadcast(two)).withColumn("delta", F.col("r2_two") - F.col("r2_one"))
     return rounded(both.withColumn("band", S.delta_band(F.col("delta"))))
 
 
