@@ -25,15 +25,19 @@ def _contract(edges: DataFrame) -> DataFrame:
     return staged(moved.unionByName(met.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: the least of its component, as edges lead downwards."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``u`` and ``v``, the least node of its component, for every node that is not the least of its own.
 
-    ``edges`` (``u`` > ``v``, longs) may repeat. Only a count and a checksum of each round reach the driver.
+    ``edges`` (``u`` > ``v``, longs) may repeat. Only whether a round settled them reaches the driver.
     """
     edges = staged(edges.select("u", "v").distinct(), "edges")
-    state = None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state or not now[0]:
-            return edges
-        state, edges = now, _contract(edges)
+    while not _settled(edges):
+        edges = _contract(edges)
+    return edges

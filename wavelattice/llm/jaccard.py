@@ -430,7 +430,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     worded = classes.where("sig is not null").select("vid", "sig")
     groups = components(candidate_links(worded.withColumn("label", F.col("vid")), range(FIRST_BANDS)))
     later = candidate_links(_labelled(worded, groups), range(FIRST_BANDS, BANDS))
-    groups = components(groups.unionByName(later))
+    groups = groups if later.isEmpty() else components(groups.unionByName(later))
 
     roots = groups.select(F.col("u").alias("vid"), F.col("v").alias("root")).unionByName(groups.select(F.col("v").alias("vid"), F.col("v").alias("root")).distinct())
     found = classes.select("vid", "ck", "at", "n", "bytes", "sig").join(sized_broadcast(staged(roots, "roots")), "vid")
