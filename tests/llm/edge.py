@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, size long, keep string, perplexity string, _bucket int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, size long, keep string, perplexity string, _bucket int, _ident string, _n int, _key string, _spans string, _fixed int, _doc int, _file int, _chunk string, _ck int"
 
 
 def hash_twins(n: int = 2048) -> tuple[str, str]:
@@ -47,7 +47,7 @@ def documents(spark, *, empty: bool = False):
     ]
     rows = [(i, t, ("en", "de", None)[i % 3], ("a", "b", None)[i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[0], rows[3], (0, "another text of the first key", "en", "a", 1), (None, prose(12), "en", "a", 1), (None, None, None, None, None)]
-    rows = [(*r, "x", 7, "k", "p", 1) for r in rows]
+    rows = [(*r, "x", 7, "k", "p", 1, "i", 2, "y", "s", 3, 4, 5, "c", 6) for r in rows]
     return spark.createDataFrame([] if empty else rows, SCHEMA)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lookup, staged, text_or_empty
+from .shared import lookup, staged, text_or_empty, whole
 
 #: A source is repeated at most so often.
 MOST = 3
@@ -93,18 +93,19 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
     task.
     """
     made = ("size", "source_size", "target", "rate", "copies")
-    base = df.drop(*made, "_key", "_ident", "_same").withColumn("size", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")).withColumn("_key", source_key(source))
+    kept = [c for c in df.columns if c not in made]
+    ident = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(text_or_empty(text)))
+    base = df.select(whole(kept), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), source_key(source).alias("_key"), ident.alias("_ident"))
     sums = staged(base.groupBy("_key").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).withColumnRenamed("_key", "key"), "sums")
     rates = staged(targets(sums, weights, most).select(F.col("key").alias("_key"), F.col("words").alias("source_size"), "target", "rows"), "rates")
-    ident = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(text_or_empty(text)))
-    base = numbered(base.withColumn("_ident", ident).withColumn("_same", F.concat_ws(":", "_ident", "_key")), "_same")
-    joined = lookup(base, rates, "_key", "rows").drop("_key", "_same", "rows")
+    base = numbered(base.withColumn("_same", F.concat_ws(":", "_ident", "_key")), "_same")
+    joined = lookup(base, rates, "_key", "rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("rate")
-    extra = (draw(F.col("_ident"), F.col("_ordinal"), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + extra).drop("_ident", "_ordinal")
+    times = F.floor("rate")
+    extra = (draw(F.col("_ident"), F.col("_ordinal"), seed) < F.col("rate") - times).cast("long")
+    return joined.withColumn("rate", rate).select("_doc.*", "size", "source_size", "target", "rate", (times + extra).alias("copies"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: every document as often as its ``copies`` say."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    return mixed.select(whole(mixed.columns), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

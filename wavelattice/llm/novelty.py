@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, text_batches
+from .shared import fresh, staged, text_batches
 
 # The patterns of the fixed kinds, in their order, and the least length of what counts.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,6 +132,7 @@ def scan(df: DataFrame, *, text: str = "text", spans: str = "spans", threshold:
     kept = [c for c in df.columns if c not in (text, spans)]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema]
     at = len(kept)
+    base, loose_ = fresh(kept, "_fixed"), fresh(kept, "_loose")
 
     def find(batches):
         for batch, texts in text_batches(batches, text):
@@ -141,16 +142,16 @@ def scan(df: DataFrame, *, text: str = "text", spans: str = "spans", threshold:
                 found = base_spans(t, longest)
                 fixed.append([{"kind": k, "start": a, "end": b, "novelty": None} for k, a, b in found])
                 loose.append(candidates(t, longest, found))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(fixed, _SPANS), pa.array(loose, _LOOSE)], names=[*kept, "_fixed", "_loose"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(fixed, _SPANS), pa.array(loose, _LOOSE)], names=[*kept, base, loose_])
 
     found = staged(
-        df.select(*kept, text).mapInArrow(find, ", ".join([*fields, f"_fixed array<{SPAN}>", "_loose array<struct<start:int,end:int,near:boolean,linked:boolean,held:boolean,holds:boolean,string:string,before:string,after:string>>"])),
+        df.select(*kept, text).mapInArrow(find, ", ".join([*fields, f"`{base}` array<{SPAN}>", f"`{loose_}` array<struct<start:int,end:int,near:boolean,linked:boolean,held:boolean,holds:boolean,string:string,before:string,after:string>>"])),
         "secrets",
     )
     # Strings with digits, and what the cut at AROUND leaves of them, are neighbours' secrets rather than identifiers.
     cut = lambda c, at: F.when(F.char_length(c) == AROUND, F.regexp_replace(c, at, "")).otherwise(F.col(c))
     sides = F.concat_ws(" ", cut("c.before", r"^[A-Za-z0-9+/_=-]+"), cut("c.after", r"[A-Za-z0-9+/_=-]+$"))
-    around = found.where(F.size("_loose") > 0).select(F.explode("_loose").alias("c")).select(F.regexp_replace(sides, ODD, " ").alias("s"))
+    around = found.where(F.size(loose_) > 0).select(F.explode(loose_).alias("c")).select(F.regexp_replace(sides, ODD, " ").alias("s"))
     words = around.select(F.explode(F.regexp_extract_all("s", F.lit(r"([A-Za-z_]{4,24})"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = [r.word for r in words.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()]
     top.reverse()  # the most frequent words lie nearest, where references are cheapest

@@ -121,6 +121,19 @@ def lookup_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     return done.unionByName(cold.join(rest, key, "left"))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as no column has."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def whole(columns: list[str]) -> Column:
+    """Columns as one struct ``_doc``, so that no name of theirs meets one of an operator's own; ``_doc.*`` unpacks it."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc")
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
