@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm import bpe, jaccard, kneser, mixing, novelty
-from wavelattice.llm.shared import light_batches, lookup, scratch, staged, text_or_empty
+from wavelattice.llm.shared import fresh, light_batches, lookup, scratch, staged, text_or_empty, whole
 
 
 def ident(*parts: Column) -> Column:
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = kneser.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = found.where(~F.col("keep")).groupBy(ident(F.col("doc_id"), F.col("text_hash"), F.col("lang")).alias("_ident")).agg(F.count("*").alias("_n"))
     own = ident(F.col("doc_id").cast("long"), kneser.text_hash(), F.col("lang"))
-    return lookup(docs.withColumn("_ident", own), staged(gone, "rejected"), "_ident", "_n").where("_n is null").select(*docs.columns)
+    return lookup(docs.select(whole(docs.columns), own.alias("_ident")), staged(gone, "rejected"), "_ident", "_n").where("_n is null").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = rows.groupBy("class_key").agg(F.min(F.struct("order", "_ident")).alias("first"))
     chosen = staged(first.select(F.col("first._ident").alias("_ident"), F.lit(True).alias("_chosen")), "chosen")
     other = staged(rows.join(chosen, "_ident", "left").where("_chosen is null or _n > 1").select("_ident", "_n", "_chosen"), "others")
-    marked = lookup(docs.withColumn("_ident", ident(F.col("doc_id").cast("long"), F.md5(text_or_empty("text")))), other, "_ident", "_n")
-    single = marked.where("_n is null").select(*docs.columns)
+    own = ident(F.col("doc_id").cast("long"), F.md5(text_or_empty("text")))
+    marked = lookup(docs.select(whole(docs.columns), own.alias("_ident")), other, "_ident", "_n")
+    single = marked.where("_n is null").select("_doc.*")
     if other.where("_chosen").isEmpty():
         return single
     again = marked.where("_chosen").dropDuplicates(["_ident"])
-    return single.unionByName(again.select(*docs.columns))
+    return single.unionByName(again.select("_doc.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.md5(text_or_empty("text"))
     found = novelty.scan(docs.select(digest.alias("_ck"), "text"), spans="_spans").where(F.size("_spans") > 0)
     hits = staged(found.groupBy("_ck").agg(F.first("_spans").alias("_spans"), F.count("*").alias("_n")), "hits")
-    marked = lookup(docs.withColumn("_ck", digest), hits, "_ck", "_n")
-    clean = marked.where("_n is null").select(*docs.columns)
-    hidden = novelty.redact(marked.where("_n is not null").select(*docs.columns, "_spans"), spans="_spans")
+    marked = lookup(docs.select(whole(docs.columns), digest.alias("_ck")), hits, "_ck", "_n")
+    clean = marked.where("_n is null").select("_doc.*")
+    spans = fresh(docs.columns, "_spans")
+    hidden = novelty.redact(marked.where("_n is not null").select("_doc.*", F.col("_spans").alias(spans)), spans=spans)
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(hidden.select(*docs.columns))
