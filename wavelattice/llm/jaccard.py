@@ -21,7 +21,7 @@ STEP = 20  # MinHash values compared at a time
 TOLERANCE = 1e-6
 BLOCK = 512  # signatures of a bucket that a task compares with as many others
 TEXT_BLOCK, TEXT_BYTES = 256, 4 << 20  # texts of a group, and their bytes, that a task compares with as many others
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 PAIRS = 1 << 16  # pairs compared at a time
 
 _P = np.uint64(0x9E3779B185EBCA87)
@@ -210,7 +210,7 @@ def linked_labels(signature: np.ndarray, label: np.ndarray, split: int | None) -
         other = every[label != label[leader]]
         label = joined(label, *pruned(signature, np.full(other.size, leader), other))
     last = n if split is None else split
-    step = max(1, (1 << 22) // n)
+    step = max(1, (1 << 20) // n)
     for at in range(0, last, step):
         rows, columns = every[at : min(at + step, last)], every if split is None else every[split:]
         open_ = label[rows][:, None] != label[columns]

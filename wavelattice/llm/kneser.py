@@ -29,9 +29,9 @@ SYMBOL_BITS = 9
 #: One trusted document in so many is held out of the fit, for the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.985
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: Rows of a file that make a chunk, and n-grams of a chunk that a worker reads at a time.
-CHUNK_ROWS, PIECE_ROWS = 8_192, 2_000_000
+CHUNK_ROWS, PIECE_ROWS = 8_192, 1_000_000
 
 
 def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -9,9 +9,9 @@ import numpy as np
 from . import pretokens
 
 #: Entries, and code points of them, that a process keeps before the cache starts anew (results do not depend on it).
-MAX_ENTRIES, MAX_POINTS = 1_500_000, 12_000_000
+MAX_ENTRIES, MAX_POINTS = 400_000, 4_000_000
 #: Code points a batch is cut to (a longer single text is a batch of its own).
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
