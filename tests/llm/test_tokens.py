@@ -133,14 +133,14 @@ def test_bpe_query(spark, data, reference, name):
 
 def test_bpe_on_odd_rows(spark, reference):
     docs = documents(spark)
-    made = bpe.decode(bpe.encode(docs, RANKS, offsets="ends"), RANKS)
+    made = bpe.decode(bpe.encode(docs, RANKS, offsets="ends", decoded="again"), RANKS)
     assert set(docs.columns) < set(made.columns)
     rows = made.collect()
     assert len(rows) == docs.count()
     for r in rows:
         text = r["text"] or ""
         assert r["ids"] == reference.encode_ordinary(text)
-        assert bytes(r["decoded"]) == text.encode()
+        assert bytes(r["decoded"]) == bytes(r["again"]) == text.encode()
         assert (r["ends"][-1:] or [0]) == [len(text.encode())]
     assert bpe.encode(documents(spark, empty=True), RANKS).count() == 0
 

@@ -129,16 +129,18 @@ def ship(df: DataFrame, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encode(df: DataFrame, ranks_path: str, *, text: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """``df`` with an ``array<int>`` column of ids for its whole texts, and on request each token's end in bytes.
+def encode(df: DataFrame, ranks_path: str, *, text: str = "text", ids: str = "ids", offsets: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` with an ``array<int>`` column of ids for its whole texts, and on request each token's end in bytes and the
+    bytes that the ids decode to, made in the same task.
 
     A null text counts as empty and gives an empty array. Rows, their order in a partition and all other columns stay;
     an existing column of the output's name is replaced. Texts of any length are held whole; no special tokens.
     """
     name = ship(df, ranks_path)
-    kept = [c for c in df.columns if c not in (ids, offsets)]
+    kept = [c for c in df.columns if c not in (ids, offsets, decoded)]
     out = df.select(*kept).limit(0)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{ids}` array<int>", *([f"`{offsets}` array<int>"] if offsets else [])])
+    more = [*([f"`{offsets}` array<int>"] if offsets else []), *([f"`{decoded}` binary"] if decoded else [])]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{ids}` array<int>", *more])
 
     def run(batches):
         vocabulary = _vocabulary(name)
@@ -150,6 +152,8 @@ def encode(df: DataFrame, ranks_path: str, *, text: str = "text", ids: str = "id
                 ends = np.cumsum(vocabulary.lengths[flat])
                 base = np.concatenate([[0], ends])[bounds]
                 made[offsets] = pa.ListArray.from_arrays(pa.array(bounds), pa.array((ends - np.repeat(base[:-1], counts)).astype(np.int32)))
+            if decoded:
+                made[decoded] = _bytes(vocabulary, flat, bounds)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.values()], names=[*kept, *made])
 
     return df.select(*{*kept, text}).mapInArrow(run, schema)
@@ -181,12 +185,17 @@ def decode(df: DataFrame, ranks_path: str, *, ids: str = "ids", offsets: str | N
                     own = _lists(part.column(kept.index(offsets))).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                     if own.size != flat.size or not np.array_equal(own + np.repeat(bounds[:-1], np.diff(n)), ends):
                         raise ValueError("the offsets do not fit the tokens")
-                data, _ = gather(vocabulary.blob, vocabulary.offsets, vocabulary.lengths, flat)
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), binary.cast(pa.binary())], names=[*kept, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), _bytes(vocabulary, flat, n)], names=[*kept, out])
 
     return df.select(*kept).mapInArrow(run, schema)
 
 
+def _bytes(vocabulary: Vocabulary, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of each row's ids; ``bounds``: where the rows' ids begin and end."""
+    data, ends = vocabulary.decode(flat)
+    at = np.concatenate([[0], ends])[bounds].astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), bounds.size - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def _lists(column: pa.ListArray) -> pa.ListArray:
     return column.fill_null([]) if column.null_count else column
