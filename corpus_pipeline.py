@@ -72,8 +72,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it exactly."""
     light_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, offsets="ends")
-    decoded = bpe.decode(encoded, ranks, offsets="ends")
+    decoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, decoded="decoded")
     exact = F.col("decoded") == text_or_empty("text").cast("binary")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
