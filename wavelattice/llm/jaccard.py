@@ -20,7 +20,7 @@ FIRST_BANDS = 6  # bands of the first round; later ones only compare what is not
 STEP = 20  # MinHash values compared at a time
 TOLERANCE = 1e-6
 BLOCK = 512  # signatures of a bucket that a task compares with as many others
-TEXT_BLOCK, TEXT_BYTES = 256, 4 << 20  # texts of a group, and their bytes, that a task compares with as many others
+TEXT_BLOCK, TEXT_BYTES = 256, 1 << 19  # texts of a group, and their bytes, that a task compares with as many others
 BATCH_CHARS = 500_000
 PAIRS = 1 << 16  # pairs compared at a time
 
