@@ -67,6 +67,7 @@ def test_nearest_and_distance_correlation_over_many_blocks(spark, vectors):
         m = np.linalg.norm(m[:, None] - m[None], axis=2)
         return m - m.mean(0) - m.mean(1)[:, None] + m.mean()
 
+    x = (x - x.mean(0)) / x.std(0)
     a, b = centre(x[:, :3]), centre(x[:, 3:])
     want = np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean()))
     split = df.select("id", F.slice("v", 1, 3).alias("x"), F.slice("v", 4, 5).alias("y"))
@@ -131,6 +132,7 @@ def test_whole_permutation_tests_cover_all_rows(spark, data, blocked):
     rows = stats.halves(spark, data).orderBy("id").collect()
     ids, labels = [r["id"] for r in rows], np.array([r["label"] for r in rows])
     x, y = (np.array([r[c] for r in rows]) for c in "xy")
+    x, y = ((m - m.mean(0)) / m.std(0) for m in (x, y))
     assert len(rows) > 100
 
     def centre(m):

@@ -85,27 +85,6 @@ def test_moments_keep_their_digits_at_large_means(spark):
     assert np.allclose([r["pred_y"] - 1e8 for r in found], want, atol=1e-4)
 
 
-def test_pipeline_replay_matches_a_plain_rerun(spark):
-    t, df = fold_table(spark, 40)
-    found = {r["rep"]: r["dcor"] for r in dependence.pipeline_replay(df, "id", "fold", ["age", "sex"], ["y", "w"], 2, 7).collect()}
-    fold, x, y = t[:, 0], t[:, 1:3], t[:, 4:]
-    fitted = least_squares(x, y, x)
-    order = {r: [q["id"] for q in df.orderBy(S.hash_order(F.col("id"), F.lit(r), 7), "id").collect()] for r in (1, 2)}
-
-    def centre(m):
-        m = np.linalg.norm(m[:, None] - m[None], axis=2)
-        return m - m.mean(0) - m.mean(1)[:, None] + m.mean()
-
-    for rep in (0, 1, 2):
-        z = y if rep == 0 else fitted + (y - fitted)[order[rep]]
-        pred = np.empty_like(z)
-        for k in range(5):
-            train = fold != k
-            pred[~train] = least_squares(x[train], z[train], x[~train])
-        a, b = centre(x), centre(z - pred)
-        assert found[rep] == pytest.approx(np.sqrt(max((a * b).mean(), 0) / np.sqrt((a * a).mean() * (b * b).mean())), abs=1e-9)
-
-
 def test_equal_rows_are_at_no_distance(spark):
     rng = np.random.default_rng(8)
     a = np.repeat(rng.normal(size=(30, 6)) * 100 + 5000, 10, axis=0)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import hash_order
-from .regression import FoldMoments, linear
 
 #: Rows of a block; a tile holds the distances between two blocks.
 BLOCK = 1024
@@ -126,8 +125,23 @@ def pairwise_rms(df: DataFrame, vector: str) -> DataFrame:
     return out.select("n", F.sqrt("r2").alias("radius_rms"), F.sqrt(F.lit(2.0) * F.col("n") / (F.col("n") - 1) * F.col("r2")).alias("pair_rms"))
 
 
+def standardised(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """``df`` with array columns less their mean and by their population deviation, position by position, within ``keys``;
+    a position whose deviation is at most 1e-12 is centred only."""
+    keys = keys or []
+    out = df
+    for c in columns:
+        cells = df.select(*keys, F.posexplode(c).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+        cell = F.struct("_pos", "_m", F.when(F.col("_s") <= 1e-12, 1.0).otherwise(F.col("_s")).alias("_s"))
+        moments = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_moments"))
+        z = F.zip_with(c, "_moments", lambda x, m: (x - m["_m"]) / m["_s"])
+        out = (out.join(moments, keys) if keys else out.crossJoin(F.broadcast(moments))).withColumn(c, z).drop("_moments")
+    return out
+
+
 def distance_correlation(df: DataFrame, ident: str, x: str, y: str, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """``keys, n, dcor``: biased distance correlation of two vector columns (0 where a distance variance is not positive).
+    """``keys, n, dcor``: biased distance correlation of two standardised vector columns (0 where a distance variance is
+    not positive).
 
     Tiles give sums of products of distances and each row's sums; row sums are added up by row, the rest by key.
     """
@@ -149,7 +163,7 @@ def distance_correlation(df: DataFrame, ident: str, x: str, y: str, keys: list[s
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{ident}` long, sa double, sb double, ab double, aa double, bb double"])
-    rows = _tiles(df.select(*keys, ident, x, y), keys, [ident, x, y], fn, schema, block)
+    rows = _tiles(standardised(df.select(*keys, ident, x, y), [x, y], keys), keys, [ident, x, y], fn, schema, block)
     each = rows.groupBy(*keys, ident).agg(*(F.sum(c).alias(c) for c in ("sa", "sb", "ab", "aa", "bb")))
     sums = each.groupBy(*keys) if keys else each.groupBy()
     out = sums.agg(
@@ -183,12 +197,14 @@ def permuted(df: DataFrame, ident: str, columns: list[str], replicates: int, see
     return to.join(what, ["rep", *within, "_k"]).drop("_k")
 
 
-def permutation_p(stats: DataFrame, value: str) -> DataFrame:
-    """``observed, n_reps, p``: of a table with ``rep``, where 0 is the observed one; counts those not below it."""
-    one = stats.agg(F.max(F.when(F.col("rep") == 0, F.col(value))).alias("observed"))
-    joined = stats.where("rep > 0").crossJoin(F.broadcast(one))
-    out = joined.groupBy("observed").agg(F.count("*").alias("n_reps"), F.count_if(F.col(value) >= F.col("observed") - 1e-12).alias("_n"))
-    return out.select("observed", "n_reps", ((F.col("_n") + 1) / (F.col("n_reps") + 1)).alias("p"))
+def permutation_p(stats: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """``by, observed, n_reps, p``: of a table with ``rep``, where 0 is the observed one; counts those not below it."""
+    by = by or []
+    one = stats.where("rep = 0").select(*by, F.col(value).alias("observed"))
+    drawn = stats.where("rep > 0")
+    joined = drawn.join(one, by) if by else drawn.crossJoin(F.broadcast(one))
+    out = joined.groupBy(*by, "observed").agg(F.count("*").alias("n_reps"), F.count_if(F.col(value) >= F.col("observed") - 1e-12).alias("_n"))
+    return out.select(*by, "observed", "n_reps", ((F.col("_n") + 1) / (F.col("n_reps") + 1)).alias("p"))
 
 
 def holm(df: DataFrame, p: str, out: str = "holm_p") -> DataFrame:
@@ -227,59 +243,6 @@ def interval(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975)
     return df.agg(F.count(value).alias("n"), q.alias("_q")).select("n", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("high"))
 
 
-def freedman_lane(df: DataFrame, ident: str, reduced: list[str], added: str, targets: list[str], replicates: int, seed: int) -> DataFrame:
-    """``rep, statistic``: the drop of the error sum of squares by ``added``, with residuals of the reduced model permuted.
-
-    The drop equals the squared projection of the permuted residuals on what the reduced model leaves of ``added``,
-    so that every replicate is a few sums.
-    """
-    m = FoldMoments(df.withColumn("_f", F.lit(0)), "_f", [*reduced, added, *targets])
-    b = m.fit(m.whole, reduced, [added, *targets])
-
-    def left(column: str, k: int) -> Column:
-        return F.col(column) - linear(b, k, [F.col(r) for r in reduced])
-
-    rows = df.dropna(subset=[*reduced, added, *targets])
-    rows = rows.select(ident, left(added, 0).alias("_x"), *(left(t, k + 1).alias(f"_e{k}") for k, t in enumerate(targets)))
-    moved = permuted(rows, ident, [f"_e{k}" for k in range(len(targets))], replicates, seed).join(rows.select(ident, "_x"), ident)
-    sums = moved.groupBy("rep").agg(*(F.sum(F.col("_x") * F.col(f"_e{k}")).alias(f"s{k}") for k in range(len(targets))), F.sum(F.col("_x") * F.col("_x")).alias("xx"))
-    return sums.select("rep", (sum((F.col(f"s{k}") * F.col(f"s{k}") for k in range(len(targets))), F.lit(0.0)) / F.col("xx")).alias("statistic"))
-
-
-def pipeline_replay(df: DataFrame, ident: str, fold: str, predictors: list[str], targets: list[str], replicates: int, seed: int) -> DataFrame:
-    """``rep, n, dcor``: dependence of out-of-fold residuals on the predictors, the whole fit run anew for each replicate.
-
-    A replicate's targets are the values fitted to all rows plus permuted residual vectors; replicate 0 is the data as
-    it is. Every row stands once for each replicate, and sums of products by replicate and fold give all fits.
-    """
-    rows = df.dropna(subset=[*predictors, *targets]).select(ident, fold, *predictors, *targets)
-    m = FoldMoments(rows.withColumn("_f", F.lit(0)), "_f", [*predictors, *targets])
-    b = m.fit(m.whole, predictors, targets)
-    values = [F.col(p) for p in predictors]
-    fitted = rows.select(ident, fold, *predictors, *(linear(b, t, values).alias(f"_fit{t}") for t in range(len(targets))), *((F.col(y) - linear(b, t, values)).alias(f"_e{t}") for t, y in enumerate(targets)))
-    moved = permuted(fitted, ident, [f"_e{t}" for t in range(len(targets))], replicates, seed)
-    made = moved.join(fitted.drop(*(f"_e{t}" for t in range(len(targets)))), ident)
-    made = made.select("rep", ident, fold, *predictors, *((F.col(f"_fit{t}") + F.col(f"_e{t}")).alias(y) for t, y in enumerate(targets)))
-    made = made.withColumn("_cell", F.concat_ws(":", "rep", fold))
-    sums = FoldMoments(made, "_cell", [*predictors, *targets])
-    whole: dict[str, np.ndarray] = {}
-    for cell, part in sums.parts.items():
-        rep = cell.split(":")[0]
-        whole[rep] = whole.get(rep, 0) + part
-    fits = [(cell, [float(x) for x in sums.fit(whole[cell.split(":")[0]] - part, predictors, targets).T.ravel()]) for cell, part in sums.parts.items()]
-    table = df.sparkSession.createDataFrame(fits, "_cell string, _b array<double>")
-    k = len(predictors) + 1
-
-    def residual(t: int, y: str) -> Column:
-        value = F.get("_b", F.lit(t * k))
-        for i, p in enumerate(predictors):
-            value = value + F.get("_b", F.lit(t * k + 1 + i)) * F.col(p)
-        return F.col(y) - value
-
-    left = made.join(F.broadcast(table), "_cell").select("rep", ident, F.array(*(v.cast("double") for v in values)).alias("_x"), F.array(*(residual(t, y) for t, y in enumerate(targets))).alias("_y"))
-    return distance_correlation(left, ident, "_x", "_y", ["rep"])
-
-
 def null_summary(stats: DataFrame, value: str) -> DataFrame:
     """``observed, n_reps, p, null_median, null_q95, observed_minus_q95`` of a table with ``rep``, where 0 is observed."""
     p = permutation_p(stats, value)

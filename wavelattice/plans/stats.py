@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import dependence, regression
+from ..operators import dependence, nulls, regression
 from .core import rounded
 from .tables import SHAPES, shapes, table
 
@@ -102,22 +102,15 @@ def block_gains(spark, d):
     return regression.scaled_shifts(gains, scales)
 
 
-@query()
-def pipeline_replay_null(spark, d):
-    """Fitted values plus permuted residuals, the out-of-fold fit run anew for each of 19 replicates."""
-    stats = dependence.pipeline_replay(frame(spark, d), "c_custkey", "fold", ["age", "site"], ["y", "w"], 19, 17)
-    return dependence.null_summary(stats, "dcor")
-
-
-_PAIR = f"WITH {SHAPES}, s AS (SELECT vec_id AS id, v[1:8] AS x, v[9:16] AS y FROM e)"
+_PAIR = f"WITH {SHAPES}, s AS (SELECT vec_id AS id, v[1:32] AS x, v[33:64] AS y FROM e)"
 _DIST = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 
 def halves(spark, d):
-    return shapes(spark, d).select(F.col("vec_id").alias("id"), F.slice("v", 1, 8).alias("x"), F.slice("v", 9, 8).alias("y"), "label")
+    return shapes(spark, d).select(F.col("vec_id").alias("id"), F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y"), "label")
 
 
-@query(f"{_PAIR}, p AS (SELECT {_DIST.format('a.x', 'b.x')} AS dist FROM s a JOIN s b ON a.id < b.id), m AS (SELECT id, unnest(range(8)) AS pos, unnest(x) AS x FROM s), r AS (SELECT sum(v) AS r2, max(n) AS n FROM (SELECT pos, var_pop(x) AS v, count(*) AS n FROM m GROUP BY pos)) SELECT n, round(sqrt(r2), 6) AS radius_rms, round(sqrt(avg(dist * dist)), 6) AS pair_rms FROM p CROSS JOIN r GROUP BY n, r2")
+@query(f"{_PAIR}, p AS (SELECT {_DIST.format('a.x', 'b.x')} AS dist FROM s a JOIN s b ON a.id < b.id), m AS (SELECT id, unnest(range(32)) AS pos, unnest(x) AS x FROM s), r AS (SELECT sum(v) AS r2, max(n) AS n FROM (SELECT pos, var_pop(x) AS v, count(*) AS n FROM m GROUP BY pos)) SELECT n, round(sqrt(r2), 6) AS radius_rms, round(sqrt(avg(dist * dist)), 6) AS pair_rms FROM p CROSS JOIN r GROUP BY n, r2")
 def pairwise_scale(spark, d):
     return rounded(dependence.pairwise_rms(halves(spark, d), "x"))
 
@@ -140,6 +133,13 @@ def nn_crossing_fraction(spark, d):
     return rounded(nn.agg(F.count("*").alias("n"), F.avg((moved >= F.col("distance")).cast("int")).alias("fraction")))
 
 
+def _standard(table: str, out: str) -> str:
+    """``out``: the table with both vectors less their means and by their population deviations."""
+    moments = ", ".join(f"m{c} AS (SELECT list(m ORDER BY pos) AS m{c}, list(s ORDER BY pos) AS s{c} FROM (SELECT pos, avg(c) AS m, CASE WHEN stddev_pop(c) <= 1e-12 THEN 1.0 ELSE stddev_pop(c) END AS s FROM (SELECT unnest(range(len({c}))) AS pos, unnest({c}) AS c FROM {table}) GROUP BY pos))" for c in "xy")
+    scaled = ", ".join(f"list_transform(list_zip({c}, m{c}, s{c}), lambda z: (z[1] - z[2]) / z[3]) AS {c}" for c in "xy")
+    return f"{moments}, {out} AS (SELECT * REPLACE ({scaled}) FROM {table} CROSS JOIN mx CROSS JOIN my)"
+
+
 _DCOR = (
     "d AS (SELECT rep, a.id AS i, b.id AS j, {x} AS a, {y} AS b FROM s a JOIN s b USING (rep)), ra AS (SELECT rep, i, avg(a) AS ra, avg(b) AS rb FROM d GROUP BY rep, i), g AS (SELECT rep, avg(a) AS ga, avg(b) AS gb FROM d GROUP BY rep), "
     "c AS (SELECT d.rep, a - p.ra - q.ra + ga AS a, b - p.rb - q.rb + gb AS b FROM d JOIN ra p ON p.rep = d.rep AND p.i = d.i JOIN ra q ON q.rep = d.rep AND q.i = d.j JOIN g ON g.rep = d.rep), "
@@ -147,7 +147,7 @@ _DCOR = (
 ).format(x=_DIST.format("a.x", "b.x"), y=_DIST.format("a.y", "b.y"))
 
 
-@query(f"WITH {SHAPES}, s AS (SELECT 0 AS rep, vec_id AS id, v[1:8] AS x, v[9:16] AS y FROM e), {_DCOR} SELECT (SELECT count(*) FROM s) AS n, round(dcor, 6) AS dcor FROM dc")
+@query(f"WITH {SHAPES}, b AS (SELECT 0 AS rep, vec_id AS id, v[1:32] AS x, v[33:64] AS y FROM e), {_standard('b', 's')}, {_DCOR} SELECT (SELECT count(*) FROM s) AS n, round(dcor, 6) AS dcor FROM dc")
 def distance_correlation(spark, d):
     return rounded(dependence.distance_correlation(halves(spark, d), "id", "x", "y"))
 
@@ -155,7 +155,7 @@ def distance_correlation(spark, d):
 def _perm_sql(within: str) -> str:
     part = f"PARTITION BY rep{within}"
     return (
-        f"WITH {SHAPES}, b AS (SELECT vec_id AS id, v[1:8] AS x, v[9:16] AS y, label FROM e), r AS (SELECT unnest(range(0, 10)) AS rep), "
+        f"WITH {SHAPES}, a AS (SELECT vec_id AS id, v[1:32] AS x, v[33:64] AS y, label FROM e), {_standard('a', 'b')}, r AS (SELECT unnest(range(0, 10)) AS rep), "
         f"t AS (SELECT rep, id, label, x, row_number() OVER ({part} ORDER BY id) AS k FROM b CROSS JOIN r), w AS (SELECT rep, label, y, row_number() OVER ({part} ORDER BY CASE WHEN rep = 0 THEN '' ELSE sha256('7:' || rep || ':' || id) END, id) AS k FROM b CROSS JOIN r), "
         f"s AS (SELECT rep, t.id, t.x, w.y FROM t JOIN w USING (rep, k{within})), {_DCOR}, o AS (SELECT dcor FROM dc WHERE rep = 0) "
         "SELECT round(o.dcor, 6) AS observed, count(*) AS n_reps, round((1 + count(*) FILTER (dc.dcor >= o.dcor - 1e-12)) / (count(*) + 1), 6) AS p FROM dc CROSS JOIN o WHERE rep > 0 GROUP BY o.dcor"
@@ -169,7 +169,7 @@ def _permutation(h, within):
 
 @query(_perm_sql(""))
 def dcor_perm_hash(spark, d):
-    """A permutation test over all blocks, with nine replicates; more are a parameter."""
+    """A permutation test over all blocks in orders by hash, as SQL can deal them too; ``dcor_permutation`` is the full size."""
     return _permutation(halves(spark, d), None)
 
 
@@ -206,7 +206,69 @@ def bootstrap_median_ci(spark, d):
     return dependence.interval(dependence.bootstrap_medians(frame(spark, d), "c_custkey", "y", 2000, 11), "median")
 
 
+def _keyed_sql(rows: str, seed: int) -> str:
+    """``walked(rep, g, k, n, w, x)``: a keyed permutation's steps from the numbers of ``rows(rep, g, k, n)``, ``g`` being the
+    group's number; the last step is below n."""
+    inner = "SELECT rep, g, k, n, w, x >> w AS l, x & ((1 << w) - 1) AS r FROM {source}"
+    for i in range(nulls.ROUNDS):
+        key = f"((({seed} + 7919 * g) * 1000003 + rep) % 1073741824 * 69069 + {i * 40503}) % 1073741824"
+        inner = f"SELECT rep, g, k, n, w, l, r, ((r + {key}) * {nulls._A}) & {nulls._MASK} AS t FROM ({inner})"
+        inner = f"SELECT rep, g, k, n, w, l, r, (xor(t, t >> 15) * {nulls._B}) & {nulls._MASK} AS t FROM ({inner})"
+        inner = f"SELECT rep, g, k, n, w, r AS l, xor(l, xor(t, t >> 13) & ((1 << w) - 1)) AS r FROM ({inner})"
+    step = f"SELECT rep, g, k, n, w, (l << w) | r AS x FROM ({inner})"
+    wide = "list_min(list_filter(range(1, 31), lambda w: (1::BIGINT << (2 * w)) >= n))"
+    return f"walked(rep, g, k, n, w, x) AS ({step.format(source=f'(SELECT rep, g, k, n, {wide} AS w, k AS x FROM {rows})')} UNION ALL {step.format(source='walked WHERE x >= n')})"
+
+
+@query(f"WITH RECURSIVE a AS (SELECT unnest(range(1, 4))::BIGINT AS rep, 0::BIGINT AS g, k, n FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings)), {_keyed_sql('a', 5)} SELECT rep::INT AS rep, k, x AS at FROM walked WHERE x < n")
+def keyed_permutations(spark, d):
+    """Three keyed permutations of all blocks."""
+    return nulls.keyed_permutations(shapes(spark, d), ["vec_id"], 3, 5)
+
+
+def _full_sql(group: str) -> str:
+    """Distances once, then re-indexed by 999 keyed permutations (of rows in the order of ``group`` and id)."""
+    near = _DIST.format("a.{0}", "b.{0}")
+    return (
+        f"WITH RECURSIVE {SHAPES}, u AS (SELECT vec_id AS id, v[1:32] AS x, v[33:64] AS y, label FROM e), {_standard('u', 's')}, "
+        f"o AS MATERIALIZED (SELECT x, y, (row_number() OVER (ORDER BY {group} id) - 1)::INT AS i, (row_number() OVER (PARTITION BY {group} 0 ORDER BY id) - 1)::BIGINT AS k, count(*) OVER (PARTITION BY {group} 0) AS n, (dense_rank() OVER (ORDER BY {group} 0) - 1)::BIGINT AS g FROM s), "
+        f"d AS MATERIALIZED (SELECT a.i, b.i AS j, {near.format('x')} AS a, {near.format('y')} AS b FROM o a CROSS JOIN o b), "
+        "ra AS (SELECT i, avg(a) AS ra, avg(b) AS rb FROM d GROUP BY i), g AS (SELECT avg(a) AS ga, avg(b) AS gb FROM d), "
+        "c AS MATERIALIZED (SELECT d.i, d.j, a - p.ra - q.ra + ga AS a, b - p.rb - q.rb + gb AS b FROM d JOIN ra p ON p.i = d.i JOIN ra q ON q.i = d.j CROSS JOIN g), "
+        f"t AS (SELECT r.rep::BIGINT AS rep, g, k, n FROM (SELECT g, k, n FROM o) CROSS JOIN (SELECT unnest(range(1, 1000)) AS rep) r), {_keyed_sql('t', 7)}, "
+        "m AS MATERIALIZED (SELECT w.rep::INT AS rep, o.i, (o.i - o.k + w.x)::INT AS x FROM walked w JOIN o ON o.k = w.k AND o.g = w.g WHERE w.x < w.n), "
+        "dc AS (SELECT p.rep, sum(c.a * z.b) AS s FROM c JOIN m p ON p.i = c.i JOIN m q ON q.rep = p.rep AND q.i = c.j JOIN c z ON z.i = p.x AND z.j = q.x GROUP BY p.rep), "
+        "h AS (SELECT count(*) AS nn, sqrt(avg(a * a) * avg(b * b)) AS v, avg(a * b) AS ab FROM c), "
+        "f AS (SELECT sqrt(greatest(s / nn, 0) / v) AS dcor, sqrt(greatest(ab, 0) / v) AS observed FROM dc CROSS JOIN h) "
+        "SELECT round(observed, 6) AS observed, count(*) AS n_reps, round((1 + count(*) FILTER (dcor >= observed - 1e-12)) / (count(*) + 1), 6) AS p, round(median(dcor), 6) AS null_median, round(quantile_cont(dcor, 0.95), 6) AS null_q95, round(observed - quantile_cont(dcor, 0.95), 6) AS observed_minus_q95 FROM f GROUP BY observed"
+    )
+
+
+@query(_full_sql(""))
+def dcor_permutation(spark, d):
+    """The permutation test of distance correlation over all blocks, 999 replicates."""
+    return rounded(dependence.null_summary(nulls.correlation_null(halves(spark, d), "id", "x", "y", 999, 7), "dcor"))
+
+
+@query(_full_sql("label,"))
+def fold_blocked_permutation(spark, d):
+    """The same with values kept within their group."""
+    return rounded(dependence.null_summary(nulls.correlation_null(halves(spark, d), "id", "x", "y", 999, 7, "label"), "dcor"))
+
+
+@query()
+def pipeline_replay_null(spark, d):
+    """Fitted values plus permuted residuals, the out-of-fold fit run anew for each of 999 replicates."""
+    stats = nulls.pipeline_replay(frame(spark, d), "c_custkey", "fold", ["age", "site", "sex"], ["y", "w"], 999, 17, ["age", "site"])
+    return dependence.null_summary(stats, "dcor")
+
+
+EIGHT = (2, 3, 5, 7, 11, 13, 17, 19)
+
+
 @query()
 def freedman_lane(spark, d):
-    stats = dependence.freedman_lane(frame(spark, d), "c_custkey", ["age"], "sex", ["y", "w"], 2000, 13)
-    return dependence.permutation_p(stats, "statistic")
+    """Eight conditions, each over the baseline and the other seven: 2,000 replicates and the false discovery rate."""
+    f = frame(spark, d).withColumns({f"p{k}": (F.col("c_custkey") % k == 0).cast("double") for k in EIGHT})
+    stats = nulls.freedman_lane(f, "c_custkey", ["age", "site", "sex"], [f"p{k}" for k in EIGHT], ["y", "w"], 2000, 13)
+    return dependence.benjamini_hochberg(dependence.permutation_p(stats, "statistic", ["term"]), "p").select("term", "observed", "n_reps", "p", "q")
