@@ -96,14 +96,6 @@ def test_equal_rows_are_at_no_distance(spark):
     assert all(found[i] == (i // 10 * 10 + (i % 10 == 0), 0.0) for i in range(300))
 
 
-def test_median_of_all_pairs(spark):
-    x = np.random.default_rng(9).normal(size=(120, 5))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
-    r = dependence.pairwise_median(df, "id", "v", block=50).first()
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(120, 1)]
-    assert r["n_pairs"] == d.size and r["median"] == pytest.approx(np.median(d), rel=2e-3)
-
-
 def test_operators_of_all_splits_come_from_one_pass(spark):
     rng = np.random.default_rng(11)
     o, e = rng.normal(size=(2, 50, 4)) + 7

@@ -249,27 +249,3 @@ def null_summary(stats: DataFrame, value: str) -> DataFrame:
     q = F.percentile(F.when(F.col("rep") > 0, F.col(value)), F.array(F.lit(0.5), F.lit(0.95)))
     both = p.crossJoin(F.broadcast(stats.agg(q.alias("_q"))))
     return both.select("observed", "n_reps", "p", F.col("_q")[0].alias("null_median"), F.col("_q")[1].alias("null_q95"), (F.col("observed") - F.col("_q")[1]).alias("observed_minus_q95"))
-
-
-def pairwise_median(df: DataFrame, ident: str, vector: str, block: int = BLOCK, bins: int = 4096) -> DataFrame:
-    """``n, n_pairs, median``: the median distance of all pairs, to a ``bins``-th part of the largest.
-
-    Tiles return a histogram, never a pair; its reach is twice the largest distance to the mean.
-    """
-    long = df.select(ident, F.posexplode(vector).alias("p", "x"))
-    centre = long.groupBy("p").agg(F.avg("x").alias("m"))
-    reach = long.join(F.broadcast(centre), "p").groupBy(ident).agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("r")).agg(F.max("r")).first()[0]
-    width = max(2 * float(np.sqrt(reach or 0.0)), 1e-300) / bins
-
-    def fn(_, own, other, within):
-        d = distances(own[1], other[1])
-        d = d[np.triu_indices(len(d), 1)] if within else d.ravel()
-        counts = np.bincount(np.minimum((d / width).astype(np.int64), bins - 1), minlength=bins)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bin", "n"])
-
-    counts = _tiles(df.select(ident, vector), [], [ident, vector], fn, "bin long, n long", block).groupBy("bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy()
-    ranked = counts.withColumn("_all", F.sum("n").over(w)).withColumn("_upto", F.sum("n").over(Window.orderBy("bin")))
-    found = ranked.where(F.col("_upto") * 2 >= F.col("_all")).agg(F.min("bin").alias("bin"), F.max("_all").alias("n_pairs"))
-    return found.select("n_pairs", ((F.col("bin") + 0.5) * F.lit(width)).alias("median"))

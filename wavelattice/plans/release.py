@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import blocks, characterize, covariance, dependence, guards, integrity, signal, spectral
+from ..operators import blocks, characterize, covariance, dependence, guards, integrity, selection, signal, spectral
 from .core import replicate_shapes, rounded
 from .geometry import BASIS, cv_reconstruction_curve, fourier_cv_curve, metrics
 from .stats import halves
@@ -196,13 +196,31 @@ def crossing_fractions(spark, d):
     return rounded(characterize.crossing_fractions(steps, "patient", "step", nearest, "distance"))
 
 
-@query()
+@query(f"WITH {SHAPES}, p AS (SELECT {_STEP.format('a.v[1:32]', 'b.v[1:32]')} AS dist FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT count(*) AS n_pairs, round(median(dist), 9) AS median, round(sqrt(avg(dist * dist)), 6) AS pair_rms, true AS identity_holds FROM p")
 def pairwise_median(spark, d):
     """Median distance of all pairs, beside the root mean square and its identity with the radius."""
     h = halves(spark, d)
     rms = dependence.pairwise_rms(h, "x")
     identity = F.abs(F.col("pair_rms") * F.col("pair_rms") - 2 * F.col("n") / (F.col("n") - 1) * F.col("radius_rms") * F.col("radius_rms")) <= 1e-9
-    return dependence.pairwise_median(h, "id", "x").crossJoin(F.broadcast(rms.withColumn("identity_holds", identity)))
+    both = selection.pairwise_median(h, "id", "x").crossJoin(F.broadcast(rms.withColumn("identity_holds", identity)))
+    return both.select("n_pairs", F.round("median", 9).alias("median"), F.round("pair_rms", 6).alias("pair_rms"), "identity_holds")
+
+
+_PROBS = [0.05, 0.25, 0.35, 0.5, 0.95]
+
+
+@query(f"SELECT l_returnflag, l_linestatus, count(*) AS n, list_transform(quantile_cont(l_extendedprice, {_PROBS}), lambda x: round(x, 6)) AS quantiles FROM lineitem GROUP BY ALL")
+def hot_group_quantiles(spark, d):
+    """Exact quantiles of a few groups that hold all lines, without gathering a group."""
+    found = selection.exact_quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", _PROBS)
+    return found.withColumn("quantiles", F.transform("quantiles", lambda x: F.round(x, 6)))
+
+
+@query(f"SELECT count(*) AS n, list_transform(quantile_cont(value, {_PROBS}), lambda x: round(x, 6)) AS quantiles FROM events")
+def whole_table_quantiles(spark, d):
+    """Exact quantiles of one column of a whole table."""
+    found = selection.exact_quantiles(table(spark, d, "events"), [], "value", _PROBS, 1000)
+    return found.withColumn("quantiles", F.transform("quantiles", lambda x: F.round(x, 6)))
 
 
 @query()
