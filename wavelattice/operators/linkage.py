@@ -6,41 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds_between
-
-
-def containment(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, t: str = "t", start: str = "start", stop: str = "stop", ident: str = "interval_id") -> DataFrame:
-    """``probe_id, n_exact, exact_id``: intervals of the key that hold the moment (both ends closed); the id if just one."""
-    held = (F.col(t) >= F.col(start)) & (F.col(t) <= F.col(stop))
-    stays = intervals.select(F.col(key).alias("_key"), start, stop, ident)
-    joined = probes.join(stays, (F.col(key) == F.col("_key")) & held, "left")
-    out = joined.groupBy(probe_id).agg(F.count(ident).alias("n_exact"), F.max(ident).alias("_id"))
-    return out.select(probe_id, "n_exact", F.when(F.col("n_exact") == 1, F.col("_id")).alias("exact_id"))
+from .sweeps import containment as containment
+from .sweeps import nearest as nearest
+from .sweeps import prior_history as prior_history
 
 
 def gap_hours(t: Column, start: Column, stop: Column) -> Column:
     return F.when(t < start, seconds_between(t, start) / 3600).when(t > stop, seconds_between(stop, t) / 3600).otherwise(F.lit(0.0))
 
 
-def nearest(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, t: str = "t", start: str = "start", stop: str = "stop", ident: str = "interval_id") -> DataFrame:
-    """``probe_id, gap_h, direction, ties, nearest_id``: the nearest interval (0 hours inside; of ties the least id)."""
-    joined = probes.join(intervals.select(key, start, stop, ident), key, "left")
-    gaps = joined.withColumn("gap_h", F.when(F.col(ident).isNotNull(), gap_hours(F.col(t), F.col(start), F.col(stop))))
-    direction = F.when(F.col("gap_h").isNull(), "missing").when(F.col(t) < F.col(start), "before_start").when(F.col(t) > F.col(stop), "after_end").otherwise("inside")
-    # Gaps are counted where they lie, then the least of each probe is taken: no probe's rows are sorted.
-    first = F.min(F.struct(F.col("gap_h"), F.col(ident).alias("id"), direction.alias("direction"))).alias("best")
-    each = gaps.groupBy(probe_id, F.round("gap_h", 12).alias("_gap")).agg(first, F.count(ident).alias("ties"))
-    least = each.groupBy(probe_id).agg(F.min(F.struct(F.col("_gap"), F.col("best"), F.col("ties"))).alias("m"))
-    return least.select(probe_id, F.col("m.best.gap_h").alias("gap_h"), F.col("m.best.direction").alias("direction"), F.col("m.ties").alias("ties"), F.col("m.best.id").alias("nearest_id"))
-
-
-def prior_history(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, t: str = "t", stop: str = "stop", flag: str | None = None) -> DataFrame:
-    """``probe_id, n_prior`` (intervals that ended strictly before) and, for a flag, whether any of them has it."""
-    ended = intervals.select(F.col(key).alias("_key"), stop, *([flag] if flag else []))
-    joined = probes.join(ended, (F.col(key) == F.col("_key")) & (F.col(stop) < F.col(t)), "left")
-    aggs = [F.count(stop).alias("n_prior"), *([F.max(flag).alias("prior_flag")] if flag else [])]
-    return joined.groupBy(probe_id).agg(*aggs)
-
-
 def preferred_link(first: DataFrame, second: DataFrame, probe_id: str) -> DataFrame:
     """The exact link of the first kind where there is one, else of the second, and which it was."""
     both = first.select(probe_id, F.col("exact_id").alias("_a")).join(second.select(probe_id, F.col("exact_id").alias("_b")), probe_id)

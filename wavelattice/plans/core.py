@@ -173,6 +173,27 @@ def linkage_crosstab(spark, d):
     return linkage.crosstab(a.join(b, "subject"), F.col("n") == 1, F.col("f") == 1)
 
 
+_HOT = (
+    "pr AS (SELECT l_orderkey AS probe, o_custkey % 3 AS subject, l_shipdate AS t FROM (SELECT l_orderkey, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY l_orderkey) JOIN orders ON o_orderkey = l_orderkey), "
+    "iv AS (SELECT o_custkey % 3 AS subject, o_orderkey AS interval_id, o_orderdate AS start, o_orderdate + INTERVAL 9 HOURS AS stop, (o_orderstatus = 'F')::INT AS flag FROM orders), "
+    "j AS (SELECT probe, interval_id, flag, t, start, stop, CASE WHEN t < start THEN epoch(start - t) / 3600.0 WHEN t > stop THEN epoch(t - stop) / 3600.0 ELSE 0.0 END AS gap FROM pr JOIN iv USING (subject)), "
+    "m AS (SELECT probe, count(*) FILTER (gap = 0) AS n_exact, CASE WHEN count(*) FILTER (gap = 0) = 1 THEN max(interval_id) FILTER (gap = 0) END AS exact_id, count(*) FILTER (stop < t) AS n_prior, max(flag) FILTER (stop < t) AS prior_flag, min(gap) AS gap_h, arg_min(interval_id, (gap, interval_id)) AS nearest_id FROM j GROUP BY probe), "
+    "k AS (SELECT j.probe, count(*) AS ties FROM j JOIN m ON m.probe = j.probe AND j.gap = m.gap_h GROUP BY j.probe)"
+)
+
+
+@query(f"WITH {_HOT} SELECT m.probe, n_exact, exact_id, n_prior, prior_flag, round(gap_h, 6) AS gap_h, ties, nearest_id FROM m JOIN k USING (probe)")
+def hot_subject_links(spark, d):
+    """Three subjects hold all intervals and all moments, so that every subject is spread over many tasks."""
+    o = table(spark, d, "orders")
+    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("t"))
+    p = first.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("probe"), (F.col("o_custkey") % 3).alias("subject"), "t")
+    i = o.select((F.col("o_custkey") % 3).alias("subject"), F.col("o_orderkey").alias("interval_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 9 HOURS")).alias("stop"), (F.col("o_orderstatus") == "F").cast("int").alias("flag"))
+    near = linkage.nearest(p, i, "subject", probe_id="probe").select("probe", "gap_h", "ties", "nearest_id")
+    exact = linkage.containment(p, i, "subject", probe_id="probe")
+    return rounded(exact.join(linkage.prior_history(p, i, "subject", probe_id="probe", flag="flag"), "probe").join(near, "probe"))
+
+
 # ---------------------------------------------------------------- identifiers, ages, records
 
 
