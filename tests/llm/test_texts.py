@@ -503,6 +503,21 @@ def test_large_group_over_several_blocks(spark, monkeypatch, small):
     check_classes(rows, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_long_texts_are_dealt_once(spark, monkeypatch):
+    """Two near copies far beyond a block's bytes are two blocks, not as many as their bytes would make."""
+    monkeypatch.setattr(jaccard, "TEXT_BYTES", 2_000)
+    dealt = []
+    within, between = jaccard._within_blocks, jaccard._between_blocks
+    monkeypatch.setattr(jaccard, "_within_blocks", lambda rows, folder: dealt.append(rows.select("vid", "blocks").collect()) or within(rows, folder))
+    monkeypatch.setattr(jaccard, "_between_blocks", lambda index: dealt.append(index.collect()) or between(index))
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[::-1]))]
+    check_classes(rows, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts, index = dealt
+    assert len(texts) == 2 and {r.blocks for r in texts} == {2}
+    assert len(index) == len({r.own for r in index}) <= 2
+
+
 def test_words_that_share_a_hash_are_no_copies(spark):
     a, b = hash_twins()
     rest = " ".join(f"w{i}" for i in range(12))

@@ -32,6 +32,29 @@ def read_range(uri: str, start: int = 0, length: int | None = None) -> bytes:
         return f.read() if length is None else f.read(length)
 
 
+class Writer:
+    """A file that is written under a name of its own and moved when it is whole: readers never see part of it, and a
+    retried task may repeat it. Nothing is made before the first bytes."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = open_fs(uri)
+        self.part, self.size, self.out = f"{self.path}.{uuid.uuid4().hex}.tmp", 0, None
+
+    def write(self, chunk: bytes) -> int:
+        """Where the bytes begin in the file."""
+        if self.out is None:
+            self.store.create_dir(os.path.dirname(self.path), recursive=True)
+            self.out = self.store.open_output_stream(self.part)
+        self.out.write(chunk)
+        self.size += len(chunk)
+        return self.size - len(chunk)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.store.move(self.part, self.path)
+
+
 def write_whole(uri: str, chunks: Iterable[bytes]) -> int:
     """Write under a name of its own, then move: readers never see part of a file, and a retried task may repeat it."""
     store, path = open_fs(uri)

@@ -7,11 +7,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import located, lookup, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
+from .files import Writer, pack, read_range, unpack
+from .shared import located, lookup, scratch, shuffle_width, sized_broadcast, staged, text_batches, text_or_empty
 from .slicecache import gather, slice_hashes
 
 WORDS, THRESHOLD = 5, (4, 5)  # words of an n-gram; least similarity, as a fraction
@@ -378,25 +380,80 @@ def candidate_links(classes: DataFrame, bands: range) -> DataFrame:
     return staged(dealt.select("key", "i", "j", "own", "vid", "label", "sig").mapInArrow(run, "u long, v long"), "candidates")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """``rows`` (``root, i, j, own, vid, n, sig, text``) compared tile by tile: links and spanning forests."""
+_FOUND = pa.schema([("vid", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("grp", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
+FOUND = "vid long, links long, root long, grp long, own int, blocks int, path string, start long, length long"
+
+
+class Block:
+    """Representatives of a group that are compared together: ids, class sizes, signatures and texts."""
+
+    def __init__(self, vid: list[int], n: list[int], sig: list[bytes], text: list[str]):
+        self.vid, self.n, self.sig, self.text = vid, n, sig, text
+
+    def packed(self) -> bytes:
+        data = [t.encode() for t in self.text]
+        ends = np.cumsum([len(d) for d in data])
+        return pack(vid=np.array(self.vid, np.int64), n=np.array(self.n, np.int64), sig=_signature_rows(self.sig).ravel(), ends=ends, text=np.frombuffer(b"".join(data), np.uint8))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Block:
+        a = unpack(data)
+        text, ends = a["text"].tobytes(), a["ends"].tolist()
+        return Block(a["vid"].tolist(), a["n"].tolist(), [r.tobytes() for r in a["sig"].reshape(-1, BANDS * ROWS)], [text[i:j].decode() for i, j in zip([0, *ends], ends, strict=False)])
+
+    @staticmethod
+    def compared(one: Block, other: Block | None = None) -> pa.RecordBatch:
+        """Links within a block, or between two."""
+        parts = [one] if other is None else [one, other]
+        sets, sides, at = ngram_sets([t for p in parts for t in p.text]), [], 0
+        for p in parts:
+            sides.append(Side(p.vid, p.n, sets[at : at + len(p.vid)], _signature_rows(p.sig)))
+            at += len(p.vid)
+        return link_rows(sides[0], sides[1] if other is not None else None)
+
+
+def _within_blocks(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows (``root, own, vid, blocks, n, sig, text``) compared within their block: links, and a row for every block that
+    has others beside it, which stands in the task's file from then on. So every text is dealt once."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for held in _grouped(batches, ["root", "i", "j"], "vid"):
-            i, j = held["i"][0], held["j"][0]
-            split = len(held["own"]) if i == j else held["own"].count(i)
-            sets, signature = ngram_sets(held["text"]), _signature_rows(held["sig"])
-            side = lambda at: Side(held["vid"][at], held["n"][at], sets[at], signature[at])  # noqa: B023, E731
-            if i == j:
-                out = link_rows(side(slice(None)), None)
-            elif 0 < split < len(held["own"]):
-                out = link_rows(side(slice(0, split)), side(slice(split, None)))
-            else:
-                continue
+        path = f"{folder}/blocks-{TaskContext.get().partitionId():06d}"
+        file, index = Writer(path), []
+        for held in _grouped(batches, ["root", "own"], "vid"):
+            block = Block(held["vid"], held["n"], held["sig"], held["text"])
+            out = Block.compared(block)
             if out.num_rows:
-                yield out
+                yield _as_found(out)
+            if held["blocks"][0] > 1:
+                data = block.packed()
+                index.append({"grp": held["root"][0], "own": held["own"][0], "blocks": held["blocks"][0], "path": path, "start": file.write(data), "length": len(data)})
+        file.close()
+        if index:
+            yield pa.RecordBatch.from_pylist(index, schema=_FOUND)
+
+    return rows.select("root", "own", "vid", "blocks", "n", "sig", "text").mapInArrow(run, FOUND)
+
+
+def _as_found(out: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([out.column(c) if c in out.schema.names else pa.nulls(out.num_rows, _FOUND.field(c).type) for c in _FOUND.names], schema=_FOUND)
+
+
+def _between_blocks(index: DataFrame) -> DataFrame:
+    """Links between every two blocks of a group, which tasks read from the files of ``index``."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for r in batch.to_pylist():
+                one, other = (Block.unpacked(read_range(r[f"path{k}"], r[f"start{k}"], r[f"length{k}"])) for k in (1, 2))
+                out = Block.compared(one, other)
+                if out.num_rows:
+                    yield out
 
-    return rows.select("root", "i", "j", "own", "vid", "n", "sig", "text").mapInArrow(run, "vid long, links long, root long")
+    place = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("path", "start", "length")]
+    one = index.where("own < blocks - 1").select("grp", "own", *place(1), F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)).alias("other"))
+    two = index.select("grp", F.col("own").alias("other"), *place(2))
+    tiles = one.join(two, ["grp", "other"])
+    return tiles.repartition(shuffle_width(index.sparkSession), "grp", "own", "other").mapInArrow(run, "vid long, links long, root long")
 
 
 def _labelled(classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -417,8 +474,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     Equal texts become one representative with a number of its own. Representatives that share a band of MinHash values
     are compared value by value, in tiles of two blocks of a bucket's signatures, and dropped once the posterior
     probability of reaching the threshold is below ``TOLERANCE``; in two rounds, of which the second only compares what
-    the first has not joined. What is joined forms groups, whose texts, in tiles of two blocks bounded by rows and
-    bytes, are compared in the same way and verified by their words. A tile returns sums and a spanning forest, never
+    the first has not joined. What is joined forms groups, whose texts, in blocks bounded by rows and bytes, are compared
+    in the same way and verified by their words; a group of several blocks is kept in files, which a task reads two at a
+    time, so that a text is dealt once however large its group. A tile returns sums and a spanning forest, never
     pairs.
     """
     base = located(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))).withColumn("ck", F.md5("text"))
@@ -439,8 +497,15 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     placed = staged(lookup(found, sizes, "root", "members").select("vid", "ck", F.col("at._file").alias("_file"), F.col("at._line").alias("_line"), "n", "root", "members", "size", "sig", F.lit(1).alias("one")), "placed")
     texts = base.join(sized_broadcast(placed.select("_file", "_line", "ck", "vid")), ["_file", "_line", "ck"]).select("vid", "text")
     rows = lookup(texts, placed.select("vid", "n", "root", "members", "size", "sig", "one"), "vid", "one").drop("one")
-    blocks = F.greatest(F.ceil(F.col("members") / TEXT_BLOCK), F.ceil(F.col("size") / TEXT_BYTES))
-    tiles = staged(_tiles(_dealt(rows, "root", blocks)), "links")
+    # As many blocks as rows and bytes ask for, but never more than members: a text that is longer than a block is one.
+    blocks = F.least(F.col("members"), F.greatest(F.ceil(F.col("members") / TEXT_BLOCK), F.ceil(F.col("size") / TEXT_BYTES))).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    rows = rows.repartition(shuffle_width(rows.sparkSession), "root", "own").sortWithinPartitions("root", "own", "vid")
+    first = staged(_within_blocks(rows, scratch(docs.sparkSession, "blocks")), "within")
+    index = first.where("path is not null").select("grp", "own", "blocks", "path", "start", "length")
+    tiles = first.where("vid is not null").select("vid", "links", "root")
+    if not index.isEmpty():
+        tiles = tiles.unionByName(staged(_between_blocks(index), "between"))
 
     links = tiles.groupBy("vid").agg(F.sum("links").alias("links"))
     forest = components(tiles.select(F.col("vid").alias("u"), F.col("root").alias("v")).where("u <> v"))
