@@ -241,13 +241,55 @@ def test_matrix_checks(spark):
     assert integrity.largest_difference(good, good).first()[0] == 0.0 and integrity.largest_difference(good, good.limit(3)).first()[0] == float("inf")
 
 
-def test_constructed_patients_keep_their_invariants(spark):
-    from wavelattice.plans import release
-
-    patients, failures = signal.constructed(release.made_up_pressures(spark, 3, 600), seconds=600.0)
-    rows = patients.collect()
-    assert {r["patient_id"] for r in rows} == {"p0", "p1"} and [r["patient_id"] for r in failures.collect()] == ["p2"]
-    assert all(r["n_blocks"] == 10 and r["n_odd"] == r["n_even"] == 5 and r["within"] >= 0 for r in rows)
+def wave(rng, seconds, shift=0.0):
+    """Beats of drifting length, height and shape."""
+    out = []
+    while len(out) < seconds * 125:
+        n = int(95 + 20 * rng.standard_normal() * 0.3)
+        i = np.arange(n) / n
+        out += (80 + (40 + 6 * rng.standard_normal()) * np.exp(-(((i - 0.3 - shift) / 0.12) ** 2)) + 9 * np.exp(-(((i - 0.62) / 0.1) ** 2))).tolist()
+    return out[: seconds * 125]
+
+
+def plain_patient(x, seconds, width, least_beats):
+    """One patient by the rule, in plain numpy: window first, all masks from the same beats."""
+    total, beats = len(x) / 125, signal.catalog(np.array(x), 125.0)
+    beats = beats[(beats.center_sec >= total - seconds) & (beats.center_sec <= total)]
+    v = np.array(beats.absolute.tolist())
+    shape = (v - v.mean(1)[:, None]) / v.std(1)[:, None]
+    template = np.median(shape, axis=0)
+    keep = np.array([np.corrcoef(s, template)[0, 1] >= 0.75 for s in shape])
+    for m in (beats.duration_sec.to_numpy(), np.log(np.ptp(v, axis=1))):
+        mad = np.median(np.abs(m - np.median(m)))
+        keep &= (np.abs(m - np.median(m)) <= 5 * 1.4826 * mad) | (mad <= 1e-12)
+    z = lambda m: (m - m.mean()) / m.std()
+    q, kappa, n, odd = [], [], [], []
+    block = np.minimum((beats.center_sec.to_numpy() - (total - seconds)) // width, seconds // width - 1).astype(int)
+    for b in range(int(seconds // width)):
+        own = shape[keep & (block == b)]
+        if len(own) >= least_beats:
+            q.append(z(own.mean(0)))
+            kappa.append(own.mean(0).std())
+            n.append(len(own))
+            odd.append(b % 2 == 1)
+    q, odd = np.array(q), np.array(odd)
+    return {"all_rep": z(q.mean(0)), "odd_rep": z(q[odd].mean(0)), "even_rep": z(q[~odd].mean(0)), "within_cov": np.cov(q.T).ravel(), "eligible_blocks": len(q), "odd_blocks": odd.sum(), "even_blocks": (~odd).sum(), "median_block_coherence": np.median(kappa), "median_beats_per_block": np.median(n)}
+
+
+def test_constructed_patients_follow_the_rule(spark):
+    rng = np.random.default_rng(6)
+    waves = {"long": wave(rng, 80, 0.2) + wave(rng, 70), "fit": wave(rng, 60)}
+    cases = [(p, 125.0, x) for p, x in waves.items()] + [("rate", 100.0, waves["fit"]), ("short", 125.0, waves["fit"][:-50]), ("flat", 125.0, [80.0] * 7500)]
+    cases += [("late", 125.0, wave(rng, 60) + [80.0] * 7500), ("part", 125.0, wave(rng, 20) + [80.0] * 5000), ("gone", 125.0, [float("nan")] * 7500)]
+    df = spark.createDataFrame(cases, "patient_id string, fs double, abp array<double>")
+    patients, failures = signal.constructed(df, seconds=60.0, width=6.0, least_beats=4)
+    found = {r.patient_id: r for r in patients.collect()}
+    assert found.keys() == waves.keys()
+    for p, x in waves.items():
+        for name, want in plain_patient(x, 60.0, 6.0, 4).items():
+            assert np.allclose(found[p][name], want, atol=1e-9), (p, name)
+    why = {r.patient_id: r.failure for r in failures.collect()}
+    assert why == {"rate": "sampling rate", "short": "shorter than the window", "flat": "catalog failed", "gone": "catalog failed", "late": "fewer than 8 beats in the window", "part": "too few eligible blocks"}
     assert all(r["n_wrong"] == 0 for r in signal.shape_invariants(patients, ["all_rep", "odd_rep", "even_rep"]).collect())
-    few, none = signal.constructed(release.made_up_pressures(spark, 2, 600), seconds=600.0, least_beats=500)
-    assert few.count() == 0 and none.count() == 2
+    few, none = signal.constructed(df.limit(2), seconds=60.0, width=6.0, least_beats=500)
+    assert few.count() == 0 and {r.failure for r in none.collect()} == {"too few eligible blocks"}

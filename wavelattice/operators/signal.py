@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -113,7 +115,8 @@ def zscore(x: np.ndarray) -> np.ndarray:
 
 
 def catalog(x: np.ndarray, fs: float) -> pd.DataFrame:
-    """Beats between the middles of neighbouring peaks, 0.3 to 2 seconds long, at 64 phases; empty where too few."""
+    """Beats between the middles of neighbouring peaks, centred at their peak, 0.3 to 2 seconds long, at 64 phases; empty
+    where there are fewer than eight."""
     bad = ~np.isfinite(x)
     if bad.all():
         raise ValueError("no finite sample")
@@ -122,11 +125,11 @@ def catalog(x: np.ndarray, fs: float) -> pd.DataFrame:
     p = peaks(zscore(zero_phase(zscore(x), *band_pass(fs=fs)))) if x.std() > 0 else np.empty(0, int)
     mids = (p[:-1] + p[1:]) // 2
     if p.size >= 4:
-        for left, right in zip(mids[:-1], mids[1:], strict=True):
+        for left, right, top in zip(mids[:-1], mids[1:], p[1:-1], strict=True):
             seconds = (right - left) / fs
             v = np.interp(np.arange(64) / 64 * (right - left), np.arange(right - left + 1), x[left : right + 1])
             if 0.3 <= seconds <= 2 and np.ptp(v) > 1e-8 and v.std() > 1e-10:
-                rows.append((left / fs, right / fs, (left + right) / 2 / fs, seconds, v.tolist()))
+                rows.append((left / fs, right / fs, top / fs, seconds, v.tolist()))
     rows = rows if len(rows) >= 8 else []
     return pd.DataFrame(rows, columns=["left_sec", "right_sec", "center_sec", "duration_sec", "absolute"])
 
@@ -162,45 +165,88 @@ def representations(beats: DataFrame) -> DataFrame:
     return out.join(whole.select("patient_id"), "patient_id", "left_semi")
 
 
-def quality(beats: DataFrame, *, least: int = 6, correlation: float = 0.75) -> DataFrame:
-    """Beats whose shape follows the patient's median shape and whose duration and log pulse are not outliers."""
+def quality_masks(beats: DataFrame, *, correlation: float = 0.75) -> DataFrame:
+    """``beats`` with ``n_before``, ``correlation`` and ``kept``: whether the shape follows the patient's median shape and
+    neither duration nor log pulse is an outlier. Template, medians and deviations all come from the same rows."""
     from .blocks import deviation_kept, template_correlation
 
-    rows = template_correlation(beats, ["patient_id"], "shape_norm").where(F.col("correlation") >= correlation)
+    rows = template_correlation(beats, ["patient_id"], "shape_norm")
     rows = deviation_kept(rows, ["patient_id"], "duration_sec", "_a").drop("_mid", "_mad")
-    rows = deviation_kept(rows.withColumn("_log", F.ln("pp")), ["patient_id"], "_log", "_b").drop("_mid", "_mad", "_log").where("_a and _b")
+    rows = deviation_kept(rows.withColumn("_log", F.ln("pp")), ["patient_id"], "_log", "_b").drop("_mid", "_mad", "_log")
+    counts = beats.groupBy("patient_id").agg(F.count("*").alias("n_before"))
+    kept = F.coalesce((F.col("correlation") >= correlation) & F.col("_a") & F.col("_b"), F.lit(False))
+    return rows.join(counts, "patient_id").withColumn("kept", kept).drop("_a", "_b")
+
+
+def quality(beats: DataFrame, *, least_before: int = 8, least: int = 6, correlation: float = 0.75) -> DataFrame:
+    """The beats that pass ``quality_masks``, of patients with ``least_before`` beats before and ``least`` behind it."""
+    rows = quality_masks(beats, correlation=correlation).where((F.col("n_before") >= least_before) & F.col("kept"))
     enough = rows.groupBy("patient_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return rows.join(enough.select("patient_id"), "patient_id", "left_semi").drop("_a", "_b")
+    return rows.join(enough.select("patient_id"), "patient_id", "left_semi").drop("n_before", "kept")
 
 
 # ---------------------------------------------------------------- patients
 
+#: Why a patient has no representatives, in the order of the checks.
+REASONS = ["sampling rate", "shorter than the window", "catalog failed", "fewer than 8 beats in the window", "fewer than 6 beats kept", "too few eligible blocks", "no representative shape"]
+
+
+def _covariance_rows(lists: pa.Array) -> list[list[float]]:
+    return [np.cov(np.array(q, float).T, ddof=1 if len(q) > 1 else 0).ravel().tolist() for q in lists.to_pylist()]
 
-def constructed(cases: DataFrame, *, seconds: float = 1800.0, width: float = 60.0, least_beats: int = 32, least: int = 6, least_half: int = 3) -> tuple[DataFrame, DataFrame]:
+
+def constructed(cases: DataFrame, *, seconds: float = 1800.0, width: float = 60.0, least_beats: int = 32, least: int = 6, least_half: int = 3, fs: float = 125.0) -> tuple[DataFrame, DataFrame]:
     """Patients from waveforms, and why others failed.
 
-    First: ``patient_id, n_beats, n_blocks, n_odd, n_even``, the representatives of all, odd and even blocks, ``within``
-    (trace of the covariance of the block shapes) and the medians of pressure, pulse and duration. Second:
-    ``patient_id, failure``. ``cases``: ``patient_id, fs, abp``. Beats of the last ``seconds`` that pass the checks go to
-    blocks of ``width``; a block needs ``least_beats`` beats, a patient ``least`` blocks and ``least_half`` odd and even
-    ones. ``least_beats`` 1 is the construction without a gate.
-    """
-    from .blocks import central_shape, replicates, trailing, tumbling_block
+    First: ``patient_id, all_rep, odd_rep, even_rep, within_cov`` (the covariance of the block shapes, row by row),
+    ``eligible_blocks, odd_blocks, even_blocks, median_block_coherence, median_beats_per_block``. Second: ``patient_id,
+    failure``, the first of ``REASONS`` that holds. ``cases``: ``patient_id, fs, abp``, one row a patient.
 
-    beats = beat_catalog(cases)
-    failed = beats.where("failure is not null").select("patient_id", "failure")
-    length = cases.select("patient_id", (F.size("abp") / F.col("fs")).alias("_sec"))
-    kept = trailing(quality(representations(beats)).join(length, "patient_id"), "center_sec", F.col("_sec"), seconds)
+    The last ``seconds`` are cut first; the quality masks come from the beats in them. Beats kept go to blocks of
+    ``width``; a block needs ``least_beats`` beats, a patient ``least`` blocks and ``least_half`` odd and even ones.
+    ``least_beats`` 1 is the construction without a gate.
+    """
+    from ..sources.shared import staged
+    from .blocks import central_shape, replicates, tumbling_block
+
+    length = F.size("abp") / F.col("fs")
+    sized = cases.select("patient_id", (F.abs(F.col("fs") - fs) <= 1e-6).alias("_rate"), (length + 1e-9 >= seconds).alias("_long"), length.alias("_sec"))
+    fit = cases.join(sized.where("_rate and _long").select("patient_id"), "patient_id", "left_semi")
+    beats = staged(representations(beat_catalog(fit)).join(sized.select("patient_id", "_sec"), "patient_id"), "beats")
+    inside = beats.where((F.col("center_sec") >= F.col("_sec") - seconds) & (F.col("center_sec") <= F.col("_sec")))
+    masked = staged(quality_masks(inside), "masked")
+    counts = masked.groupBy("patient_id").agg(F.count("*").alias("_before"), F.count_if("kept").alias("_after"))
+    passed = counts.where("_before >= 8 and _after >= 6")
+    kept = masked.where("kept").join(passed.select("patient_id"), "patient_id", "left_semi")
     placed = kept.withColumn("block", tumbling_block(F.col("center_sec"), F.col("_sec") - seconds, width, int(seconds // width))).where("block is not null")
-    shapes = central_shape(placed, ["patient_id", "block"], "shape_norm").where((F.col("n") >= least_beats) & F.col("q").isNotNull())
-    reps = replicates(shapes, "patient_id", "block", "q", least=least, least_half=least_half)
-    long = shapes.select("patient_id", F.posexplode("q").alias("p", "x")).groupBy("patient_id", "p").agg(F.var_samp("x").alias("v"))
-    within = long.groupBy("patient_id").agg(F.sum("v").alias("within"))
-    medians = placed.groupBy("patient_id").agg(F.count("*").alias("n_beats"), *(F.median(c).alias(f"median_{c}") for c in ("map_proxy", "pp", "duration_sec")))
-    patients = reps.join(within, "patient_id").join(medians, "patient_id")
-    known = patients.select("patient_id").unionByName(failed.select("patient_id"))
-    short = cases.select("patient_id").join(known, "patient_id", "left_anti").withColumn("failure", F.lit("too few beats, blocks or checks passed"))
-    return patients, failed.unionByName(short)
+    shapes = staged(central_shape(placed, ["patient_id", "block"], "shape_norm").where((F.col("n") >= least_beats) & F.col("q").isNotNull()), "shapes")
+
+    odd = F.pmod(F.col("block"), F.lit(2)) == 1
+    # A patient has at most one shape a block of the window, so that their list is bounded.
+    each = shapes.groupBy("patient_id").agg(
+        F.count("*").alias("eligible_blocks"), F.count_if(odd).alias("odd_blocks"), F.count_if(~odd).alias("even_blocks"),
+        F.median("kappa").alias("median_block_coherence"), F.median("n").alias("median_beats_per_block"), F.sort_array(F.collect_list(F.struct("block", "q"))).alias("_q"),
+    )
+    enough = (F.col("eligible_blocks") >= least) & (F.col("odd_blocks") >= least_half) & (F.col("even_blocks") >= least_half)
+    names = [c for c in each.columns if c != "_q"]
+    wide = each.where(enough).select(*names, F.transform("_q", lambda b: b["q"]).alias("_q"))
+
+    def covariances(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            cov = pa.array(_covariance_rows(batch.column("_q")), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), cov], names=[*names, "within_cov"])
+
+    schema = wide.select(*names).schema.add("within_cov", T.ArrayType(T.DoubleType()))
+    reps = replicates(shapes, "patient_id", "block", "q", least=least, least_half=least_half).select("patient_id", "all_rep", "odd_rep", "even_rep")
+    reps = reps.where("all_rep is not null and odd_rep is not null and even_rep is not null")
+    patients = staged(reps.join(wide.mapInArrow(covariances, schema), "patient_id"), "patients").select("patient_id", "all_rep", "odd_rep", "even_rep", "within_cov", *names[1:])
+
+    found = beats.select("patient_id").distinct().withColumn("_beats", F.lit(True))
+    state = sized.join(found, "patient_id", "left").join(counts, "patient_id", "left").join(each.select("patient_id", enough.alias("_enough")), "patient_id", "left").join(patients.select("patient_id", F.lit(True).alias("_done")), "patient_id", "left_anti")
+    before, after = F.coalesce("_before", F.lit(0)), F.coalesce("_after", F.lit(0))
+    checks = [~F.coalesce("_rate", F.lit(False)), ~F.coalesce("_long", F.lit(False)), F.col("_beats").isNull(), before < 8, after < 6, ~F.coalesce("_enough", F.lit(False)), F.lit(True)]
+    reason = F.coalesce(*(F.when(c, F.lit(r)) for c, r in zip(checks, REASONS, strict=True)))
+    return patients, state.select("patient_id", reason.alias("failure"))
 
 
 def shape_invariants(patients: DataFrame, columns: list[str], tolerance: float = 1e-10) -> DataFrame:

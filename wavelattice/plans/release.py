@@ -11,7 +11,7 @@ from ..operators import blocks, characterize, covariance, dependence, guards, in
 from .core import replicate_shapes, rounded
 from .geometry import BASIS, cv_reconstruction_curve, fourier_cv_curve, metrics
 from .stats import halves
-from .tables import BEATS, LONG, SHAPES, beats, shapes, table
+from .tables import BEATS, LONG, REPS, SHAPES, beats, shapes, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -229,25 +229,51 @@ def position_entropy_deltas(spark, d):
     return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816, kind="positions")
 
 
-def made_up_pressures(spark, patients: int, seconds: int):
-    """Pressures of patients with different rates, drifting slowly; the last one is flat."""
-    t = F.transform(F.sequence(F.lit(0), F.lit(seconds * 125 - 1)), lambda i: i / F.lit(125.0))
-    turn = 2 * np.pi * (0.9 + F.col("id") * 0.08)
-    abp = F.transform(t, lambda s: 90 + 18 * F.sin(turn * s) + 6 * F.sin(2 * turn * s + 0.6) + F.sin(s / 3))
-    abp = F.when(F.col("id") == patients - 1, F.transform(t, lambda s: F.lit(80.0) + 0 * s)).otherwise(abp)
-    return spark.range(patients).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("patient_id"), F.lit(125.0).alias("fs"), abp.alias("abp"))
+def pressures(spark, d):
+    """Waveforms of a hundred beats a patient, each beat's length, height and dicrotic wave from one vector; the recordings
+    of every fifth patient are flat, and of every seventh at another rate."""
+    e = table(spark, d, "embeddings").where("embedding is not null").select((F.expr("vec_id div 100")).alias("p"), "vec_id", *(F.coalesce(F.get("embedding", F.lit(k)), F.lit(0.0)).cast("double").alias(c) for k, c in enumerate("abc")))
+    n = (F.lit(95) + F.least(F.greatest(F.col("a"), F.lit(-1.0)), F.lit(1.0)) * 40).cast("int")
+    bump = lambda x, at, wide: F.exp(-((x - at) / wide) * ((x - at) / wide))
+    beat = F.transform(F.sequence(F.lit(0), n - 1), lambda i: 80 + (40 + 30 * F.col("b")) * bump(i / n, 0.3, 0.12) + (9 + 20 * F.col("c")) * bump(i / n, 0.62, 0.1))
+    ordered = F.sort_array(F.collect_list(F.struct("vec_id", beat.alias("x"))))
+    abp = F.flatten(F.transform(ordered, lambda b: b["x"]))
+    made = e.groupBy("p").agg(abp.alias("abp"))
+    flat = F.when(F.col("p") % 5 == 4, F.transform("abp", lambda x: F.lit(80.0))).otherwise(F.col("abp"))
+    return made.select(F.concat(F.lit("p"), F.col("p").cast("string")).alias("patient_id"), F.when(F.col("p") % 7 == 6, 100.0).otherwise(125.0).alias("fs"), flat.alias("abp"))
 
 
 @query()
 def constructed_patients(spark, d):
-    """Patients from waveforms of ten minutes, end to end, and why one of them fails."""
-    cases = made_up_pressures(spark, 5, 600)
-    patients, failures = signal.constructed(cases, seconds=600.0)
-    made = patients.select("patient_id", "n_beats", "n_blocks", "within", "median_map_proxy", "median_duration_sec", F.lit(None).cast("string").alias("failure"))
-    return made.unionByName(failures, allowMissingColumns=True)
+    """Representatives, within-covariance and medians of patients, from waveforms made of all vectors."""
+    patients, failures = signal.constructed(pressures(spark, d), seconds=60.0, width=6.0, least_beats=4)
+    trace = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0.0), lambda t, i: t + F.get("within_cov", i * 65))
+    ok = patients.select("patient_id", F.lit(None).cast("string").alias("failure"), "eligible_blocks", "odd_blocks", "even_blocks", "median_block_coherence", "median_beats_per_block", trace.alias("within_trace"))
+    return ok.unionByName(failures, allowMissingColumns=True)
 
 
-@query(f"WITH {LONG} SELECT 'all_rep' AS \"column\", count(DISTINCT patient) AS n, 0::BIGINT AS n_wrong FROM l")
+_WAVE = "list_transform(list_zip(v, range(64)), lambda z: z[1] + 0.15 * sin(2 * pi() * z[2] / 64))"
+
+
+@query(
+    f"WITH {SHAPES}, w AS (SELECT vec_id, patient % 7 AS patient_id, {_WAVE} AS x, 0.8 + v[1] ** 3 * 40 AS dur FROM e), "
+    "s AS (SELECT vec_id, patient_id, dur, ln(list_max(x) - list_min(x)) AS lp, list_transform(x, lambda c: (c - list_avg(x)) / list_stddev_pop(x)) AS sh FROM w), "
+    "t AS (SELECT patient_id, list(m ORDER BY pos) AS tpl FROM (SELECT patient_id, pos, median(c) AS m FROM (SELECT patient_id, unnest(range(64)) AS pos, unnest(sh) AS c FROM s) GROUP BY ALL) GROUP BY patient_id), "
+    "m AS (SELECT patient_id, count(*) AS n_before, median(dur) AS dm, median(lp) AS lm FROM s GROUP BY patient_id), "
+    "d AS (SELECT patient_id, median(abs(dur - dm)) AS dd, median(abs(lp - lm)) AS ld FROM s JOIN m USING (patient_id) GROUP BY patient_id), "
+    "c AS (SELECT vec_id, patient_id, n_before, list_sum(list_transform(list_zip(sh, tpl), lambda z: z[1] * (z[2] - list_avg(tpl)))) / 64 / list_stddev_pop(tpl) AS r, dd <= 1e-12 OR abs(dur - dm) <= 5 * 1.4826 * dd AS a, ld <= 1e-12 OR abs(lp - lm) <= 5 * 1.4826 * ld AS b FROM s JOIN t USING (patient_id) JOIN m USING (patient_id) JOIN d USING (patient_id)) "
+    "SELECT vec_id, patient_id, n_before, round(r, 6) + 0.0 AS correlation, r >= 0.75 AND a AND b AS kept FROM c"
+)
+def locked_quality(spark, d):
+    """All three masks of the beats' quality on one frame: template, duration and log pulse."""
+    e = shapes(spark, d)
+    x = F.zip_with("v", F.sequence(F.lit(0), F.lit(63)), lambda c, i: c + F.lit(0.15) * F.sin(F.lit(2 * np.pi) * i / 64))
+    rows = e.select("vec_id", (F.col("patient") % 7).alias("patient_id"), x.alias("x"), (F.lit(0.8) + F.pow(F.get("v", F.lit(0)), F.lit(3.0)) * 40).alias("duration_sec"))
+    beats = rows.select("vec_id", "patient_id", "duration_sec", V.normalised(F.col("x")).alias("shape_norm"), V.peak_to_peak(F.col("x")).alias("pp"))
+    return rounded(signal.quality_masks(beats).select("vec_id", "patient_id", "n_before", "correlation", "kept"))
+
+
+@query(f"WITH {REPS} SELECT 'all_rep' AS \"column\", count(*) AS n, count(*) FILTER (abs(m) > 1e-10 OR abs(s - 1) > 1e-10) AS n_wrong FROM (SELECT patient, avg(a) AS m, stddev_pop(a) AS s FROM r JOIN c USING (patient) GROUP BY patient)")
 def shape_invariants(spark, d):
     """Representatives have a mean of 0 and a deviation of 1."""
     return signal.shape_invariants(replicate_shapes(spark, d), ["all_rep"])
