@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -308,3 +308,26 @@ def block_entropies(beats: DataFrame, patient: str, vector: str, surrogates: int
     schema = "p string, n long, delta_2 double, delta_4 double, delta_8 double, delta_all double, excess_4 double"
     rows = beats.where(F.col(vector).isNotNull()).select(F.col(patient).cast("string").alias("p"), F.col(vector).alias("v"))
     return rows.groupBy("p").applyInPandas(run, schema).withColumnRenamed("p", patient)
+
+
+# ---------------------------------------------------------------- table function
+
+
+class BeatTable:
+    """A case's beats as rows, those of ``beat_catalog``."""
+
+    def eval(self, fs: float, abp: list[float]) -> Iterator[tuple]:
+        try:
+            beats, failure = catalog(np.array(abp if abp is not None else [], float), float(fs if fs is not None else "nan")), "too few beats"
+        except ValueError as e:
+            beats, failure = pd.DataFrame(), str(e)
+        if beats.empty:
+            yield None, None, None, None, None, None, failure
+        for k, b in enumerate(beats.itertuples()):
+            yield k, float(b.left_sec), float(b.right_sec), float(b.center_sec), float(b.duration_sec), b.absolute, None
+
+
+def register_beats(spark: SparkSession, name: str = "beats") -> None:
+    """Make ``SELECT ... FROM cases, LATERAL beats(cases.fs, cases.abp)`` known to the session; cases are dealt among tasks
+    as they lie, and a row a beat comes back."""
+    spark.udtf.register(name, F.udtf(BeatTable, returnType=BEATS.removeprefix("patient_id string, "), useArrow=True))

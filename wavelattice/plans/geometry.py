@@ -11,7 +11,7 @@ from ..functions import vectors as V
 from ..operators import covariance, integrity, localize, signal, spectral
 from ..streaming.blocks import block_summaries
 from .core import replicate_shapes, rounded
-from .tables import LONG, REPS, shapes, table
+from .tables import LONG, REPS, pressures, shapes, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,17 +204,18 @@ def second_direction(spark, d):
 
 @query()
 def beat_catalog_synthetic(spark, d):
-    """Beats of made-up pressures of eight patients with different rates: counts and mean pressures."""
-    seconds = 60
-    t = F.transform(F.sequence(F.lit(0), F.lit(seconds * 125 - 1)), lambda i: i / F.lit(125.0))
-    rate = 0.9 + F.col("id") * 0.08
-    turn = 2 * np.pi * rate
-    abp = F.transform(t, lambda s: 90 + 18 * F.sin(turn * s) + 6 * F.sin(2 * turn * s + 0.6) + F.sin(s / 3))
-    cases = spark.range(8).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("patient_id"), F.lit(125.0).alias("fs"), abp.alias("abp"))
-    kept = signal.quality(signal.representations(signal.beat_catalog(cases)))
+    """Beats of waveforms made of all vectors: counts and mean pressures of those that pass the checks."""
+    kept = signal.quality(signal.representations(signal.beat_catalog(pressures(spark, d))))
     return kept.groupBy("patient_id").agg(F.count("*").alias("n_beats"), F.avg("duration_sec").alias("mean_duration"), F.avg("map_proxy").alias("mean_pressure"), F.avg("pp").alias("mean_pulse"))
 
 
+@query()
+def beats_lateral(spark, d):
+    """The same waveforms' beats by the table function, in SQL."""
+    signal.register_beats(spark)
+    return spark.sql("SELECT c.patient_id, b.beat_id, b.left_sec, b.right_sec, b.center_sec, b.duration_sec, b.failure FROM {cases} c, LATERAL beats(c.fs, c.abp) b", cases=pressures(spark, d))
+
+
 @query()
 def block_entropy_deltas(spark, d):
     return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816)

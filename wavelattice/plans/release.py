@@ -11,7 +11,7 @@ from ..operators import blocks, characterize, covariance, dependence, guards, in
 from .core import replicate_shapes, rounded
 from .geometry import BASIS, cv_reconstruction_curve, fourier_cv_curve, metrics
 from .stats import halves
-from .tables import BEATS, LONG, REPS, SHAPES, beats, shapes, table
+from .tables import BEATS, LONG, REPS, SHAPES, beats, pressures, shapes, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -229,20 +229,6 @@ def position_entropy_deltas(spark, d):
     return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816, kind="positions")
 
 
-def pressures(spark, d):
-    """Waveforms of a hundred beats a patient, each beat's length, height and dicrotic wave from one vector; the recordings
-    of every fifth patient are flat, and of every seventh at another rate."""
-    e = table(spark, d, "embeddings").where("embedding is not null").select((F.expr("vec_id div 100")).alias("p"), "vec_id", *(F.coalesce(F.get("embedding", F.lit(k)), F.lit(0.0)).cast("double").alias(c) for k, c in enumerate("abc")))
-    n = (F.lit(95) + F.least(F.greatest(F.col("a"), F.lit(-1.0)), F.lit(1.0)) * 40).cast("int")
-    bump = lambda x, at, wide: F.exp(-((x - at) / wide) * ((x - at) / wide))
-    beat = F.transform(F.sequence(F.lit(0), n - 1), lambda i: 80 + (40 + 30 * F.col("b")) * bump(i / n, 0.3, 0.12) + (9 + 20 * F.col("c")) * bump(i / n, 0.62, 0.1))
-    ordered = F.sort_array(F.collect_list(F.struct("vec_id", beat.alias("x"))))
-    abp = F.flatten(F.transform(ordered, lambda b: b["x"]))
-    made = e.groupBy("p").agg(abp.alias("abp"))
-    flat = F.when(F.col("p") % 5 == 4, F.transform("abp", lambda x: F.lit(80.0))).otherwise(F.col("abp"))
-    return made.select(F.concat(F.lit("p"), F.col("p").cast("string")).alias("patient_id"), F.when(F.col("p") % 7 == 6, 100.0).otherwise(125.0).alias("fs"), flat.alias("abp"))
-
-
 @query()
 def constructed_patients(spark, d):
     """Representatives, within-covariance and medians of patients, from waveforms made of all vectors."""
