@@ -49,7 +49,7 @@ def test_only_what_is_asked_for_is_read(source, tmp_path):
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         at = z.getinfo("patient_id.npy").header_offset
     broken = bytearray(raw)
-    broken[at + 60] ^= 255
+    broken[at + 194] ^= 255
     (tmp_path / "a.npz").write_bytes(bytes(broken))
     (tmp_path / "b.npz").write_bytes(raw)
     (tmp_path / "c.npz").write_bytes(b"no archive")

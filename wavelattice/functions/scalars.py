@@ -71,6 +71,13 @@ def record_time(name: Column) -> Column:
     return F.when(parts[0] != "", F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
 
 
+def record_start(name: Column, path: Column) -> Column:
+    """``record_time`` of a trimmed name, or of the last part of the path where the name is null or blank."""
+    trimmed = F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")
+    base = F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)/*$", 1)
+    return record_time(F.when(trimmed == "", base).otherwise(trimmed))
+
+
 def seconds_between(start: Column, stop: Column) -> Column:
     """Seconds as a double, to the microsecond."""
     return F.timestamp_diff("MICROSECOND", start, stop) / F.lit(1e6)

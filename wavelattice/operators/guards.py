@@ -70,6 +70,39 @@ def expectations(df: DataFrame, checks: dict[str, tuple[str, Column]]) -> DataFr
     return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*").withColumn("passed", F.col("n_failed") == 0)
 
 
+def manifest_checks(rows: DataFrame, label: str, expected: int, *, required: list[str], ident: str, rate: float, seconds: int, aliases: list[str], category: str = "required") -> DataFrame:
+    """``name, category, passed, detail`` of a manifest's row checks, in one pass: fields, number of rows, different and
+    blank ids, sampling rate (``fs``), length (``duration_sec``) and source names (``abp_source_name``).
+
+    Values may be texts; what is no number, and a field that is missing, is bad. Ids and names are trimmed.
+    """
+    own = rows.columns
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in own else F.lit("")
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c in own else F.lit(None).cast("double")
+    missing = sorted(set(required) - set(own))
+    good = lambda c: F.coalesce(c, F.lit(False))
+    one = rows.agg(
+        F.count("*").alias("n"),
+        F.count_distinct(F.when(text(ident) != "", text(ident))).alias("ids"),
+        F.count_if(text(ident) == "").alias("blank"),
+        F.count_if(~good(F.abs(number("fs") - rate) <= 1e-9)).alias("bad_fs"),
+        F.count_if(~good(number("duration_sec") == seconds)).alias("bad_length"),
+        F.count_if(~text("abp_source_name").isin(aliases)).alias("bad_alias"),
+    )
+    bad = lambda c: F.concat(F.lit("bad_rows="), c)
+    checks = [
+        ("required_fields", F.lit(not missing), F.lit("missing=" + ",".join(missing) if missing else "complete")),
+        ("row_count", F.col("n") == expected, F.concat(F.lit("rows="), "n", F.lit(f" expected={expected}"))),
+        ("unique_ids", F.col("ids") == expected, F.concat(F.lit("unique="), "ids", F.lit(f" expected={expected}"))),
+        ("blank_ids", F.col("blank") == 0, F.concat(F.lit("blank="), "blank")),
+        ("sampling_rate", F.col("bad_fs") == 0, bad("bad_fs")),
+        ("duration", F.col("bad_length") == 0, bad("bad_length")),
+        ("source_names", F.col("bad_alias") == 0, bad("bad_alias")),
+    ]
+    each = [F.struct(F.lit(f"{label}_{n}").alias("name"), F.lit(category).alias("category"), ok.alias("passed"), d.alias("detail")) for n, ok, d in checks]
+    return one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+
+
 def decision(checks: DataFrame) -> DataFrame:
     """``category, n_checks, n_failed, decision``: PASS where all checks of the category hold."""
     out = checks.groupBy("category").agg(F.count("*").alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"))

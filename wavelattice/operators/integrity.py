@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,6 +70,57 @@ def file_class(path: Column, leaked: Column) -> Column:
     return F.when(private, "PRIVATE").when(candidate & ~leaked, "CANDIDATE").otherwise("MANUAL_REVIEW")
 
 
+@dataclass(frozen=True)
+class FileRule:
+    """Why a path is of a class: it meets every condition that is not empty. ``words`` stand in the name, or as a whole
+    folder in the path; ``path_words`` anywhere in the path; case does not matter, but in ``names``."""
+
+    reason: str
+    suffixes: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+    path_words: tuple[str, ...] = ()
+    prefix: str = ""
+    names: tuple[str, ...] = ()
+
+    def met(self, path: Column) -> Column:
+        low = F.lower(path)
+        name = F.regexp_extract(low, r"[^/]*$", 0)
+        out = F.lit(True)
+        if self.suffixes:
+            out = out & F.regexp_extract(name, r".(\.[^.]*)$", 1).isin(*self.suffixes)
+        if self.words:
+            out = out & reduce(or_, (name.contains(w) | F.concat(F.lit("/"), low, F.lit("/")).contains(f"/{w}/") for w in self.words))
+        if self.path_words:
+            out = out & reduce(or_, (low.contains(w) for w in self.path_words))
+        if self.prefix:
+            out = out & low.startswith(self.prefix)
+        if self.names:
+            out = out & F.regexp_extract(path, r"[^/]*$", 0).isin(*self.names)
+        return out
+
+
+PRIVATE_RULES = (
+    FileRule("raw array suffix", suffixes=(".npz", ".npy", ".dat", ".hea", ".pkl", ".pickle", ".parquet", ".feather", ".h5", ".hdf5", ".mat")),
+    FileRule("private, patient-level, checkpoint or log naming", words=("private", "checkpoint", "checkpoints", "logs", "log", "patient_level")),
+    FileRule("restricted source data", path_words=("chartevents", "clinical-database")),
+    FileRule("patient-level scores", words=("patient_scores",)),
+)
+CANDIDATE_RULES = (
+    FileRule("known aggregate", names=("README.md", "CITATION.cff", "LICENSE")),
+    FileRule("scientific, audit or publication code", prefix="code/", suffixes=(".py", ".sh", ".md")),
+    FileRule("frozen specification", prefix="freeze/", suffixes=(".json", ".md", ".txt")),
+    FileRule("candidate aggregate result", path_words=("results/",), suffixes=(".json", ".txt", ".md", ".csv"), words=("summary", "readout", "aggregate", "cohort", "axis_reliability")),
+)
+
+
+def classified_files(files: DataFrame, path: str = "path", private: tuple[FileRule, ...] = PRIVATE_RULES, candidate: tuple[FileRule, ...] = CANDIDATE_RULES) -> DataFrame:
+    """``files`` with ``file_class`` (PRIVATE, CANDIDATE or MANUAL_REVIEW) and ``reason``, that of the first rule which the
+    path meets; private rules come before candidates. A null path goes to review."""
+    first = lambda rules: F.coalesce(*(F.when(r.met(F.col(path)), F.lit(r.reason)) for r in rules))
+    why, may = first(private), first(candidate)
+    return files.withColumns({"file_class": F.when(why.isNotNull(), "PRIVATE").when(may.isNotNull(), "CANDIDATE").otherwise("MANUAL_REVIEW"), "reason": F.coalesce(why, may, F.lit(""))})
+
+
 # What a release must not hold, beside the patterns of texts.
 RAW_SUFFIXES = ["npz", "npy", "dat", "hea", "wfdb", "gz", "pkl", "pickle"]
 TEXT_SUFFIXES = ["md", "txt", "json", "csv", "cff", "py", "sh", "yaml", "yml", "toml"]

@@ -218,6 +218,17 @@ def record_name_datetime(spark, d):
     return rounded(named.withColumn("age", S.seconds_between(F.expr("timestamp_ntz'1990-01-01'"), F.col("started")) / S.YEAR_SECONDS))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 4 THEN o_orderdate + to_hours(o_orderkey % 24) + to_seconds(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 60 ELSE 0 END) END AS started FROM orders")
+def record_start_fallback(spark, d):
+    """Times from names, and from the last part of a path where the name is blank or null; others have none."""
+    o = F.col("o_orderkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    stamp = F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), two(o % 24), F.lit("-00"), F.when(o % 2 == 0, F.concat(F.lit("-"), two(o % 60))).otherwise(F.lit("")))
+    name = F.when(o % 5 == 0, F.concat(F.lit(" "), stamp, F.lit(" "))).when(o % 5 == 1, F.lit("  ")).when(o % 5 == 4, F.lit("unknown"))
+    path = F.when(o % 5 == 0, F.lit("p9/p9-1999-01-01-00-00")).otherwise(F.concat(F.lit("p1/p12/"), stamp, F.when(o % 3 == 0, F.lit("/")).otherwise(F.lit(""))))
+    return table(spark, d, "orders").select("o_orderkey", S.record_start(name, path).alias("started"))
+
+
 # ---------------------------------------------------------------- facts and flags
 
 _HEIGHTS = "h AS (SELECT o_custkey AS subject, p_partkey % 7 AS item, CASE WHEN p_partkey % 7 IN (1, 2, 3, 5) THEN p_size * 2.54 ELSE p_size::DOUBLE END AS cm FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_discount = 0 OR l_discount > 0.02)"

@@ -180,6 +180,48 @@ def cohort_summary(spark, d):
     return characterize.cohort_summary(rows, "kind", "id", "value")
 
 
+_PATHS = "p AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'code/run' WHEN 1 THEN 'logs/run' WHEN 2 THEN 'results/set' WHEN 3 THEN 'freeze/spec' WHEN 4 THEN 'Results/cohort' WHEN 5 THEN 'data/chartevents' WHEN 6 THEN 'docs' WHEN 7 THEN 'code/logs' ELSE 'raw' END || '/' || CASE o_custkey % 7 WHEN 0 THEN 'SUMMARY_' WHEN 1 THEN 'patient_scores_' WHEN 2 THEN 'cohort_' WHEN 3 THEN '' ELSE 'x' END || o_orderkey || CASE o_custkey % 11 WHEN 0 THEN '.py' WHEN 1 THEN '.CSV' WHEN 2 THEN '.npz' WHEN 3 THEN '.json' WHEN 4 THEN '.md' WHEN 5 THEN '' ELSE '.txt' END AS path FROM orders)"
+
+
+@query(
+    f"WITH {_PATHS}, l AS (SELECT path, lower(path) AS low, regexp_extract(lower(path), '[^/]*$') AS name, regexp_extract(lower(path), '(\\.[^./]*)$', 1) AS suffix FROM p), "
+    "r AS (SELECT CASE WHEN suffix IN ('.npz', '.npy', '.dat', '.hea', '.pkl', '.pickle', '.parquet', '.feather', '.h5', '.hdf5', '.mat') THEN 'raw array suffix' WHEN regexp_matches(name, 'private|checkpoint|log|patient_level') OR regexp_matches('/' || low || '/', '/(private|checkpoint|checkpoints|logs|log|patient_level)/') THEN 'private, patient-level, checkpoint or log naming' WHEN contains(low, 'chartevents') OR contains(low, 'clinical-database') THEN 'restricted source data' WHEN contains(name, 'patient_scores') THEN 'patient-level scores' END AS why, "
+    "CASE WHEN starts_with(low, 'code/') AND suffix IN ('.py', '.sh', '.md') THEN 'scientific, audit or publication code' WHEN starts_with(low, 'freeze/') AND suffix IN ('.json', '.md', '.txt') THEN 'frozen specification' WHEN contains(low, 'results/') AND suffix IN ('.json', '.txt', '.md', '.csv') AND (regexp_matches(name, 'summary|readout|aggregate|cohort|axis_reliability') OR regexp_matches('/' || low || '/', '/(summary|readout|aggregate|cohort|axis_reliability)/')) THEN 'candidate aggregate result' END AS may FROM l) "
+    "SELECT CASE WHEN why IS NOT NULL THEN 'PRIVATE' WHEN may IS NOT NULL THEN 'CANDIDATE' ELSE 'MANUAL_REVIEW' END AS file_class, coalesce(why, may, '') AS reason, count(*) AS n FROM r GROUP BY ALL"
+)
+def file_rules(spark, d):
+    """Paths made of all orders, by the rules of a release: class and reason."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+
+    def pick(value, names, other):
+        out = None
+        for k, name in names.items():
+            out = F.when(value == k, name) if out is None else out.when(value == k, name)
+        return out.otherwise(other)
+
+    folder = pick(o % 9, {0: "code/run", 1: "logs/run", 2: "results/set", 3: "freeze/spec", 4: "Results/cohort", 5: "data/chartevents", 6: "docs", 7: "code/logs"}, "raw")
+    start = pick(c % 7, {0: "SUMMARY_", 1: "patient_scores_", 2: "cohort_", 3: ""}, "x")
+    suffix = pick(c % 11, {0: ".py", 1: ".CSV", 2: ".npz", 3: ".json", 4: ".md", 5: ""}, ".txt")
+    paths = table(spark, d, "orders").select(F.concat(folder, F.lit("/"), start, o.cast("string"), suffix).alias("path"))
+    return integrity.classified_files(paths).groupBy("file_class", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH m AS (SELECT CASE WHEN c_custkey % 100 = 0 THEN ' ' WHEN c_custkey % 100 = 1 THEN 'same' ELSE c_name END AS patient_id, CASE WHEN c_custkey % 50 = 3 THEN '124.9' WHEN c_custkey % 50 = 4 THEN 'fast' ELSE '125.0' END AS fs, CASE WHEN c_custkey % 70 = 5 THEN NULL ELSE '1800' END AS duration_sec, CASE WHEN c_custkey % 90 = 6 THEN 'II' ELSE 'ABP' END AS abp_source_name FROM customer), "
+    "a AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN trim(patient_id) <> '' THEN trim(patient_id) END) AS ids, count(*) FILTER (trim(patient_id) = '') AS blank, count(*) FILTER (NOT coalesce(abs(try_cast(fs AS DOUBLE) - 125) <= 1e-9, false)) AS f, count(*) FILTER (NOT coalesce(try_cast(duration_sec AS DOUBLE) = 1800, false)) AS l, count(*) FILTER (abp_source_name NOT IN ('ABP', 'ART')) AS s FROM m) "
+    "SELECT unnest(['future_required_fields', 'future_row_count', 'future_unique_ids', 'future_blank_ids', 'future_sampling_rate', 'future_duration', 'future_source_names']) AS name, 'future' AS category, unnest([false, n = 1500, ids = 1500, blank = 0, f = 0, l = 0, s = 0]) AS passed, "
+    "unnest(['missing=start_sample', 'rows=' || n || ' expected=1500', 'unique=' || ids || ' expected=1500', 'blank=' || blank, 'bad_rows=' || f, 'bad_rows=' || l, 'bad_rows=' || s]) AS detail FROM a"
+)
+def manifest_row_checks(spark, d):
+    """Row checks of a manifest made of all customers, with bad values planted."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        F.when(k % 100 == 0, " ").when(k % 100 == 1, "same").otherwise(F.col("c_name")).alias("patient_id"), F.when(k % 50 == 3, "124.9").when(k % 50 == 4, "fast").otherwise("125.0").alias("fs"),
+        F.when(k % 70 != 5, "1800").alias("duration_sec"), F.when(k % 90 == 6, "II").otherwise("ABP").alias("abp_source_name"),
+    )
+    return guards.manifest_checks(rows, "future", 1500, required=["patient_id", "fs", "duration_sec", "abp_source_name", "start_sample"], ident="patient_id", rate=125.0, seconds=1800, aliases=["ABP", "ART"], category="future")
+
+
 _STEP = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 

@@ -84,6 +84,19 @@ def nested_models(spark, d):
     return out.select("model", "n", "r2")
 
 
+_GEOMETRY = (
+    "m AS (SELECT 'scores' AS of, count(*) AS n, var_samp(y) AS a, var_samp(w) AS d, covar_samp(y, w) AS b FROM pd UNION ALL SELECT 'residuals', count(*), var_samp(y - py), var_samp(w - pw), covar_samp(y - py, w - pw) FROM pd), "
+    "v AS (SELECT of, n, a + d AS t, ((a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b)) AS l1, ((a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b)) AS l2 FROM m)"
+)
+
+
+@query(f"WITH {_FITS}, {_GEOMETRY} SELECT of, n, round(t, 6) AS trace, round(exp(-(l1 / t * ln(l1 / t) + l2 / t * ln(l2 / t))), 6) AS effective_rank, CASE WHEN l1 / t >= 0.9 THEN 1 ELSE 2 END AS d90, CASE WHEN l1 / t >= 0.95 THEN 1 ELSE 2 END AS d95, round(l1, 6) AS largest, round(l2, 6) AS least FROM v")
+def residual_geometry(spark, d):
+    """Trace, effective rank and dimensions of the covariance of scores and of their out-of-fold residuals."""
+    found = regression.residual_geometry(regression.out_of_fold(frame(spark, d), "fold", ["age", "site"], ["y", "w"]), ["y", "w"])
+    return rounded(found.select("of", "n", "trace", "effective_rank", "d90", "d95", F.get("eigenvalues", F.lit(0)).alias("largest"), F.get("eigenvalues", F.lit(1)).alias("least")))
+
+
 @query(f"WITH {_FITS} SELECT axis, count(*) AS n, round(1 - sum((v - p) ** 2) / (var_pop(v) * count(*)), 6) AS r2 FROM (SELECT 'y' AS axis, y AS v, py AS p FROM pd UNION ALL SELECT 'w', w, pw FROM pd) GROUP BY axis")
 def axis_r2(spark, d):
     return rounded(regression.axis_r2(regression.out_of_fold(frame(spark, d), "fold", ["age", "site"], ["y", "w"]), ["y", "w"]))

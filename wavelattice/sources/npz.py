@@ -52,6 +52,7 @@ def read_members(file, wanted: list[str]) -> dict[str, np.ndarray]:
             if name.lower() in known:
                 with z.open(known[name.lower()]) as member:
                     out[name] = np.lib.format.read_array(member, allow_pickle=False)
+                    member.read()  # to the end, where the member's checksum is compared
     return out
 
 
