@@ -46,12 +46,34 @@ def shape_normalize(spark, d):
     return rounded(q.select("vec_id", V.mean(F.col("v")).alias("mean"), V.population_sd(F.col("v")).alias("sd"), F.get("q", F.lit(0)).alias("first"), F.get("q", F.lit(63)).alias("last")))
 
 
-@query(f"WITH {REPS} SELECT patient, n_blocks, n_odd, n_even, round(max(a), 6) AS top_all, round(max(o), 6) AS top_odd, round(max(e), 6) AS top_even, round(sum(o * e) / 64, 6) + 0.0 AS agreement FROM r JOIN c USING (patient) GROUP BY patient, n_blocks, n_odd, n_even")
+_REPLICATES = f"WITH {REPS} SELECT patient, n_blocks, n_odd, n_even, round(max(a), 6) AS top_all, round(max(o), 6) AS top_odd, round(max(e), 6) AS top_even, round(sum(o * e) / 64, 6) + 0.0 AS agreement FROM r JOIN c USING (patient) GROUP BY patient, n_blocks, n_odd, n_even"
+
+
+@query(_REPLICATES)
 def block_replicates(spark, d):
     r = replicate_shapes(spark, d)
     return rounded(r.select("patient", "n_blocks", "n_odd", "n_even", F.array_max("all_rep").alias("top_all"), F.array_max("odd_rep").alias("top_odd"), F.array_max("even_rep").alias("top_even"), (V.dot(F.col("odd_rep"), F.col("even_rep")) / 64).alias("agreement")))
 
 
+@query(_REPLICATES)
+def stream_replicates(spark, d):
+    """The same from a stream with keyed state: blocks close by the clock of the blocks, a last row moves it on."""
+    from ..sources.shared import scratch
+    from ..streaming import replicates
+
+    # As a pattern, since a stream's plain path has to be a folder.
+    raw = spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]")
+    seconds = F.expr("vec_id div 100") * 60 + 1
+    beat = F.struct((F.col("vec_id") % 100).cast("string").alias("patient"), F.timestamp_seconds(seconds).alias("at"), V.doubles(F.col("embedding")).alias("shape"))
+    last = F.when(F.col("vec_id") == 0, F.struct(F.lit("end").alias("patient"), F.lit("2200-01-01").cast("timestamp").alias("at"), V.doubles(F.col("embedding")).alias("shape")))
+    beats = raw.select(F.explode(F.array_compact(F.array(beat, last))).alias("b")).select("b.*")
+    stream = replicates.replicate_stream(beats, width=60, least_beats=1, least=4, least_half=2)
+    found = replicates.finished(spark, stream, scratch(spark, "replicates"), scratch(spark, "stream-state"))
+    agreement = F.aggregate(F.zip_with("odd_rep", "even_rep", lambda o, e: o * e), F.lit(0.0), lambda t, x: t + x) / 64
+    tops = (F.array_max(f"{k}_rep").alias(f"top_{k}") for k in ("all", "odd", "even"))
+    return rounded(found.select(F.col("patient").cast("long").alias("patient"), *(F.col(c) for c in ("n_blocks", "n_odd", "n_even")), *tops, agreement.alias("agreement")))
+
+
 @query(f"WITH {NORMALISED}, g AS (SELECT label, pos, avg(x) AS x, count(*) AS n FROM q GROUP BY label, pos) SELECT label, n, round(stddev_pop(x), 6) AS kappa FROM g GROUP BY label, n")
 def block_coherence(spark, d):
     normal = shapes(spark, d).withColumn("q", V.normalised(F.col("v")))
