@@ -29,7 +29,8 @@ class Running:
 def running(df: DataFrame, key: str, order: list[str], values: dict[str, Running]) -> DataFrame:
     """``df`` with the running values, within ``key`` in ``order`` (rows that tie in it stand in any order)."""
     named = {f"_v{i}": r.value for i, r in enumerate(values.values())}
-    laid = df.withColumns(named).repartitionByRange(F.col(key), *(F.col(c) for c in order)).sortWithinPartitions(key, *order)
+    # Ranges are drawn from a sample, which would work the rows out twice; they are read back instead.
+    laid = staged(df.withColumns(named), "rows").repartitionByRange(F.col(key), *(F.col(c) for c in order)).sortWithinPartitions(key, *order)
     laid = staged(laid.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "laid")
 
     sums = [_AGG[r.kind](f"_v{i}").alias(f"_t{i}") for i, r in enumerate(values.values())]
@@ -98,6 +99,7 @@ def containment(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id:
 
     ``probe_id`` tells probes apart; a probe without a key or moment is held by none.
     """
+    probes = staged(probes.select(probe_id, *{key, t} - {probe_id}), "probes")
     held = _holding(_ranked(_events(probes, intervals, key, probe_id, t, start, stop, ident)))
     out = probes.select(probe_id).join(held.withColumnRenamed("probe", probe_id), probe_id, "left")
     return out.select(probe_id, F.coalesce("n", F.lit(0)).alias("n_exact"), F.when(F.col("n") == 1, F.col("id")).alias("exact_id"))
@@ -107,6 +109,7 @@ def nearest(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str,
     """``probe_id, gap_h, direction, ties, nearest_id``: the nearest interval (0 hours inside; of ties the least id)."""
     from ..functions.scalars import seconds_between
 
+    probes = staged(probes.select(probe_id, *{key, t} - {probe_id}), "probes")
     events = _events(probes, intervals, key, probe_id, t, start, stop, ident)
     ended = Running("max", F.when(F.col("kind") == STOPS, F.col("at")))
     coming = Running("min", F.when(F.col("kind") == STARTS, F.col("at")), backward=True)
@@ -137,6 +140,7 @@ def nearest(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str,
 
 def prior_history(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, t: str = "t", stop: str = "stop", flag: str | None = None) -> DataFrame:
     """``probe_id, n_prior`` (intervals that ended strictly before) and, for a flag, whether any of them has it."""
+    probes = staged(probes.select(probe_id, *{key, t} - {probe_id}), "probes")
     marks = intervals.where(F.col(key).isNotNull() & F.col(stop).isNotNull())
     kind = intervals.schema[flag].dataType if flag else "int"
     ends = marks.select(F.col(key).alias("k"), F.col(stop).alias("at"), F.lit(STOPS).alias("kind"), F.lit(None).cast(probes.schema[probe_id].dataType).alias("probe"), (F.col(flag) if flag else F.lit(None).cast("int")).alias("flag"), F.monotonically_increasing_id().alias("row"))
