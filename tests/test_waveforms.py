@@ -49,13 +49,6 @@ def test_catalog_finds_beats_and_reports_failures(spark):
     assert len(kept) >= 60 and all(abs(np.mean(r["shape_norm"])) < 1e-10 and abs(np.std(r["shape_norm"]) - 1) < 1e-10 for r in kept)
 
 
-def test_entropy_gains_are_ordered():
-    latent = np.random.default_rng(0).normal(size=(400, 4))
-    x = np.repeat(latent @ np.random.default_rng(1).normal(size=(4, 4)), 16, axis=1) + np.random.default_rng(2).normal(size=(400, 64)) * 0.3
-    g = signal.entropy_gains(x)
-    assert 0 <= g["delta_2"] <= g["delta_4"] <= g["delta_8"] <= g["delta_all"]
-
-
 def test_spectra_find_a_planted_subspace(spark):
     rng = np.random.default_rng(0)
     basis = spectral.random_basis(rng, 4)

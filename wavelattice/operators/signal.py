@@ -257,59 +257,6 @@ def shape_invariants(patients: DataFrame, columns: list[str], tolerance: float =
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-# ---------------------------------------------------------------- entropy of a patient's shapes
-
-
-def entropy(matrix: np.ndarray) -> float:
-    """Von Neumann entropy of a covariance scaled to trace 1."""
-    values = np.clip(np.linalg.eigvalsh(matrix / np.trace(matrix)), 0, None)
-    values = values[values > 0]
-    return float(-(values * np.log(values)).sum())
-
-
-def pinched(matrix: np.ndarray, blocks: int) -> np.ndarray:
-    """The matrix without what links different blocks of positions."""
-    own = np.arange(len(matrix)) * blocks // len(matrix)
-    return np.where(own[:, None] == own, matrix, 0.0)
-
-
-def entropy_gains(x: np.ndarray) -> dict[str, float]:
-    """Entropy gained when only 2, 4, 8 blocks or single positions keep their covariance."""
-    c = np.cov(x.T)
-    base = entropy(c)
-    return {f"delta_{k}": entropy(pinched(c, b)) - base for k, b in (("2", 2), ("4", 4), ("8", 8), ("all", len(c)))}
-
-
-def block_entropies(beats: DataFrame, patient: str, vector: str, surrogates: int = 0, seed: int = 0, kind: str = "blocks") -> DataFrame:
-    """``patient, n, delta_2, delta_4, delta_8, delta_all`` and, with surrogates, ``excess_4``: the gain over the median
-    of surrogates in which each of four blocks of positions is permuted among the patient's beats on its own.
-
-    ``kind``: "blocks", or "positions" for surrogates in which every position is permuted on its own. A group is one
-    patient's beats of one recording, which 30 minutes bound; more, as of a patient who holds a third of a table, would
-    all come to one task.
-    """
-    import hashlib
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(frame["v"].tolist(), float)
-        key = frame["p"].iloc[0]
-        out = {"p": key, "n": len(x)} | (entropy_gains(x) if len(x) > 1 and x.std(axis=0).any() else dict.fromkeys(["delta_2", "delta_4", "delta_8", "delta_all"], np.nan))
-        excess = np.nan
-        if surrogates and len(x) > 1:
-            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{key}|{kind}".encode()).digest()[:8], "little"))
-            nulls = []
-            for _ in range(surrogates):
-                parts = [part[rng.permutation(len(x))] for part in np.array_split(x, 4 if kind == "blocks" else x.shape[1], axis=1)]
-                c = np.cov(np.concatenate(parts, axis=1).T)
-                nulls.append(entropy(pinched(c, 4)) - entropy(c))
-            excess = out["delta_4"] - float(np.median(nulls))
-        return pd.DataFrame([out | {"excess_4": excess}])
-
-    schema = "p string, n long, delta_2 double, delta_4 double, delta_8 double, delta_all double, excess_4 double"
-    rows = beats.where(F.col(vector).isNotNull()).select(F.col(patient).cast("string").alias("p"), F.col(vector).alias("v"))
-    return rows.groupBy("p").applyInPandas(run, schema).withColumnRenamed("p", patient)
-
-
 # ---------------------------------------------------------------- table function
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import covariance, integrity, localize, signal, spectral
+from ..operators import covariance, entropies, integrity, localize, signal, spectral
 from ..streaming.blocks import block_summaries
 from .core import replicate_shapes, rounded
 from .tables import LONG, REPS, pressures, shapes, table
@@ -218,7 +218,7 @@ def beats_lateral(spark, d):
 
 @query()
 def block_entropy_deltas(spark, d):
-    return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816)
+    return entropies.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816, order=["vec_id"])
 
 
 # ---------------------------------------------------------------- manifests, leaks, metrics

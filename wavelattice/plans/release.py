@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import blocks, characterize, covariance, dependence, guards, integrity, selection, signal, spectral
+from ..operators import blocks, characterize, covariance, dependence, entropies, guards, integrity, selection, signal, spectral
 from .core import replicate_shapes, rounded
 from .geometry import BASIS, cv_reconstruction_curve, fourier_cv_curve, metrics
 from .stats import halves
@@ -268,7 +268,7 @@ def whole_table_quantiles(spark, d):
 @query()
 def position_entropy_deltas(spark, d):
     """Entropy gains against surrogates in which every position is permuted on its own."""
-    return signal.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816, kind="positions")
+    return entropies.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816, kind="positions", order=["vec_id"])
 
 
 @query()
