@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import blocks, characterize, covariance, dependence, entropies, guards, integrity, selection, signal, spectral
+from ..operators import blocks, characterize, covariance, dependence, entropies, guards, integrity, recordings, selection, signal, spectral
 from .core import replicate_shapes, rounded
 from .geometry import BASIS, cv_reconstruction_curve, fourier_cv_curve, metrics
 from .stats import halves
@@ -271,6 +271,13 @@ def position_entropy_deltas(spark, d):
     return entropies.block_entropies(shapes(spark, d), "patient", "v", surrogates=200, seed=20260816, kind="positions", order=["vec_id"])
 
 
+@query()
+def long_recording_peaks(spark, d):
+    """Peaks of the waveforms in pieces of 4,096 samples, which are filtered and searched without being put together."""
+    found = recordings.systolic_peaks(recordings.pieces_of(pressures(spark, d), 4096))
+    return found.select("patient_id", "peak", F.round("height", 6).alias("height"))
+
+
 @query()
 def constructed_patients(spark, d):
     """Representatives, within-covariance and medians of patients, from waveforms made of all vectors."""
