@@ -648,3 +648,12 @@ def test_fingerprints_of_odd_rows(spark):
         assert by_text.setdefault(r["text"], r["sketch"]) == r["sketch"]
         assert bool(r["sketch"]) == bool(re.search(r"\S", r["text"], re.A))
     assert sketch.fingerprints(documents(spark, empty=True)).count() == 0
+
+
+def test_a_text_of_nothing_but_candidates_is_held_as_places():
+    rng = np.random.default_rng(0)
+    text = "password " + " ".join("".join(rng.choice(list("abcdefXYZ0123456789"), 16)) for _ in range(20_000))
+    found = novelty._found(text)[1]
+    assert len(found) >= 19_999
+    assert found.start.itemsize * len(found.start) + found.end.itemsize * len(found.end) + len(found.flags) <= 1.1 * len(text)
+    assert sum(1 for _ in novelty.surrounding_words(text, found)) == len(found)
