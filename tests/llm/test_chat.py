@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from pathlib import Path
 
 import pytest
 from hypothesis import given
@@ -95,3 +97,42 @@ def test_one_row_that_repeats(spark):
 def test_no_turns(spark):
     chunks = chat.formatted(spark.createDataFrame([], SCHEMA))
     assert chat.digests(chunks).collect() == [] and chat.examples(chunks).collect() == []
+
+
+def stored(spark, since):
+    """Files under the shared folder that were written since ``since``, as one table for each kind."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return {d.name.rpartition("-")[0]: str(d) for d in sorted(root.iterdir(), key=lambda d: d.stat().st_mtime_ns) if d.stat().st_mtime_ns > since}
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_every_example_is_written_with_its_prefix(spark, turns, monkeypatch, chunk):
+    """Prefix and target of each reply stand in the files: of small conversations in a row, of cut ones in pieces."""
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    since = time.time_ns()
+    found = chat.digests(chat.formatted(turns)).collect()
+    paths = stored(spark, since)
+    texts = {}
+    for r in spark.read.parquet(paths["chat"]).where("whole").collect():
+        assert sum(len(e.text) for e in r.replies) <= chunk
+        texts |= {(r.conv_id, k): (e.text, e.loss_start, e.loss_end) for k, e in enumerate(r.replies)}
+    held = len(texts)
+    pieces = {}
+    for r in spark.read.parquet(paths["examples"]).where("example is not null").collect():
+        pieces.setdefault((r.conv_id, r.example), []).append(r)
+    for key, rows in pieces.items():
+        rows.sort(key=lambda r: r.start)
+        assert key not in texts and [r.start for r in rows] == [sum(len(q.text) for q in rows[:i]) for i in range(len(rows))]
+        texts[key] = ("".join(r.text for r in rows), rows[0].loss_start, rows[0].loss_end)
+    assert held > 0 and len(texts) > held and (chunk > 300 or max(map(len, pieces.values())) > 20)
+    want = {}
+    for conv, said in plain(rows_of()).items():
+        context, k = "", 0
+        for role, text in said:
+            formatted, start, end = chat.piece(role, text)
+            if role == "assistant":
+                want[conv, k] = (context + formatted, len(context) + start, len(context) + end)
+                k += 1
+            context += formatted
+    assert texts == want
+    assert sum(r.expanded_chars for r in found) == sum(len(t) for t, *_ in texts.values())
