@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import hash_order
+from ..sources.shared import staged
 
 #: Rows of a block; a tile holds the distances between two blocks.
 BLOCK = 1024
@@ -226,16 +228,48 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
+def _poisson(ident: Column, replicate: Column, seed: int) -> Column:
+    """A row's weight in a replicate. The digest's first twelve digits are the draw; digits compare like the numbers they write."""
+    digest = hash_order(ident, replicate, seed)
+    return sum(((digest >= f"{math.ceil(p * (1 << 48)):012x}").cast("long") for p in POISSON), F.lit(0))
+
+
 def bootstrap_medians(df: DataFrame, ident: str, value: str, replicates: int, seed: int, by: list[str] | None = None) -> DataFrame:
     """``by, rep, median``: medians of rows weighted by Poisson(1) draws from a hash, so that no sample is gathered.
 
-    Every row is read once for each replicate, but only counts of distinct values by replicate are shuffled.
+    Rows are laid out once in the order of their values, in blocks. Every row is read once for each replicate, but only a
+    block's weight by replicate is shuffled; a replicate's median is then looked for in the one or two blocks that hold it.
     """
-    by = by or []
-    rows = df.select(*by, ident, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    u = F.conv(F.substring(hash_order(F.col(ident), F.col("rep"), seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    weight = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
-    return rows.withColumn("_w", weight).where("_w > 0").groupBy(*by, "rep").agg(F.percentile(value, 0.5, F.col("_w")).alias("median"))
+    spark, by = df.sparkSession, by or []
+    # As one struct, keys that are null or hold nulls are equal to themselves in joins.
+    key = F.struct(*(F.col(b) for b in by), *([] if by else [F.lit(0).alias("all")])).alias("_g")
+    rows = staged(df.select(key, F.col(ident).alias("_id"), F.col(value).cast("double").alias("_x")), "rows")
+    count = rows.count()
+    most = 16 * spark.sparkContext.defaultParallelism
+    bits = max(6, (count // 4096).bit_length())
+    tasks = max(1, min(most, count >> bits))
+    at = F.shiftright(F.monotonically_increasing_id(), bits)
+    laid = staged(rows.repartitionByRange(tasks, "_g", "_x").sortWithinPartitions("_g", "_x").withColumn("_block", at), "laid")
+    dealt = laid.repartition(tasks, "_block")
+
+    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
+    # No filter on the weight, which would work the digest out anew for each comparison.
+    drawn = dealt.select("_g", "_block", "_x", "_id", reps).withColumn("_w", _poisson(F.col("_id"), F.col("rep"), seed))
+    weights = staged(drawn.groupBy("_g", "rep", "_block").agg(F.sum("_w").alias("_any"), F.sum(F.when(F.col("_x").isNotNull(), F.col("_w"))).alias("_w")).where("_any > 0"), "weights")
+    replicate = Window.partitionBy("_g", "rep")
+    before = F.coalesce(F.sum("_w").over(replicate.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = weights.withColumns({"_before": before, "_all": F.sum("_w").over(replicate)})
+    # Places of the middle, counted from 0 among the rows repeated by their weights.
+    told = told.withColumns({"_lo": F.expr("(_all - 1) div 2"), "_hi": F.expr("_all div 2")})
+    holds = lambda c: (F.col("_before") <= F.col(c)) & (F.col(c) < F.col("_before") + F.col("_w"))
+    wanted = staged(told.where(holds("_lo") | holds("_hi")).select("_g", "_block", "rep", "_before", "_lo", "_hi"), "wanted")
+
+    near = laid.where("_x is not null").join(wanted, ["_g", "_block"]).withColumn("_w", _poisson(F.col("_id"), F.col("rep"), seed))
+    up_to = F.col("_before") + F.sum("_w").over(Window.partitionBy("_g", "rep", "_block").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("_to", up_to).groupBy("_g", "rep").agg(*(F.min(F.when(F.col("_to") > F.col(c), F.col("_x"))).alias(c) for c in ("_lo", "_hi")))
+    median = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(0.5 * F.col("_lo") + 0.5 * F.col("_hi")).alias("median")
+    # A replicate whose drawn values are all null has a row as well.
+    return weights.select("_g", "rep").distinct().join(found, ["_g", "rep"], "left").select(*(f"_g.{b}" for b in by), "rep", median)
 
 
 def interval(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
