@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given
@@ -9,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wavelattice.operators import dependence, nulls
+from wavelattice.plans import stats as stats_plans
 from wavelattice.sources import shared
 
 
@@ -146,6 +149,54 @@ def test_freedman_lane_is_a_plain_refit_of_both_models(spark, monkeypatch):
     assert ps["p0"].p < 0.05
 
 
+def test_replicates_are_worked_out_once(spark):
+    df, *_ = table(spark, 60)
+    vectors = df.select("id", "fold", F.array("age", "sex").alias("x"), F.array("y", "w").alias("y"))
+    for stats in (
+        nulls.correlation_null(vectors, "id", "x", "y", 5, 9),
+        nulls.correlation_null(vectors, "id", "x", "y", 5, 9, "fold"),
+        nulls.hash_null(vectors, "id", "x", "y", 5, 9),
+        nulls.pipeline_replay(df, "id", "fold", ["age", "sex"], ["y", "w"], 5, 7),
+        nulls.freedman_lane(df, "id", ["age", "sex"], ["p0", "p1"], ["y", "w"], 5, 3).withColumnRenamed("statistic", "dcor"),
+    ):
+        assert "MapInArrow" not in dependence.null_summary(stats, "dcor")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("within", [None, "fold"])
+def test_hash_null_is_that_of_plain_orders(spark, monkeypatch, within):
+    monkeypatch.setattr(nulls, "BLOCK", 32)
+    df, fold, x, _, y = table(spark)
+    vectors = df.select("id", "fold", F.array("age", "sex").alias("x"), F.array("y", "w").alias("y"))
+    found = {r.rep: r.dcor for r in nulls.hash_null(vectors, "id", "x", "y", 6, 9, within).collect()}
+    ids = np.arange(1000 - len(y) + 1, 1001)
+    want = {}
+    for rep in range(7):
+        at = np.arange(len(y))
+        for g in np.unique(fold) if rep and within else [None] if rep else []:
+            own = np.flatnonzero(fold == g) if within else np.arange(len(y))
+            at[own] = sorted(own, key=lambda i: hashlib.sha256(f"9:{rep}:{ids[i]}".encode()).hexdigest())
+        want[rep] = pytest.approx(dcor(x, y[at]), abs=1e-9)
+    assert found == want
+
+
+@pytest.mark.parametrize("query", [stats_plans.dcor_perm_hash, stats_plans.fold_blocked_perm_hash, stats_plans.distance_correlation])
+def test_vectors_are_not_sent_to_tiles(spark, data, monkeypatch, query):
+    monkeypatch.delattr(dependence, "_tiles")
+    assert query(spark, data).count() == 1
+
+
+def test_equal_rows_are_at_0_and_all_pairs_are_compared_once(spark):
+    v = np.random.default_rng(2).normal(size=(40, 3)) + 50
+    d = dependence.apart(dependence.sides(v), dependence.sides(v[::-1]))
+    assert (np.diag(d[::-1]) == 0).all()
+    assert d == pytest.approx(np.linalg.norm(v[:, None] - v[None, ::-1], axis=2), abs=1e-9)
+    m = shared.write_matrix(spark.createDataFrame([(i, r[:2].tolist(), r[2:].tolist()) for i, r in enumerate(v)], "k long, x array<double>, y array<double>"), ["k"], ["x", "y"])
+    sums = dependence.row_sums(spark, m, 2, block=7).orderBy("row").collect()
+    a, b = (np.linalg.norm(c[:, None] - c[None], axis=2) for c in (v[:, :2], v[:, 2:]))
+    assert [r.sa for r in sums] == pytest.approx(a.sum(axis=1)) and [r.sb for r in sums] == pytest.approx(b.sum(axis=1))
+    assert [sum(r[c] for r in sums) for c in ("ab", "aa", "bb")] == pytest.approx([(a * b).sum(), (a * a).sum(), (b * b).sum()])
+
+
 def test_standardised_vectors(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 5.0]), (2, "a", [3.0, 5.0]), (3, "b", [7.0, 1.0])], "id long, g string, v array<double>")
     assert {r.id: r.v for r in dependence.standardised(df, ["v"], ["g"]).collect()} == {1: [-1, 0], 2: [1, 0], 3: [0, 0]}
