@@ -113,6 +113,12 @@ def test_correlation_null_is_that_of_plain_permutations(spark, monkeypatch, with
         assert found[rep] == pytest.approx(dcor(a, b[at]), abs=1e-9)
 
 
+@pytest.mark.parametrize("whole", [1 << 18, 0])
+def test_pipeline_replay_in_strips_and_at_once(spark, monkeypatch, whole):
+    monkeypatch.setattr(nulls, "WHOLE", whole)
+    test_pipeline_replay_is_a_plain_rerun(spark, monkeypatch)
+
+
 def test_pipeline_replay_is_a_plain_rerun(spark, monkeypatch):
     monkeypatch.setattr(nulls, "BLOCK", 64)
     df, fold, x, p, y = table(spark)
