@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wavelattice.operators import linkage, sweeps
 from wavelattice.operators.sweeps import Running
+from wavelattice.plans import core
 
 DAY = datetime(2100, 1, 1)
 
@@ -92,3 +93,19 @@ def test_no_intervals_and_no_probes(spark):
     assert {r.direction for r in none.collect()} == {"missing"} and none.count() == 303
     assert linkage.containment(probes.where("p < 0"), stays, "subject", probe_id="p").count() == 0
     assert {r.n_prior for r in linkage.prior_history(probes, stays.where("interval_id < 0"), "subject", probe_id="p").collect()} == {0}
+
+
+def test_links_are_those_of_the_three_joins(spark, many_parts):
+    probes, stays = frames(spark)
+    on = {"key": "subject", "probe_id": "p"}
+    found = {r.p: r.asDict() for r in sweeps.links(probes, stays, flag="flag", **on).collect()}
+    want: dict = {}
+    for joined in (sweeps.containment(probes, stays, **on), sweeps.nearest(probes, stays, **on), sweeps.prior_history(probes, stays, flag="flag", **on)):
+        for r in joined.collect():
+            want.setdefault(r.p, {}).update(r.asDict())
+    assert found == want and len(found) == 303
+
+
+def test_hot_subjects_are_swept_once_and_in_steps(spark, data):
+    plan = core.hot_subject_links(spark, data)._jdf.queryExecution().toString()
+    assert "Window" not in plan and plan.count("Join ") < 20

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds_between
 from .sweeps import containment as containment
+from .sweeps import links as links
 from .sweeps import nearest as nearest
 from .sweeps import prior_history as prior_history
 

@@ -51,17 +51,25 @@ def running(df: DataFrame, key: str, order: list[str], values: dict[str, Running
 
 
 #: At one moment, intervals that start come before probes, and those that stop behind them: both ends are closed.
-STARTS, PROBES, STOPS = 0, 1, 2
+#: Stops of intervals that hold no moment (no start, or a later one) count as history only.
+STARTS, PROBES, STOPS, ENDED = 0, 1, 2, 3
 
 
-def _events(probes: DataFrame, intervals: DataFrame, key: str, probe_id: str, t: str, start: str, stop: str, ident: str) -> DataFrame:
-    """Probes, starts and stops in one table: ``k, at, kind, probe, id, row``."""
+def _events(probes: DataFrame, intervals: DataFrame, key: str, probe_id: str, t: str, start: str, stop: str, ident: str, flag: str | None = None) -> DataFrame:
+    """Probes, starts and stops in one table: ``k, at, kind, probe, id, row``; for a flag also the stops of intervals that
+    hold no moment, and each stop's ``flag``."""
     kind = lambda k: F.lit(k).alias("kind")
-    stays = intervals.where(F.col(key).isNotNull() & (F.col(start) <= F.col(stop))).select(key, start, stop, F.col(ident).alias("id"), F.monotonically_increasing_id().alias("row"))
+    stays = intervals.where(F.col(key).isNotNull() & (F.col(start) <= F.col(stop))).select(key, start, stop, F.col(ident).alias("id"), F.monotonically_increasing_id().alias("row"), *([F.col(flag).alias("flag")] if flag else []))
     ends = F.explode(F.array(F.struct(F.col(start).alias("at"), kind(STARTS)), F.struct(F.col(stop).alias("at"), kind(STOPS)))).alias("_e")
-    ends = stays.select(F.col(key).alias("k"), "id", "row", ends).select("k", "_e.at", "_e.kind", F.lit(None).cast(probes.schema[probe_id].dataType).alias("probe"), "id", "row")
+    none = lambda like, name: F.lit(None).cast(like).alias(name)
+    flags = [F.when(F.col("_e.kind") == STOPS, F.col("flag")).alias("flag")] if flag else []
+    ends = stays.select(F.col(key).alias("k"), "id", "row", ends, *(["flag"] if flag else [])).select("k", "_e.at", "_e.kind", none(probes.schema[probe_id].dataType, "probe"), "id", "row", *flags)
     asked = probes.where(F.col(key).isNotNull() & F.col(t).isNotNull()).select(F.col(key).alias("k"), F.col(t).alias("at"), kind(PROBES), F.col(probe_id).alias("probe"), F.lit(None).cast(intervals.schema[ident].dataType).alias("id"), F.lit(None).cast("long").alias("row"))
-    return ends.unionByName(asked)
+    if not flag:
+        return ends.unionByName(asked)
+    past = intervals.where(F.col(key).isNotNull() & F.col(stop).isNotNull() & ~F.coalesce(F.col(start) <= F.col(stop), F.lit(False)))
+    past = past.select(F.col(key).alias("k"), F.col(stop).alias("at"), kind(ENDED), none(probes.schema[probe_id].dataType, "probe"), none(intervals.schema[ident].dataType, "id"), none("long", "row"), F.col(flag).alias("flag"))
+    return ends.unionByName(asked.withColumn("flag", F.lit(None).cast(intervals.schema[flag].dataType))).unionByName(past)
 
 
 def _levels(swept: DataFrame) -> int:
@@ -77,7 +85,7 @@ def _holding(swept: DataFrame) -> DataFrame:
     """
     levels = _levels(swept)
     # ``rank`` counts probes up to a row: below a start are the probes before it, below a stop those it holds and before.
-    spans = swept.where(F.col("kind") != PROBES).groupBy("k", "row").agg(F.first("id").alias("id"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi")
+    spans = swept.where(F.col("kind").isin(STARTS, STOPS)).groupBy("k", "row").agg(F.first("id").alias("id"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi")
     runs = []
     for level in range(levels + 1):
         lo, hi = F.shiftright(F.col("lo") + ((1 << level) - 1), level), F.shiftright(F.col("hi"), level)
@@ -107,14 +115,33 @@ def containment(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id:
 
 def nearest(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, t: str = "t", start: str = "start", stop: str = "stop", ident: str = "interval_id") -> DataFrame:
     """``probe_id, gap_h, direction, ties, nearest_id``: the nearest interval (0 hours inside; of ties the least id)."""
-    from ..functions.scalars import seconds_between
+    probes = staged(probes.select(probe_id, *{key, t} - {probe_id}), "probes")
+    swept = _ranked(_events(probes, intervals, key, probe_id, t, start, stop, ident), _edges())
+    return _nearest(probes, swept, _holding(swept), probe_id)
+
+
+def _edges() -> dict[str, Running]:
+    """The latest end before a row, and the earliest start behind it."""
+    return {"ended": Running("max", F.when(F.col("kind") == STOPS, F.col("at"))), "coming": Running("min", F.when(F.col("kind") == STARTS, F.col("at")), backward=True)}
+
 
+def links(probes: DataFrame, intervals: DataFrame, key: str, *, probe_id: str, flag: str, t: str = "t", start: str = "start", stop: str = "stop", ident: str = "interval_id") -> DataFrame:
+    """What ``containment``, ``prior_history`` and ``nearest`` find, from one sweep: ``probe_id, n_exact, exact_id, n_prior,
+    prior_flag, gap_h, direction, ties, nearest_id``. What each step finds is written, so that no plan holds two of them."""
     probes = staged(probes.select(probe_id, *{key, t} - {probe_id}), "probes")
-    events = _events(probes, intervals, key, probe_id, t, start, stop, ident)
-    ended = Running("max", F.when(F.col("kind") == STOPS, F.col("at")))
-    coming = Running("min", F.when(F.col("kind") == STARTS, F.col("at")), backward=True)
-    swept = _ranked(events, {"ended": ended, "coming": coming})
-    held = _holding(swept)
+    past = {"n_prior": Running("sum", (F.col("kind") >= STOPS).cast("long")), "prior_flag": Running("max", F.col("flag"))}
+    swept = _ranked(_events(probes, intervals, key, probe_id, t, start, stop, ident, flag), _edges() | past)
+    held = staged(_holding(swept), "held")
+    near = staged(_nearest(probes, swept, held, probe_id), "near")
+    own = swept.where(F.col("kind") == PROBES).select(F.col("probe").alias(probe_id), *past)
+    out = near.join(own, probe_id, "left").join(held.withColumnRenamed("probe", probe_id), probe_id, "left")
+    exact = [F.coalesce("n", F.lit(0)).alias("n_exact"), F.when(F.col("n") == 1, F.col("id")).alias("exact_id")]
+    return out.select(probe_id, *exact, F.coalesce("n_prior", F.lit(0)).alias("n_prior"), "prior_flag", "gap_h", "direction", "ties", "nearest_id")
+
+
+def _nearest(probes: DataFrame, swept: DataFrame, held: DataFrame, probe_id: str) -> DataFrame:
+    from ..functions.scalars import seconds_between
+
     ends = swept.where(F.col("kind") != PROBES).groupBy("k", "kind", "at").agg(F.count("*").alias("n"), F.min("id").alias("id"))
 
     asked = swept.where(F.col("kind") == PROBES).select("k", "probe", "at", "ended", "coming")

@@ -211,9 +211,7 @@ def hot_subject_links(spark, d):
     first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("t"))
     p = first.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("probe"), (F.col("o_custkey") % 3).alias("subject"), "t")
     i = o.select((F.col("o_custkey") % 3).alias("subject"), F.col("o_orderkey").alias("interval_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 9 HOURS")).alias("stop"), (F.col("o_orderstatus") == "F").cast("int").alias("flag"))
-    near = linkage.nearest(p, i, "subject", probe_id="probe").select("probe", "gap_h", "ties", "nearest_id")
-    exact = linkage.containment(p, i, "subject", probe_id="probe")
-    return rounded(exact.join(linkage.prior_history(p, i, "subject", probe_id="probe", flag="flag"), "probe").join(near, "probe"))
+    return rounded(linkage.links(p, i, "subject", probe_id="probe", flag="flag").drop("direction"))
 
 
 # ---------------------------------------------------------------- identifiers, ages, records
